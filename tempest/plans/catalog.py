@@ -2,6 +2,9 @@
 the operator is SQL-expressible, the equivalent oracle SQL for DuckDB over the same tables.
 
 Computed doubles are rounded to 6 decimals on both sides (float sums differ by order).
+Averages of 2-decimal data often sit exactly on a 7th-decimal tie, which Spark (HALF_UP on
+the decimal text) and DuckDB (binary round) break differently; both sides therefore add the
+same 1e-11 before rounding (``TIE_NUDGE``), far below the 1e-6 grid and far above float noise.
 """
 
 from __future__ import annotations
@@ -34,11 +37,19 @@ def query(name: str, sql: str | None = None, note: str = ""):
     return deco
 
 
+TIE_NUDGE = 1e-11
+
+
+def rnd(c, digits: int = 6):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(TIE_NUDGE), digits)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
+            out.append(rnd(f.name, digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -53,9 +64,36 @@ def all_queries() -> dict[str, Callable]:
     return {k: v.build for k, v in REGISTRY.items()}
 
 
+def nudge_rounding(sql: str) -> str:
+    """Rewrite every ``ROUND(<expr>, 6)`` into ``ROUND(1e-11 + (<expr>), 6)`` (see TIE_NUDGE)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("ROUND(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + 5
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = sql[j + 6:k]
+        head, sep, digits = inner.rpartition(",")
+        if sep and digits.strip() == "6" and head.count("(") == head.count(")"):
+            out.append(sql[i:j] + f"ROUND({TIE_NUDGE} + ({nudge_rounding(head)}), 6)")
+        else:
+            out.append(sql[i:j] + "ROUND(" + nudge_rounding(inner) + ")")
+        i = k + 1
+
+
 def all_sql() -> dict[str, str]:
     _load_groups()
-    return {k: v.sql for k, v in REGISTRY.items() if v.sql}
+    return {k: nudge_rounding(v.sql) for k, v in REGISTRY.items() if v.sql}
 
 
 _LOADED = False
