@@ -113,7 +113,7 @@ CONDITION_RULES = [
     (("cloud",), "Cloudy"),
     (("sun", "clear"), "Clear Sky"),
 ]
-CONDITION_LABELS = [label for _, label in WMO_CATEGORIES]
+CONDITION_LABELS = [label for label, _codes in WMO_CATEGORIES]
 
 
 def condition_group(text="weather_category") -> Column:

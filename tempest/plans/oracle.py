@@ -11,6 +11,8 @@ DOUBLE_RAW = ["latitude", "longitude", *MEASURES]
 
 
 def with_panels(body: str, **ctes: str) -> str:
+    if not ctes:
+        return body
     parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
     return f"WITH {parts}\n{body}"
 
