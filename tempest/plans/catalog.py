@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tempest.functions.numeric import TIE_NUDGE, round_half_up
+
 
 @dataclass
 class Query:
@@ -37,12 +39,8 @@ def query(name: str, sql: str | None = None, note: str = ""):
     return deco
 
 
-TIE_NUDGE = 1e-11
-
-
 def rnd(c, digits: int = 6):
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + F.lit(TIE_NUDGE), digits)
+    return round_half_up(c, digits)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -65,7 +63,7 @@ def all_queries() -> dict[str, Callable]:
 
 
 def nudge_rounding(sql: str) -> str:
-    """Rewrite every ``ROUND(<expr>, 6)`` into ``ROUND(1e-11 + (<expr>), 6)`` (see TIE_NUDGE)."""
+    """Rewrite every ``ROUND(<expr>, d)`` into ``ROUND(1e-11 + (<expr>), d)`` (see TIE_NUDGE)."""
     out, i = [], 0
     while True:
         j = sql.find("ROUND(", i)
@@ -84,8 +82,8 @@ def nudge_rounding(sql: str) -> str:
             k += 1
         inner = sql[j + 6:k]
         head, sep, digits = inner.rpartition(",")
-        if sep and digits.strip() == "6" and head.count("(") == head.count(")"):
-            out.append(sql[i:j] + f"ROUND({TIE_NUDGE} + ({nudge_rounding(head)}), 6)")
+        if sep and digits.strip().isdigit() and head.count("(") == head.count(")"):
+            out.append(sql[i:j] + f"ROUND({TIE_NUDGE} + ({nudge_rounding(head)}), {digits.strip()})")
         else:
             out.append(sql[i:j] + "ROUND(" + nudge_rounding(inner) + ")")
         i = k + 1
