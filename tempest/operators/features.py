@@ -191,11 +191,19 @@ def every_kth(df: DataFrame, k, key="city", order="time") -> DataFrame:
     return df.withColumn("_rn", rn).filter(F.col("_rn") % k == 0).drop("_rn")
 
 
+def running_last(col, key="city", order="time", descending: bool = False) -> Column:
+    """Last non-null value up to the current row. With ``descending`` the series is walked
+    backwards, which yields the *next* non-null value. Both are growing frames that Spark
+    evaluates in one pass (a frame ending at unboundedFollowing would be re-aggregated for
+    every row, quadratic in the series length)."""
+    o = F.col(order).desc() if descending else F.col(order)
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(col, ignorenulls=True).over(w)
+
+
 def forward_back_fill(col: str, key="city", order="time") -> Column:
-    w = series_window(key, order)
-    ff = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bf = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(ff, bf)
+    return F.coalesce(running_last(col, key, order), running_last(col, key, order, descending=True))
 
 
 def hourly_features(df: DataFrame, key: str = "city", order: str = "ts",
