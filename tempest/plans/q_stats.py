@@ -1 +1,273 @@
-"""Registered queries."""
+"""Registered queries: hypothesis tests, effect sizes, correlations (J*).
+
+Oracle columns carry the statistics; p-values (incomplete beta/gamma, not in the SQL
+engine) are registered separately without an oracle and unit-tested against closed forms.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tempest.functions import calendar as cal
+from tempest.functions import distributions as dist
+from tempest.functions import weather as wx
+from tempest.operators import features as fe
+from tempest.operators import stats as st
+from tempest.plans import oracle as o
+from tempest.plans.catalog import query, round_doubles
+from tempest.sources import fixtures as fx
+
+NAT = o.panel("nation")
+W = o.W_CITY
+
+_IMPACT = ("LEAST(100.0, CASE WHEN temperature_2m_max > 30 THEN (temperature_2m_max - 30) * 3 ELSE 0.0 END "
+           "+ CASE WHEN wind_speed_10m_max > 20 THEN (wind_speed_10m_max - 20) * 2 ELSE 0.0 END "
+           "+ CASE WHEN relative_humidity_2m_mean > 70 THEN 10.0 ELSE 0.0 END)")
+_PERSIST = ("CAST(CASE WHEN ROW_NUMBER() OVER (" + W + ") >= 3 THEN SUM(CASE WHEN temperature_2m_max > 35 THEN 1 ELSE 0 END) "
+            "OVER (" + W + " ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE 0 END AS INTEGER)")
+# d: the nation panel with the risk columns the tests use
+D_SQL = ("SELECT *, " + _IMPACT + " AS impact_score, temperature_2m_max * (relative_humidity_2m_mean / 100) AS heat_stress, "
+         "temperature_2m_max * wind_speed_10m_max AS wind_temp, " + _PERSIST + " AS persistence_alert_level, "
+         + o.season_case() + " AS season FROM p")
+
+
+def risk_panel(spark, sf_dir):
+    p = fx.panel(spark, sf_dir, "nation")
+    return p.select("*", wx.impact_score().alias("impact_score"),
+                    wx.heat_stress_linear().alias("heat_stress"),
+                    wx.wind_temp_interaction().alias("wind_temp"),
+                    fe.persistence_alert_level().alias("persistence_alert_level"),
+                    cal.season(F.month("time")).alias("season"))
+
+
+def _split_sql(col):
+    return (f"SELECT *, CASE WHEN {col} > (SELECT quantile_cont({col}, 0.5) FROM d) THEN 'high' "
+            f"WHEN {col} IS NOT NULL THEN 'low' END AS grp FROM d")
+
+
+@query("j01_median_split", o.with_panels(
+    "SELECT grp AS \"group\", COUNT(*) AS n, ROUND(AVG(impact_score), 6) AS mean_impact FROM s WHERE grp IS NOT NULL GROUP BY grp",
+    p=NAT, d=D_SQL, s=_split_sql("heat_stress")))
+def q_split(spark, sf_dir):
+    s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
+    return round_doubles(s.filter(F.col("group").isNotNull()).groupBy("group")
+                         .agg(F.count(F.lit(1)).alias("n"), F.avg("impact_score").alias("mean_impact")))
+
+
+def _welch_sql():
+    m = ("SELECT MAX(CASE WHEN grp = 'high' THEN n END) AS n_a, MAX(CASE WHEN grp = 'low' THEN n END) AS n_b, "
+         "MAX(CASE WHEN grp = 'high' THEN mean END) AS mean_a, MAX(CASE WHEN grp = 'low' THEN mean END) AS mean_b, "
+         "MAX(CASE WHEN grp = 'high' THEN var END) AS var_a, MAX(CASE WHEN grp = 'low' THEN var END) AS var_b FROM "
+         "(SELECT grp, COUNT(impact_score) AS n, AVG(impact_score) AS mean, VAR_SAMP(impact_score) AS var FROM s "
+         "WHERE grp IS NOT NULL AND impact_score IS NOT NULL GROUP BY grp) g")
+    return ("SELECT n_a, n_b, ROUND(mean_a, 6) AS mean_a, ROUND(mean_b, 6) AS mean_b, "
+            "ROUND((mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b), 6) AS t, "
+            "ROUND(pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)), 6) AS df "
+            f"FROM ({m}) w")
+
+
+@query("j03_welch_t", o.with_panels(_welch_sql(), p=NAT, d=D_SQL, s=_split_sql("heat_stress")))
+def q_welch(spark, sf_dir):
+    s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
+    return round_doubles(st.welch_t(s, "group", "impact_score"))
+
+
+@query("j03_welch_t_wind_temp", o.with_panels(_welch_sql(), p=NAT, d=D_SQL, s=_split_sql("wind_temp")))
+def q_welch2(spark, sf_dir):
+    s = st.median_split(risk_panel(spark, sf_dir), "wind_temp")
+    return round_doubles(st.welch_t(s, "group", "impact_score"))
+
+
+@query("j03_welch_t_p_value")
+def q_welch_p(spark, sf_dir):
+    s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
+    return st.with_p_value(st.welch_t(s, "group", "impact_score"), "t")
+
+
+def _anova_sql(src, group, value, stat="F"):
+    g = (f"SELECT {group} AS g, COUNT({value}) AS n, AVG({value}) AS mean, COALESCE(VAR_SAMP({value}), 0) * (COUNT({value}) - 1) AS m2 "
+         f"FROM {src} WHERE {value} IS NOT NULL AND {group} IS NOT NULL GROUP BY {group}")
+    t = ("SELECT SUM(n) AS nn, COUNT(*) AS k, SUM(n * mean) / SUM(n) AS grand, SUM(m2) AS ssw, "
+         f"GREATEST(SUM(n * mean * mean) - SUM(n) * pow(SUM(n * mean) / SUM(n), 2), 0) AS ssb FROM ({g}) gg")
+    return (f"SELECT k AS groups, CAST(nn AS BIGINT) AS n, ROUND((ssb / (k - 1)) / (ssw / (nn - k)), 6) AS {stat}, k - 1 AS df_between, "
+            f"CAST(nn - k AS BIGINT) AS df_within, ROUND(ssb / (ssb + ssw), 6) AS eta_sq FROM ({t}) tt")
+
+
+@query("j04_anova_persistence", o.with_panels(_anova_sql("d", "persistence_alert_level", "impact_score"), p=NAT, d=D_SQL))
+def q_anova(spark, sf_dir):
+    return round_doubles(st.anova(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"))
+
+
+@query("j04_anova_city", o.with_panels(_anova_sql("p", "city", "temperature_2m_max"), p=NAT))
+def q_anova_city(spark, sf_dir):
+    return round_doubles(st.anova(fx.panel(spark, sf_dir, "nation"), "city", "temperature_2m_max"))
+
+
+@query("j04_anova_p_value")
+def q_anova_p(spark, sf_dir):
+    return st.with_p_value(st.anova(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "anova")
+
+
+@query("j02_levene", o.with_panels(
+    _anova_sql("z", "g", "zz", "W"), p=NAT, d=D_SQL,
+    z="SELECT d.persistence_alert_level AS g, ABS(d.impact_score - m.med) AS zz FROM d JOIN "
+      "(SELECT persistence_alert_level, quantile_cont(impact_score, 0.5) AS med FROM d WHERE impact_score IS NOT NULL "
+      "GROUP BY 1) m ON d.persistence_alert_level = m.persistence_alert_level WHERE d.impact_score IS NOT NULL"))
+def q_levene(spark, sf_dir):
+    return round_doubles(st.levene(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"))
+
+
+@query("j05_kruskal_wallis", o.with_panels(
+    "SELECT N, k, ROUND(12.0 / (N * (N + 1)) * s - 3 * (N + 1), 6) AS H, k - 1 AS dof FROM "
+    "(SELECT CAST(SUM(ng) AS BIGINT) AS N, SUM(R * R / ng) AS s, COUNT(*) AS k FROM "
+    "(SELECT season, SUM(r) AS R, COUNT(*) AS ng FROM (SELECT season, RANK() OVER (ORDER BY temperature_2m_max) + "
+    "(COUNT(*) OVER (PARTITION BY temperature_2m_max) - 1) / 2.0 AS r FROM d WHERE temperature_2m_max IS NOT NULL) x GROUP BY season) g) t",
+    p=NAT, d=D_SQL))
+def q_kruskal(spark, sf_dir):
+    return round_doubles(st.kruskal_wallis(risk_panel(spark, sf_dir), "season", "temperature_2m_max"))
+
+
+@query("j17_mann_whitney", o.with_panels(
+    "SELECT n_a, n_b, ROUND(u, 6) AS U, ROUND((u - n_a * n_b / 2) / sqrt(n_a * n_b * (n_a + n_b + 1) / 12), 6) AS z FROM "
+    "(SELECT n_a, n_b, R_a - n_a * (n_a + 1) / 2 AS u FROM (SELECT SUM(CASE WHEN grp = 'high' THEN r END) AS R_a, "
+    "COUNT(*) FILTER (WHERE grp = 'high') AS n_a, COUNT(*) FILTER (WHERE grp = 'low') AS n_b FROM "
+    "(SELECT grp, RANK() OVER (ORDER BY impact_score) + (COUNT(*) OVER (PARTITION BY impact_score) - 1) / 2.0 AS r "
+    "FROM s WHERE grp IN ('high', 'low') AND impact_score IS NOT NULL) x) y) z",
+    p=NAT, d=D_SQL, s=_split_sql("heat_stress")))
+def q_mw(spark, sf_dir):
+    s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
+    return round_doubles(st.mann_whitney(s, "group", "impact_score", "high", "low"))
+
+
+@query("j06_tukey_hsd", o.with_panels(
+    "SELECT a.g AS group1, b.g AS group2, ROUND(b.mean - a.mean, 6) AS meandiff, "
+    "ROUND(ABS(b.mean - a.mean) / sqrt((SELECT SUM(m2) / (SUM(n) - COUNT(*)) FROM g) / 2 * (1.0 / a.n + 1.0 / b.n)), 6) AS q, "
+    "(SELECT COUNT(*) FROM g) AS k, (SELECT CAST(SUM(n) - COUNT(*) AS BIGINT) FROM g) AS df FROM g a JOIN g b ON a.g < b.g",
+    p=NAT, g="SELECT city AS g, COUNT(temperature_2m_max) AS n, AVG(temperature_2m_max) AS mean, "
+             "COALESCE(VAR_SAMP(temperature_2m_max), 0) * (COUNT(temperature_2m_max) - 1) AS m2 FROM p GROUP BY city"))
+def q_tukey(spark, sf_dir):
+    return round_doubles(st.tukey_hsd(fx.panel(spark, sf_dir, "nation"), "city", "temperature_2m_max"))
+
+
+@query("j06_tukey_hsd_p_value")
+def q_tukey_p(spark, sf_dir):
+    return st.with_p_value(st.tukey_hsd(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "tukey")
+
+
+@query("j07_cohen_d", o.with_panels(
+    "SELECT ROUND((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohen_d FROM "
+    "(SELECT MAX(CASE WHEN w = 1 THEN n END) AS na, MAX(CASE WHEN w = 0 THEN n END) AS nb, MAX(CASE WHEN w = 1 THEN m END) AS ma, "
+    "MAX(CASE WHEN w = 0 THEN m END) AS mb, MAX(CASE WHEN w = 1 THEN v END) AS va, MAX(CASE WHEN w = 0 THEN v END) AS vb FROM "
+    "(SELECT w, COUNT(impact_score) AS n, AVG(impact_score) AS m, VAR_SAMP(impact_score) AS v FROM "
+    "(SELECT CAST(wind_speed_10m_max > (SELECT AVG(wind_speed_10m_max) FROM d) AS INTEGER) AS w, impact_score FROM d) x GROUP BY w) g) t",
+    p=NAT, d=D_SQL))
+def q_cohen(spark, sf_dir):
+    r = risk_panel(spark, sf_dir)
+    mean_wind = r.select(F.avg("wind_speed_10m_max")).scalar()
+    r = r.withColumn("is_windy", (F.col("wind_speed_10m_max") > mean_wind).cast("int"))
+    return round_doubles(st.cohen_d(r, "is_windy", "impact_score", 1, 0))
+
+
+def _chi_sql(src, a, b):
+    t = f"SELECT {a} AS a, {b} AS b, COUNT(*) AS o FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2"
+    return (f"SELECT n, r, c, n * (s - 1) AS chi2, (r - 1) * (c - 1) AS dof FROM (SELECT SUM(o * o / (rr * cc)) AS s, CAST(SUM(o) AS BIGINT) AS n, "
+            f"COUNT(DISTINCT t.a) AS r, COUNT(DISTINCT t.b) AS c FROM ({t}) t "
+            f"JOIN (SELECT a, SUM(o) AS rr FROM ({t}) t1 GROUP BY a) ra ON t.a = ra.a "
+            f"JOIN (SELECT b, SUM(o) AS cc FROM ({t}) t2 GROUP BY b) cb ON t.b = cb.b) z")
+
+
+def _wmo_case():
+    arms = " ".join(f"WHEN weather_code IN ({', '.join(map(str, codes))}) THEN '{label}'"
+                    for label, codes in wx.WMO_CATEGORIES)
+    return f"CASE {arms} ELSE 'Cloudy' END"
+
+
+@query("j08_cramers_v", o.with_panels(
+    "SELECT ROUND(chi2, 6) AS chi2, n, ROUND(sqrt(GREATEST(0.0, chi2 / n - (c - 1) * (r - 1) / (n - 1)) / "
+    "LEAST((c - (c - 1) * (c - 1) / (n - 1)) - 1, (r - (r - 1) * (r - 1) / (n - 1)) - 1)), 6) AS cramers_v FROM x",
+    p=NAT, d=D_SQL, e="SELECT season, " + _wmo_case() + " AS weather_category FROM d",
+    x=_chi_sql("e", "season", "weather_category")))
+def q_cramer(spark, sf_dir):
+    r = risk_panel(spark, sf_dir).withColumn("weather_category", wx.weather_category())
+    return round_doubles(st.cramers_v(r, "season", "weather_category"))
+
+
+@query("j13_chi_square_dry_days", o.with_panels(
+    "SELECT n, r, c, ROUND(chi2, 6) AS chi2, dof FROM x", p=NAT,
+    e="SELECT city, CAST(precipitation_sum = 0 AS INTEGER) AS dry FROM p", x=_chi_sql("e", "city", "dry")))
+def q_chi(spark, sf_dir):
+    p = fx.panel(spark, sf_dir, "nation").withColumn("dry", (F.col("precipitation_sum") == 0).cast("int"))
+    return round_doubles(st.chi_square(p, "city", "dry"))
+
+
+@query("j13_chi_square_p_value")
+def q_chi_p(spark, sf_dir):
+    p = fx.panel(spark, sf_dir, "nation").withColumn("dry", (F.col("precipitation_sum") == 0).cast("int"))
+    return st.with_p_value(st.chi_square(p, "city", "dry"), "chi2")
+
+
+_CORR_VARS = ["temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
+              "relative_humidity_2m_mean", "wind_speed_10m_max", "shortwave_radiation_sum"]
+_PAIRS = [(_CORR_VARS[i], _CORR_VARS[j]) for i in range(len(_CORR_VARS)) for j in range(i + 1, len(_CORR_VARS))]
+
+
+def _corr_sql(src):
+    return " UNION ALL ".join(
+        f"SELECT city, '{a}' AS var_a, '{b}' AS var_b, ROUND(CORR({a}, {b}), 6) AS r FROM {src} GROUP BY city" for a, b in _PAIRS)
+
+
+@query("j09_pearson_pairs", o.with_panels(_corr_sql("p"), p=NAT))
+def q_pearson(spark, sf_dir):
+    return round_doubles(st.correlation_pairs(fx.panel(spark, sf_dir, "nation"), _CORR_VARS))
+
+
+@query("j10_spearman_pairs", o.with_panels(
+    _corr_sql("rk"), p=NAT,
+    rk="SELECT city, " + ", ".join(
+        f"RANK() OVER (PARTITION BY city ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY city, {c}) - 1) / 2.0 AS {c}"
+        for c in _CORR_VARS) + " FROM p"))
+def q_spearman(spark, sf_dir):
+    return round_doubles(st.spearman_pairs(fx.panel(spark, sf_dir, "nation"), _CORR_VARS))
+
+
+@query("j11_strong_pairs", o.with_panels(
+    "SELECT city, var_a, var_b, r, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY ABS(r) DESC, var_a, var_b) AS rank "
+    "FROM (SELECT city, var_a, var_b, CORR_R AS r FROM c) c2 WHERE ABS(r) > 0.7) s WHERE rank <= 4",
+    p=NAT, c=_corr_sql("p").replace("ROUND(CORR(", "(CORR(").replace("), 6) AS r", ")) AS CORR_R")))
+def q_strong(spark, sf_dir):
+    pairs = st.correlation_pairs(fx.panel(spark, sf_dir, "nation"), _CORR_VARS)
+    return round_doubles(st.strong_pairs(pairs, 0.7, 4))
+
+
+@query("j11_redundant_pairs", o.with_panels(
+    "SELECT city, var_a, var_b, ROUND(r, 6) AS r FROM (SELECT city, var_a, var_b, CORR_R AS r FROM c) c2 WHERE r > 0.85",
+    p=NAT, c=_corr_sql("p").replace("ROUND(CORR(", "(CORR(").replace("), 6) AS r", ")) AS CORR_R")))
+def q_redundant(spark, sf_dir):
+    pairs = st.correlation_pairs(fx.panel(spark, sf_dir, "nation"), _CORR_VARS)
+    return round_doubles(pairs.filter(F.col("r") > 0.85))
+
+
+@query("j12_qq_fit", o.with_panels(
+    "SELECT city, ROUND(regr_slope(sample, th), 6) AS slope, ROUND(regr_intercept(sample, th), 6) AS intercept, "
+    "ROUND(regr_r2(sample, th), 6) AS r2, COUNT(*) AS n, regr_r2(sample, th) > 0.98 AS normal FROM "
+    "(SELECT city, sample, " + dist.probit_sql("pos") + " AS th FROM (SELECT city, temperature_2m_mean AS sample, "
+    "(ROW_NUMBER() OVER (PARTITION BY city ORDER BY temperature_2m_mean) - 0.5) / COUNT(*) OVER (PARTITION BY city) AS pos "
+    "FROM p WHERE temperature_2m_mean IS NOT NULL) a) b GROUP BY city", p=NAT))
+def q_qq(spark, sf_dir):
+    pts = st.qq_points(fx.panel(spark, sf_dir, "nation"), "temperature_2m_mean")
+    return round_doubles(st.qq_fit(pts))
+
+
+@query("j15_p_adjust")
+def q_padjust(spark, sf_dir):
+    """Per-city Welch tests (hot vs mild days) with Bonferroni and BH adjustment."""
+    r = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
+    per = (r.groupBy("city", "group").agg(F.count("impact_score").alias("n"), F.avg("impact_score").alias("m"),
+                                           F.var_samp("impact_score").alias("v")))
+    wide = per.groupBy("city").agg(*[F.max(F.when(F.col("group") == g, F.col(c))).alias(f"{c}_{g}")
+                                     for c in ("n", "m", "v") for g in ("high", "low")])
+    sa, sb = F.col("v_high") / F.col("n_high"), F.col("v_low") / F.col("n_low")
+    t = wide.select("city", ((F.col("m_high") - F.col("m_low")) / F.sqrt(sa + sb)).alias("t"),
+                    ((sa + sb) ** 2 / (sa ** 2 / (F.col("n_high") - 1) + sb ** 2 / (F.col("n_low") - 1))).alias("df"))
+    tested = st.with_p_value(t.filter(F.col("t").isNotNull()), "t").withColumn("family", F.lit("welch_by_city"))
+    return st.p_adjust(tested, "p", "family")
