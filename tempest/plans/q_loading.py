@@ -228,14 +228,14 @@ def q_coords(spark, sf_dir):
 
 
 _POINTS_SQL = ("SELECT s_suppkey AS point_id, 36.0 + s_nationkey * 0.25 + s_acctbal / 20000.0 AS lat, "
-               "44.0 + s_nationkey * 0.5 - s_acctbal / 40000.0 AS lon FROM supplier")
+               f"{fx.lon_sql('s_nationkey')} - s_acctbal / 40000.0 AS lon FROM supplier")
 
 
 def _points(spark, sf_dir):
     s = fx.table(spark, sf_dir, "supplier")
     return s.select(F.col("s_suppkey").alias("point_id"),
                     (F.lit(36.0) + F.col("s_nationkey") * 0.25 + F.col("s_acctbal") / 20000.0).alias("lat"),
-                    (F.lit(44.0) + F.col("s_nationkey") * 0.5 - F.col("s_acctbal") / 40000.0).alias("lon"))
+                    (fx.lon_of(F.col("s_nationkey")) - F.col("s_acctbal") / 40000.0).alias("lon"))
 
 
 @query("c05_nearest_city", o.with_panels(

@@ -57,3 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut the lineage of a DataFrame that is read many times (iterative ML fits): a
+    reliable checkpoint in the shared ``spark.checkpoint.dir`` (survives executor loss,
+    unlike a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

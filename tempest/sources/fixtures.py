@@ -19,8 +19,17 @@ from pyspark.sql import functions as F
 # The WMO codes that slots 0..8 of the fixture stand for.
 WMO_CODE_BY_SLOT = [0, 2, 45, 53, 61, 71, 80, 95, 99]
 
-# Synthetic coordinates of the fixture cities: key k -> (36 + k/4, 44 + k/2) degrees.
-LAT_BASE, LAT_STEP, LON_BASE, LON_STEP = 36.0, 0.25, 44.0, 0.5
+# Synthetic coordinates of the fixture cities: key k -> (36 + k/4, 44 + k/2 + k^2/8) degrees
+# (longitude not linear in latitude, so coordinates are not collinear model features).
+LAT_BASE, LAT_STEP, LON_BASE, LON_STEP, LON_CURVE = 36.0, 0.25, 44.0, 0.5, 0.125
+
+
+def lon_of(key):
+    return F.lit(LON_BASE) + key * LON_STEP + key * key * LON_CURVE
+
+
+def lon_sql(key: str) -> str:
+    return f"{LON_BASE} + {key} * {LON_STEP} + {key} * {key} * {LON_CURVE}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +81,7 @@ def _complete(df: DataFrame, key: str) -> DataFrame:
     return df.select(
         "city", "time",
         (F.lit(LAT_BASE) + F.col(key) * LAT_STEP).alias("latitude"),
-        (F.lit(LON_BASE) + F.col(key) * LON_STEP).alias("longitude"),
+        lon_of(F.col(key)).alias("longitude"),
         "temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
         (F.col("temperature_2m_max") + (F.col("relative_humidity_2m_mean") - 50) / 20)
         .alias("apparent_temperature_max"),
@@ -163,7 +172,7 @@ def nation_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("name"),
         (F.lit(LAT_BASE) + F.col("n_nationkey") * LAT_STEP).alias("lat"),
-        (F.lit(LON_BASE) + F.col("n_nationkey") * LON_STEP).alias("lon"),
+        lon_of(F.col("n_nationkey")).alias("lon"),
         F.col("n_nationkey").alias("map_order"))
 
 
@@ -181,7 +190,7 @@ def panel_sql(grain: str = "nation") -> str:
     return f"""
 SELECT city, time,
        {LAT_BASE} + city_key * {LAT_STEP} AS latitude,
-       {LON_BASE} + city_key * {LON_STEP} AS longitude,
+       {lon_sql("city_key")} AS longitude,
        temperature_2m_max, temperature_2m_min, temperature_2m_mean,
        temperature_2m_max + (relative_humidity_2m_mean - 50) / 20 AS apparent_temperature_max,
        precipitation_sum, rain_sum,
@@ -269,5 +278,5 @@ FROM events GROUP BY user_id, CAST(ts AS DATE)"""
 def nation_dim_sql() -> str:
     return f"""
 SELECT n_name AS name, {LAT_BASE} + n_nationkey * {LAT_STEP} AS lat,
-       {LON_BASE} + n_nationkey * {LON_STEP} AS lon, n_nationkey AS map_order
+       {lon_sql("n_nationkey")} AS lon, n_nationkey AS map_order
 FROM nation"""
