@@ -91,10 +91,11 @@ def replace_all(df: DataFrame, path: str, partition_by=("year",)) -> None:
      .partitionBy(*partition_by).parquet(path))
 
 
-def read_forecast_json(spark: SparkSession, path: str) -> DataFrame:
+def read_forecast_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``{"cities": {city: [day, ...]}}`` documents -> one row per (city, day).
-    The city key is matched case-insensitively downstream: ``city_key`` is lower case."""
-    doc = spark.read.schema(S.FORECAST_DOC).option("multiLine", True).json(path)
+    The city key is matched case-insensitively downstream: ``city_key`` is lower case.
+    ``multi_line=False`` reads one document per line (many documents split across tasks)."""
+    doc = spark.read.schema(S.FORECAST_DOC).option("multiLine", multi_line).json(path)
     per_city = doc.select(F.explode("cities").alias("city", "days"))
     days = per_city.select("city", F.posexplode("days").alias("pos", "d"))
     return days.select(F.col("city"), F.lower("city").alias("city_key"), "pos",
@@ -103,9 +104,9 @@ def read_forecast_json(spark: SparkSession, path: str) -> DataFrame:
                        "d.weather_category", "d.impact_score", "d.persistence_alert_level")
 
 
-def read_energy_json(spark: SparkSession, path: str):
+def read_energy_json(spark: SparkSession, path: str, multi_line: bool = True):
     """Energy documents -> (hourly rows, model metric rows)."""
-    doc = spark.read.schema(S.ENERGY_DOC).option("multiLine", True).json(path)
+    doc = spark.read.schema(S.ENERGY_DOC).option("multiLine", multi_line).json(path)
     hours = (doc.select(F.explode("locations").alias("city", "rows"))
              .select("city", F.explode("rows").alias("r")).select("city", "r.*"))
     metrics = doc.select(F.explode("model_metrics").alias("m")).select("m.*")
