@@ -104,4 +104,5 @@ def _load_groups():
     _LOADED = True
     from tempest.plans import (  # noqa: F401
         q_loading, q_derive, q_series, q_aggregates, q_quality, q_stats, q_models, q_marts,
+        q_streaming,
     )
