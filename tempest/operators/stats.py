@@ -15,6 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempest.functions import distributions as dist
 
@@ -273,30 +274,30 @@ def vif(corr_long: DataFrame, cols) -> pd.DataFrame:
 # p-values (pandas UDFs over the aggregated rows)
 # ---------------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([dist.t_two_sided_p(float(a), float(b)) if pd.notna(a) and pd.notna(b)
                       else float("nan") for a, b in zip(t, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([dist.f_sf(float(a), float(b), float(c)) if pd.notna(a) else float("nan")
                       for a, b, c in zip(f, d1, d2)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_p(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([dist.chi2_sf(float(a), float(b)) if pd.notna(a) else float("nan")
                       for a, b in zip(x, k)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _norm_p(z: pd.Series) -> pd.Series:
     return pd.Series([2 * dist.norm_sf(abs(float(a))) if pd.notna(a) else float("nan") for a in z])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tukey_p(q: pd.Series, k: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([dist.studentized_range_sf(float(a), int(b), float(c)) if pd.notna(a)
                       else float("nan") for a, b, c in zip(q, k, d)])
