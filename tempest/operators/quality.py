@@ -1,7 +1,8 @@
-"""Quality gates (Q1-Q9): every check is a one-row DataFrame
-``check_name, stage, status, details`` computed by one aggregation over its layer; status
-and details are Spark expressions, so nothing but the final rows reaches the driver.
-``run_all_checks`` unions the checks of the given layers in the fixed order.
+"""Quality gates (Q1-Q9): every check yields a row ``check_name, stage, status, details``
+computed from aggregates of its layer; status and details are Spark expressions, so
+nothing but the final rows reaches the driver. The aggregate-based checks of one layer
+share a single aggregation pass; ``run_all_checks`` unions the layers' rows in the fixed
+order (``seq``).
 """
 
 from __future__ import annotations
@@ -29,29 +30,131 @@ def _thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def check_row_count(df: DataFrame, stage: str = "raw_load") -> DataFrame:
-    s = df.agg(F.count(F.lit(1)).alias("n"))
-    empty = F.col("n") == 0
-    return _row(s, "row_count", stage, F.when(empty, "FAIL").otherwise("PASS"),
-                F.when(empty, F.lit("Zero rows — pipeline aborted."))
-                .otherwise(F.concat(_thousands(F.col("n")), F.lit(" rows present."))))
+class Check:
+    """One gate as (aggregates over the layer, row built from those aggregates). Several
+    checks of a layer share one aggregation pass (``single_pass``)."""
+
+    def __init__(self, name: str, aggs, status, details):
+        self.name, self.aggs, self.status, self.details = name, aggs, status, details
+
+
+def single_pass(df: DataFrame, stage: str, checks, seq0: int = 0, seqs=None) -> DataFrame:
+    aggs = [a for c in checks for a in c.aggs]
+    stats = df.agg(*aggs) if aggs else df.sparkSession.range(1)
+    seqs = list(seqs) if seqs is not None else [seq0 + i for i in range(len(checks))]
+    rows = [F.struct(F.lit(c.name).alias("check_name"), F.lit(stage).alias("stage"),
+                     c.status.alias("status"), c.details.alias("details"), F.lit(q).alias("seq"))
+            for c, q in zip(checks, seqs)]
+    return stats.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+
+def row_count_check(df: DataFrame, p: str = "rc") -> Check:
+    n = F.col(f"{p}_n")
+    empty = n == 0
+    return Check("row_count", [F.count(F.lit(1)).alias(f"{p}_n")],
+                 F.when(empty, "FAIL").otherwise("PASS"),
+                 F.when(empty, F.lit("Zero rows — pipeline aborted."))
+                 .otherwise(F.concat(_thousands(n), F.lit(" rows present."))))
 
 
 def numeric_columns(df: DataFrame):
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
-def check_null_ratio(df: DataFrame, stage: str = "staging", threshold: float = 0.05) -> DataFrame:
+def null_ratio_check(df: DataFrame, threshold: float = 0.05, p: str = "nr") -> Check:
     cols = numeric_columns(df)
-    s = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+    aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"{p}_{c}") for c in cols]
     bad = F.array_compact(F.array(*[
-        F.when(F.col(c) > threshold, F.format_string("%s (%.1f%%)", F.lit(c), F.col(c) * 100))
+        F.when(F.col(f"{p}_{c}") > threshold,
+               F.format_string("%s (%.1f%%)", F.lit(c), F.col(f"{p}_{c}") * 100))
         for c in cols])) if cols else F.array().cast("array<string>")
     pct = f"{threshold * 100:.0f}"
-    return _row(s, "null_ratio", stage, F.when(F.size(bad) > 0, "WARN").otherwise("PASS"),
-                F.when(F.size(bad) > 0, F.concat(F.lit(f"Columns exceeding {pct}% nulls: "),
-                                                 F.concat_ws(", ", bad)))
-                .otherwise(F.lit(f"All numeric columns have ≤ {pct}% nulls.")))
+    return Check("null_ratio", aggs, F.when(F.size(bad) > 0, "WARN").otherwise("PASS"),
+                 F.when(F.size(bad) > 0, F.concat(F.lit(f"Columns exceeding {pct}% nulls: "),
+                                                  F.concat_ws(", ", bad)))
+                 .otherwise(F.lit(f"All numeric columns have ≤ {pct}% nulls.")))
+
+
+def value_range_check(df: DataFrame, lo: float = TEMP_MIN, hi: float = TEMP_MAX, p: str = "vr") -> Check:
+    present = [c for c in TEMPERATURE_COLUMNS if c in df.columns]
+    skip = "No temperature columns found; check skipped."
+    if not present:
+        return Check("value_ranges", [], F.lit("WARN"), F.lit(skip))
+    out_of = None
+    for c in present:
+        cond = F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False))
+        out_of = cond if out_of is None else (out_of | cond)
+    n, bad = F.col(f"{p}_n"), F.col(f"{p}_bad")
+    rng = f"[{lo}°C, {hi}°C]"
+    return Check("value_ranges", [F.count(F.lit(1)).alias(f"{p}_n"), F.count_if(out_of).alias(f"{p}_bad")],
+                 F.when(n == 0, "WARN").when(bad > 0, "WARN").otherwise("PASS"),
+                 F.when(n == 0, F.lit(skip))
+                 .when(bad > 0, F.concat(_thousands(bad), F.lit(
+                     f" rows have temperature values outside {rng}. Flagged, not removed.")))
+                 .otherwise(F.lit(f"All temperature values within {rng}.")))
+
+
+def feature_completeness_check(df: DataFrame, required=REQUIRED_FEATURES, p: str = "fc") -> Check:
+    missing = [c for c in required if c not in df.columns]  # schema only, no data read
+    present = [c for c in required if c in df.columns]
+    aggs = [F.count(c).alias(f"{p}_{c}") for c in present]
+    all_null = F.array_compact(F.array(*[F.when(F.col(f"{p}_{c}") == 0, F.lit(f"'{c}'")) for c in present])) \
+        if present else F.array().cast("array<string>")
+    issues = []
+    if missing:
+        issues.append(F.lit("Missing columns: [" + ", ".join(f"'{c}'" for c in missing) + "]"))
+    issues.append(F.when(F.size(all_null) > 0,
+                         F.concat(F.lit("All-null columns: ["), F.concat_ws(", ", all_null), F.lit("]"))))
+    joined = F.concat_ws(" | ", *issues)
+    bad = joined != ""
+    return Check("feature_completeness", aggs, F.when(bad, "WARN").otherwise("PASS"),
+                 F.when(bad, joined).otherwise(
+                     F.lit(f"All {len(required)} required feature columns present and non-null.")))
+
+
+def freshness_check(df: DataFrame, max_lag_days: int = 2, as_of: _dt.date | None = None,
+                    p: str = "fr") -> Check:
+    as_of = as_of or _dt.date.today()
+    skip = "Column 'time' not found or table empty; freshness check skipped."
+    if "time" not in df.columns:
+        return Check("freshness", [], F.lit("WARN"), F.lit(skip))
+    latest = F.col(f"{p}_latest")
+    lag = F.datediff(F.lit(as_of), latest)
+    latest_s = F.date_format(latest, "yyyy-MM-dd")
+    return Check("freshness", [F.max(F.to_date("time")).alias(f"{p}_latest")],
+                 F.when(latest.isNull(), "WARN").when(lag > max_lag_days, "WARN").otherwise("PASS"),
+                 F.when(latest.isNull(), F.lit(skip))
+                 .when(lag > max_lag_days, F.format_string(
+                     f"Latest date in data: %s. Today: {as_of}. Lag = %d days (threshold = {max_lag_days} days).",
+                     latest_s, lag))
+                 .otherwise(F.format_string("Data is fresh. Latest date: %s (lag %d days).", latest_s, lag)))
+
+
+def _one(df: DataFrame, stage: str, check: Check) -> DataFrame:
+    return single_pass(df, stage, [check]).drop("seq")
+
+
+def check_row_count(df: DataFrame, stage: str = "raw_load") -> DataFrame:
+    return _one(df, stage, row_count_check(df))
+
+
+def check_null_ratio(df: DataFrame, stage: str = "staging", threshold: float = 0.05) -> DataFrame:
+    return _one(df, stage, null_ratio_check(df, threshold))
+
+
+def check_value_ranges(df: DataFrame, stage: str = "staging", lo: float = TEMP_MIN,
+                       hi: float = TEMP_MAX) -> DataFrame:
+    return _one(df, stage, value_range_check(df, lo, hi))
+
+
+def check_feature_completeness(df: DataFrame, stage: str = "analytics",
+                               required=REQUIRED_FEATURES) -> DataFrame:
+    return _one(df, stage, feature_completeness_check(df, required))
+
+
+def check_freshness(df: DataFrame, stage: str = "raw_load", max_lag_days: int = 2,
+                    as_of: _dt.date | None = None) -> DataFrame:
+    return _one(df, stage, freshness_check(df, max_lag_days, as_of))
 
 
 def city_max_gaps(df: DataFrame, key="city", order="time") -> DataFrame:
@@ -82,63 +185,6 @@ def check_date_continuity(df: DataFrame, stage: str = "staging", max_gap_days: i
     return _row(s, "date_continuity", stage, status, details)
 
 
-def check_value_ranges(df: DataFrame, stage: str = "staging", lo: float = TEMP_MIN,
-                       hi: float = TEMP_MAX) -> DataFrame:
-    present = [c for c in TEMPERATURE_COLUMNS if c in df.columns]
-    skip = "No temperature columns found; check skipped."
-    if not present:
-        return _row(df.sparkSession.range(1), "value_ranges", stage, F.lit("WARN"), F.lit(skip))
-    out_of = None
-    for c in present:
-        cond = F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False))
-        out_of = cond if out_of is None else (out_of | cond)
-    s = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(out_of).alias("bad"))
-    rng = f"[{lo}°C, {hi}°C]"
-    status = F.when(F.col("n") == 0, "WARN").when(F.col("bad") > 0, "WARN").otherwise("PASS")
-    details = (F.when(F.col("n") == 0, F.lit(skip))
-               .when(F.col("bad") > 0, F.concat(_thousands(F.col("bad")),
-                                                F.lit(f" rows have temperature values outside {rng}. Flagged, not removed.")))
-               .otherwise(F.lit(f"All temperature values within {rng}.")))
-    return _row(s, "value_ranges", stage, status, details)
-
-
-def check_feature_completeness(df: DataFrame, stage: str = "analytics",
-                               required=REQUIRED_FEATURES) -> DataFrame:
-    missing = [c for c in required if c not in df.columns]  # schema only, no data read
-    present = [c for c in required if c in df.columns]
-    s = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in present])
-    all_null = F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(f"'{c}'")) for c in present])) \
-        if present else F.array().cast("array<string>")
-    issues = []
-    if missing:
-        issues.append(F.lit("Missing columns: [" + ", ".join(f"'{c}'" for c in missing) + "]"))
-    issues.append(F.when(F.size(all_null) > 0,
-                         F.concat(F.lit("All-null columns: ["), F.concat_ws(", ", all_null), F.lit("]"))))
-    joined = F.concat_ws(" | ", *issues)
-    bad = joined != ""
-    return _row(s, "feature_completeness", stage, F.when(bad, "WARN").otherwise("PASS"),
-                F.when(bad, joined).otherwise(
-                    F.lit(f"All {len(required)} required feature columns present and non-null.")))
-
-
-def check_freshness(df: DataFrame, stage: str = "raw_load", max_lag_days: int = 2,
-                    as_of: _dt.date | None = None) -> DataFrame:
-    as_of = as_of or _dt.date.today()
-    skip = "Column 'time' not found or table empty; freshness check skipped."
-    if "time" not in df.columns:
-        return _row(df.sparkSession.range(1), "freshness", stage, F.lit("WARN"), F.lit(skip))
-    s = df.agg(F.max(F.to_date("time")).alias("latest"))
-    lag = F.datediff(F.lit(as_of), F.col("latest"))
-    latest_s = F.date_format("latest", "yyyy-MM-dd")
-    status = F.when(F.col("latest").isNull(), "WARN").when(lag > max_lag_days, "WARN").otherwise("PASS")
-    details = (F.when(F.col("latest").isNull(), F.lit(skip))
-               .when(lag > max_lag_days,
-                     F.format_string(f"Latest date in data: %s. Today: {as_of}. Lag = %d days (threshold = {max_lag_days} days).",
-                                     latest_s, lag))
-               .otherwise(F.format_string("Data is fresh. Latest date: %s (lag %d days).", latest_s, lag)))
-    return _row(s, "freshness", stage, status, details)
-
-
 def run_all_checks(raw: DataFrame | None = None, staging: DataFrame | None = None,
                    analytics: DataFrame | None = None, as_of: _dt.date | None = None,
                    names=("raw_historical", "staging_historical", "analytics_historical")) -> DataFrame:
@@ -147,15 +193,17 @@ def run_all_checks(raw: DataFrame | None = None, staging: DataFrame | None = Non
     an empty layer reports FAIL on row_count."""
     parts = []
     if raw is not None:
-        parts += [check_row_count(raw, names[0]), check_freshness(raw, names[0], as_of=as_of)]
+        parts.append(single_pass(raw, names[0], [row_count_check(raw), freshness_check(raw, as_of=as_of)], 0))
     if staging is not None:
-        parts += [check_row_count(staging, names[1]), check_null_ratio(staging, names[1]),
-                  check_date_continuity(staging, names[1]), check_value_ranges(staging, names[1])]
+        one = single_pass(staging, names[1], [row_count_check(staging), null_ratio_check(staging),
+                                              value_range_check(staging)], seqs=(2, 3, 5))
+        cont = check_date_continuity(staging, names[1]).withColumn("seq", F.lit(4))
+        parts += [one, cont]
     if analytics is not None:
-        parts += [check_row_count(analytics, names[2]), check_feature_completeness(analytics, names[2])]
+        parts.append(single_pass(analytics, names[2], [row_count_check(analytics),
+                                                       feature_completeness_check(analytics)], 6))
     out = None
-    for i, p in enumerate(parts):
-        p = p.withColumn("seq", F.lit(i))
+    for p in parts:
         out = p if out is None else out.unionByName(p)
     return out
 
