@@ -219,3 +219,14 @@ def last_season_buckets(df: DataFrame, n: int = 4, key="city", time="time") -> D
                .distinct())
     w = Window.partitionBy(key).orderBy(F.col("season_year").desc(), F.col("_si").desc())
     return buckets.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n).drop("_si")
+
+
+def pick_model_metrics(metrics: DataFrame) -> DataFrame:
+    """One row of R^2 / RMSE per target from the metric list (absent values -> 0)."""
+    def pick(target, col):
+        return F.coalesce(F.max(F.when(F.col("target") == target, F.col(col))), F.lit(0.0))
+    return metrics.agg(pick("temperature_2m", "test_r2").alias("temp_r2"),
+                       pick("temperature_2m", "test_rmse").alias("temp_rmse"),
+                       pick("wind_speed_10m", "test_r2").alias("wind_r2"),
+                       pick("wind_speed_10m", "test_rmse").alias("wind_rmse"),
+                       pick("shortwave_radiation", "test_r2").alias("solar_r2"))

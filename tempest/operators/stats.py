@@ -321,3 +321,17 @@ def with_p_value(result: DataFrame, kind: str) -> DataFrame:
         return result.withColumn("p_adj", _tukey_p("q", "k", "df")).withColumn(
             "reject", F.col("p_adj") < 0.05)
     raise ValueError(kind)
+
+
+def correlation_with_others(df: DataFrame, value: str, key="city", order="time", lag: int = 0) -> DataFrame:
+    """Cross-city correlation without pairing cities: each city's series against the mean of
+    all *other* cities on the same day (optionally the city lagged by ``lag`` rows).
+    Daily totals are one aggregate keyed by day; the join back is an equi-join on the day."""
+    v = df.filter(F.col(value).isNotNull()).select(key, order, value)
+    day = v.groupBy(order).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    others = (F.col("_s") - F.col(value)) / (F.col("_n") - 1)
+    j = v.join(day, order).filter(F.col("_n") > 1).select(key, order, value, others.alias("others"))
+    x = F.lag(value, lag).over(Window.partitionBy(key).orderBy(order)) if lag else F.col(value)
+    return (j.select(key, x.alias("_x"), "others").groupBy(key)
+            .agg(F.corr("_x", "others").alias("r"), F.count("_x").alias("n"))
+            .withColumn("lag", F.lit(lag)))

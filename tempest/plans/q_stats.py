@@ -271,3 +271,30 @@ def q_padjust(spark, sf_dir):
                     ((sa + sb) ** 2 / (sa ** 2 / (F.col("n_high") - 1) + sb ** 2 / (F.col("n_low") - 1))).alias("df"))
     tested = st.with_p_value(t.filter(F.col("t").isNotNull()), "t").withColumn("family", F.lit("welch_by_city"))
     return st.p_adjust(tested, "p", "family")
+
+
+def _others_sql(lag):
+    x = f"LAG(p.temperature_2m_max, {lag}) OVER (PARTITION BY p.city ORDER BY p.time)" if lag else "p.temperature_2m_max"
+    return ("SELECT city, ROUND(CORR(x, others), 6) AS r, COUNT(x) AS n, " + str(lag) + " AS lag FROM "
+            f"(SELECT p.city, {x} AS x, (d.s - p.temperature_2m_max) / (d.n - 1) AS others FROM p JOIN "
+            "(SELECT time, SUM(temperature_2m_max) AS s, COUNT(*) AS n FROM p WHERE temperature_2m_max IS NOT NULL GROUP BY time) d "
+            "ON p.time = d.time WHERE p.temperature_2m_max IS NOT NULL AND d.n > 1) j GROUP BY city")
+
+
+@query("j14_correlation_with_other_cities", o.with_panels(_others_sql(0), p=NAT))
+def q_others(spark, sf_dir):
+    return round_doubles(st.correlation_with_others(fx.panel(spark, sf_dir, "nation"), "temperature_2m_max"))
+
+
+@query("j14_lagged_correlation_with_other_cities", o.with_panels(_others_sql(1), p=NAT))
+def q_others_lag(spark, sf_dir):
+    return round_doubles(st.correlation_with_others(fx.panel(spark, sf_dir, "nation"), "temperature_2m_max", lag=1))
+
+
+@query("j16_vif")
+def q_vif(spark, sf_dir):
+    """VIF of the correlation variables for one city (k x k matrix, inverted on the driver)."""
+    p = fx.panel(spark, sf_dir, "nation")
+    first_city = p.select(F.min("city")).first()[0]
+    pairs = st.correlation_pairs(p.filter(F.col("city") == first_city), _CORR_VARS[:4] + _CORR_VARS[5:])
+    return spark.createDataFrame(st.vif(pairs, _CORR_VARS[:4] + _CORR_VARS[5:]))

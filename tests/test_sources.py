@@ -54,3 +54,12 @@ def test_energy_json_both_solar_names(spark, scratch):
     d = energy_daily(hours).first()
     assert (d["wind"], d["solar"], d["total"]) == (4.01, 3.5, 7.51)
     assert metrics.first()["test_rmse"] == 1.1
+
+
+def test_pick_model_metrics(spark, scratch):
+    from tempest.operators.aggregates import pick_model_metrics
+
+    m = spark.createDataFrame([("temperature_2m", 0.9, 1.1), ("wind_speed_10m", 0.7, 2.0)],
+                              "target string, test_r2 double, test_rmse double")
+    r = pick_model_metrics(m).first()
+    assert (r["temp_r2"], r["wind_rmse"], r["solar_r2"]) == (0.9, 2.0, 0.0)
