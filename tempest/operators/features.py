@@ -165,10 +165,13 @@ def date_gap_days(key="city", order="time") -> Column:
 
 
 def latest_per_key(df: DataFrame, key="city", order="time") -> DataFrame:
-    """Newest row per key (QUALIFY row_number() = 1 without QUALIFY)."""
+    """Newest row per key (QUALIFY row_number() = 1 without QUALIFY), as a ``max_by``
+    aggregation: partial aggregation keeps one candidate per key and partition, so a key
+    with a huge number of rows never sorts in one task."""
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def merge_prefer(first: DataFrame, second: DataFrame, keys=("city", "time")) -> DataFrame:

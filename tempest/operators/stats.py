@@ -24,9 +24,26 @@ from tempest.functions import distributions as dist
 # building blocks
 # ---------------------------------------------------------------------------------
 
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> DataFrame:
+    """Exact quantile (linear interpolation between order statistics, as ``percentile``)
+    without gathering the values of the column in one task: rows are reduced to
+    (value, count), positions come from ``global_mid_ranks``' bucketed prefix sums, and the
+    two order statistics around (N - 1) q are picked by a filter. One-row result."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    ranks = global_mid_ranks(counts, col, "n", buckets)
+    pos = ranks.select(col, "n", (F.col("mid_rank") - (F.col("n") + 1) / 2.0).alias("before"))
+    total = counts.select(F.sum("n")).scalar()
+    h = (total - 1) * q
+    lo_i, hi_i = F.floor(h), F.ceil(h)
+    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+    picked = pos.filter(holds(lo_i) | holds(hi_i)).agg(
+        F.max(F.when(holds(lo_i), F.col(col))).alias("_lo"), F.max(F.when(holds(hi_i), F.col(col))).alias("_hi"))
+    return picked.select((F.col("_lo") + (h - lo_i) * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+
+
 def global_median(df: DataFrame, col: str) -> Column:
-    """Exact median of a column as a scalar subquery."""
-    return df.select(F.percentile(F.col(col), 0.5)).scalar()
+    """Exact median of a column as a scalar subquery over the distributed order statistics."""
+    return exact_quantile(df, col, 0.5).scalar()
 
 
 def median_split(df: DataFrame, col: str, label: str = "group") -> DataFrame:

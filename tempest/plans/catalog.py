@@ -57,9 +57,23 @@ def r6(expr: str, alias: str) -> str:
     return f"ROUND({expr}, 6) AS {alias}"
 
 
+def _prepared(build: Callable) -> Callable:
+    """Every query runs with the UTC session time zone (dates of naive timestamps) and a
+    checkpoint folder (the configured shared one, or a scratch one when unset)."""
+    def run(spark, sf_dir):
+        from tempest.session import checkpoint_dir
+
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        checkpoint_dir(spark)
+        return build(spark, sf_dir)
+    run.__name__ = getattr(build, "__name__", "query")
+    run.__doc__ = build.__doc__
+    return run
+
+
 def all_queries() -> dict[str, Callable]:
     _load_groups()
-    return {k: v.build for k, v in REGISTRY.items()}
+    return {k: _prepared(v.build) for k, v in REGISTRY.items()}
 
 
 def nudge_rounding(sql: str) -> str:
