@@ -317,7 +317,7 @@ def q_f02(spark, sf_dir):
 
 
 @query("f04_last_four_seasons", o.with_panels(
-    "SELECT city, season_year, season, recency FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY season_year DESC, si DESC) AS recency FROM "
+    "SELECT city, season_year, season, CAST(recency AS INTEGER) AS recency FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY season_year DESC, si DESC) AS recency FROM "
     "(SELECT DISTINCT city, CAST(CASE WHEN month(time) IN (1, 2) THEN year(time) - 1 ELSE year(time) END AS INTEGER) AS season_year, "
     "CASE WHEN month(time) IN (12, 1, 2) THEN 'Winter' WHEN month(time) IN (3, 4, 5) THEN 'Spring' WHEN month(time) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END AS season, "
     "CASE WHEN month(time) IN (3, 4, 5) THEN 0 WHEN month(time) IN (6, 7, 8) THEN 1 WHEN month(time) IN (9, 10, 11) THEN 2 ELSE 3 END AS si FROM p) b) r "

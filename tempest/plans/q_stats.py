@@ -231,7 +231,7 @@ def q_spearman(spark, sf_dir):
 
 
 @query("j11_strong_pairs", o.with_panels(
-    "SELECT city, var_a, var_b, r, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY ABS(r) DESC, var_a, var_b) AS rank "
+    "SELECT city, var_a, var_b, r, CAST(rank AS INTEGER) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY ABS(r) DESC, var_a, var_b) AS rank "
     "FROM (SELECT city, var_a, var_b, CORR_R AS r FROM c) c2 WHERE ABS(r) > 0.7) s WHERE rank <= 4",
     p=NAT, c=_corr_sql("p").replace("ROUND(CORR(", "(CORR(").replace("), 6) AS r", ")) AS CORR_R")))
 def q_strong(spark, sf_dir):
