@@ -75,20 +75,31 @@ def read_first_available(spark: SparkSession, candidates, table: str | None = No
     return None
 
 
+def layout_for_write(df: DataFrame, partition_by=("year",), cluster=("city", "time")) -> DataFrame:
+    """Range-partition on the directory columns plus the clustering key, then sort inside
+    each task: a task covers a contiguous (year, city) range, so it writes one or two year
+    directories (few, large files instead of years x tasks small ones), and the Parquet
+    min/max statistics of city and time become selective for later filters."""
+    part = [c for c in partition_by if c in df.columns]
+    clus = [c for c in cluster if c in df.columns]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *part, *clus[:1]).sortWithinPartitions(*part, *clus)
+
+
 def write_layer(df: DataFrame, path: str, partition_by=("year",), mode: str = "overwrite") -> None:
     """Write a layer as Parquet partitioned by year. With dynamic partition overwrite only
     the partitions present in ``df`` are replaced."""
     out = df
     if "year" in partition_by and "year" not in df.columns:
         out = df.withColumn("year", F.year("time"))
-    out.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    layout_for_write(out, partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def replace_all(df: DataFrame, path: str, partition_by=("year",)) -> None:
     """Full replacement of a layer (full mode, forecasts): static overwrite of every partition."""
     out = df if "year" in df.columns else df.withColumn("year", F.year("time"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy(*partition_by).parquet(path))
+    (layout_for_write(out, partition_by).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path))
 
 
 def read_forecast_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

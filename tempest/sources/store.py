@@ -42,17 +42,20 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys=KEYS,
                    seq: str | None = None) -> DataFrame:
     """Merge ``batch`` into the Parquet layer at ``path``; only the years present in the
     batch are read back and rewritten (dynamic partition overwrite)."""
-    from tempest.sources.files import path_exists
+    from tempest.sources.files import layout_for_write, path_exists
 
     batch = batch.withColumn("year", F.year("time"))
     if path_exists(spark, path):
-        years = batch.select("year").distinct()
-        current = spark.read.parquet(path).join(F.broadcast(years), "year", "left_semi")
+        # the distinct years of a batch are a handful of values: an explicit isin gives
+        # static partition pruning, only those directories are read and rewritten
+        years = [r[0] for r in batch.select("year").distinct().collect()]
+        current = spark.read.parquet(path).filter(F.col("year").isin(years))
         merged = upsert(current.drop("year"), batch.drop("year"), keys, seq)
     else:
         merged = upsert(None, batch.drop("year"), keys, seq)
-    merged = merged.withColumn("year", F.year("time")).checkpoint()  # cut lineage to the input
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # reliable checkpoint: the rewritten partitions are also the ones being read
+    merged = merged.withColumn("year", F.year("time")).checkpoint()
+    (layout_for_write(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year").parquet(path))
     return spark.read.parquet(path)
 
