@@ -324,3 +324,16 @@ def q_f02(spark, sf_dir):
     "WHERE recency <= 4", p=NAT))
 def q_f04(spark, sf_dir):
     return ag.last_season_buckets(_nation(spark, sf_dir), 4)
+
+
+@query("d07_null_top5", o.with_panels(
+    "SELECT \"column\", ROUND(null_pct, 6) AS null_pct FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, AVG(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS null_pct FROM p"
+        for c in _NULL_COLS) + ") u ORDER BY null_pct DESC, \"column\" LIMIT 5", p=o.nulls("region")))
+def q_d07_top(spark, sf_dir):
+    """Overall null share per column, the five largest (the audit's top-5 list)."""
+    p = fx.panel_with_nulls(spark, sf_dir, "region")
+    overall = p.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(c) for c in _NULL_COLS])
+    long = overall.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("null_pct"))
+                                              for c in _NULL_COLS])).alias("_r")).select("_r.*")
+    return round_doubles(ag.top_k(long, [F.col("null_pct").desc(), "column"], 5))

@@ -199,3 +199,11 @@ def q_recent(spark, sf_dir):
     h, f = _hf(spark, sf_dir)
     hist = mt.city_history(h, f).filter(F.col("time") >= F.lit("2001-01-01").cast("date"))
     return round_doubles(hist.select("city", "time", *_HCOLS))
+
+
+@query("l06_seasonal_kruskal_p_value")
+def q_box_kw_p(spark, sf_dir):
+    from tempest.operators.stats import with_p_value
+
+    h, f = _hf(spark, sf_dir)
+    return with_p_value(mt.seasonal_kruskal(mt.city_history(h, f)), "kruskal")

@@ -296,13 +296,13 @@ def q_every_kth(spark, sf_dir):
             .select("city", "time", rnd("temperature_2m_max").alias("temperature_2m_max")))
 
 
-def _acf_sql(max_lag=40):
+def _acf_sql(max_lag=40, src="p", col="temperature_2m_mean", where=""):
     lags = ", ".join(f"LAG(d, {k}) OVER (" + W + f") AS l{k}" for k in range(1, max_lag + 1))
     sums = ", ".join(f"SUM(d * l{k}) AS p{k}" for k in range(1, max_lag + 1))
     arr = ", ".join(f"p{k} / ss" for k in range(1, max_lag + 1))
     return ("SELECT city, CAST(generate_subscripts(a, 1) AS INTEGER) AS lag, ROUND(unnest(a), 6) AS acf, ROUND(1.96 / sqrt(n), 6) AS band FROM ("
             f"SELECT city, n, [{arr}] AS a FROM (SELECT city, SUM(d * d) AS ss, COUNT(d) AS n, {sums} FROM "
-            f"(SELECT city, d, {lags} FROM (SELECT city, time, temperature_2m_mean - AVG(temperature_2m_mean) OVER (PARTITION BY city) AS d FROM p) c) l "
+            f"(SELECT city, d, {lags} FROM (SELECT city, time, {col} - AVG({col}) OVER (PARTITION BY city) AS d FROM {src} {where}) c) l "
             "GROUP BY city) g) x")
 
 
