@@ -94,12 +94,33 @@ def add_lag_features(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def add_climatology_window(df: DataFrame, is_train: Column) -> DataFrame:
+    """Same result as ``add_climatology`` when the training rows are a subset of ``df``:
+    conditional averages over (city, doy) and city windows, which cluster on ``city`` like
+    the lag windows, so no join and no extra shuffle of the panel. The overall fallbacks
+    are scalar subqueries."""
+    w_doy = Window.partitionBy("city", "day_of_year")
+    w_city = Window.partitionBy("city")
+
+    def t(col):
+        return F.when(is_train, F.col(col))
+    out = [F.col(c) for c in df.columns]
+    for c, src in CLIM_SOURCES.items():
+        by_doy = F.avg(t(src)).over(w_doy)
+        if c in CITY_FILLED:
+            out.append(F.coalesce(by_doy, F.avg(t(src)).over(w_city)).alias(c))
+        else:
+            out.append(F.coalesce(by_doy, df.filter(is_train).select(F.avg(src)).scalar()).alias(c))
+    for c, src in CITY_STATS.items():
+        out.append(F.coalesce(F.avg(t(src)).over(w_city), df.filter(is_train).select(F.avg(src)).scalar()).alias(c))
+    return df.select(*out)
+
+
 def model_table(panel: DataFrame, train_years=(1995, 1999), test_year: int = 2000):
     """(full, train, test): lags built on all rows before the split, climatology from the
     training years only."""
     base = base_columns(panel)
-    train_rows = base.filter(F.col("year").between(*train_years))
-    full = add_lag_features(add_climatology(base, train_rows))
+    full = add_lag_features(add_climatology_window(base, F.col("year").between(*train_years)))
     train = full.filter(F.col("year").between(*train_years))
     test = full.filter(F.col("year") == test_year)
     return full, train, test
@@ -264,6 +285,24 @@ def fit_linear(train: DataFrame, test: DataFrame, features=LINEAR_FEATURES, labe
     return model, model.transform(tr), model.transform(te)
 
 
+def lasso_path(train: DataFrame, test: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0, 10.0),
+               features=LINEAR_FEATURES, label: str = REG_TARGET, zero: float = 1e-6):
+    """Lasso fits over alpha (regParam = alpha: Spark divides the penalty by the label's sd,
+    which cancels the label scaling of the loss): test RMSE and the number of coefficients
+    with |coef| < 1e-6."""
+    from pyspark.ml.regression import LinearRegression
+
+    tr, te = scale_on_train(train, test, features, label)
+    rows = []
+    for a in alphas:
+        m = LinearRegression(featuresCol="features", labelCol=label, regParam=a, elasticNetParam=1.0,
+                             standardization=False).fit(tr)
+        r = regression_metrics(m.transform(te), label, model=f"lasso_alpha_{a}").first()
+        rows.append({"alpha": float(a), "rmse": float(r["rmse"]), "r2": float(r["r2"]),
+                     "zeroed": int(sum(abs(c) < zero for c in m.coefficients)), "features": len(features)})
+    return rows
+
+
 def ridge_alpha_to_reg(train: DataFrame, alpha: float, label: str = REG_TARGET) -> float:
     n, sd = train.select(F.count(label), F.stddev_pop(label)).first()
     return alpha * sd / n if n else alpha

@@ -306,3 +306,14 @@ def q_dedupe(spark, sf_dir):
     u = (h.select("city", "time", "temperature_2m_mean", F.lit(0).alias("seq"))
          .union(f.select("city", "time", "temperature_2m_mean", F.lit(1).alias("seq"))))
     return round_doubles(dedupe_first(u, ("city", "time"), seq="seq").drop("seq"))
+
+
+@query("a02_panel_csv_roundtrip", o.with_panels(o.rounded_select(RAW_D, ["city", "time", "weather_code"], "p"),
+                                                p=NAT))
+def q_panel_csv(spark, sf_dir):
+    """Write the combined panel as one CSV dataset with a header, read it back with the
+    panel reader (explicit schema, text dates parsed)."""
+    path = _scratch(spark, "panel-csv")
+    (_nation(spark, sf_dir).withColumn("time", F.date_format("time", "yyyy-MM-dd"))
+     .select(*S.DAILY_CSV.fieldNames()).write.option("header", True).csv(path))
+    return round_doubles(files.read_panel_csv(spark, path).select(*S.RAW_COLUMNS))
