@@ -104,15 +104,18 @@ def add_climatology_window(df: DataFrame, is_train: Column) -> DataFrame:
 
     def t(col):
         return F.when(is_train, F.col(col))
+    scalar_src = {c: src for c, src in {**CLIM_SOURCES, **CITY_STATS}.items() if c not in CITY_FILLED}
+    # every overall training mean in one scalar subquery (one pass over the training rows)
+    overall = df.filter(is_train).select(F.struct(*[F.avg(src).alias(c) for c, src in scalar_src.items()])).scalar()
     out = [F.col(c) for c in df.columns]
     for c, src in CLIM_SOURCES.items():
         by_doy = F.avg(t(src)).over(w_doy)
         if c in CITY_FILLED:
             out.append(F.coalesce(by_doy, F.avg(t(src)).over(w_city)).alias(c))
         else:
-            out.append(F.coalesce(by_doy, df.filter(is_train).select(F.avg(src)).scalar()).alias(c))
+            out.append(F.coalesce(by_doy, overall[c]).alias(c))
     for c, src in CITY_STATS.items():
-        out.append(F.coalesce(F.avg(t(src)).over(w_city), df.filter(is_train).select(F.avg(src)).scalar()).alias(c))
+        out.append(F.coalesce(F.avg(t(src)).over(w_city), overall[c]).alias(c))
     return df.select(*out)
 
 
