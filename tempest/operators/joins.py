@@ -2,7 +2,7 @@
 (C1, C2, C4, C5, C7, C8, C9).
 
 Broadcast policy: only dimensions with a fixed size bound get an explicit ``broadcast``
-(the city map, pair tables of a bounded number of groups). Aggregates whose size grows with
+(the city map). Aggregates whose size grows with
 the number of cities (climatology: cities x 366) are joined without a hint; AQE converts
 the join to a broadcast at runtime when the materialised side is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps the shuffle join otherwise.
@@ -33,10 +33,10 @@ def merge_climatology(df: DataFrame, train: DataFrame, variables=CLIM_VARS, key=
     (city, doy) mean -> city mean -> overall training mean."""
     by_doy, by_city, overall = climatology(train, variables, key, doy)
     j = df.join(by_doy, [key, doy], "left").join(by_city, key, "left")
+    allv = overall.select(F.struct(*[f"all_{v}" for v in variables])).scalar()  # one scalar subquery
     out = [F.col(c) for c in df.columns]
     for v in variables:
-        scalar = overall.select(f"all_{v}").scalar()  # one-row scalar subquery
-        out.append(F.coalesce(F.col(f"clim_{v}"), F.col(f"city_{v}"), scalar).alias(f"clim_{v}"))
+        out.append(F.coalesce(F.col(f"clim_{v}"), F.col(f"city_{v}"), allv[f"all_{v}"]).alias(f"clim_{v}"))
     return j.select(*out)
 
 
@@ -81,11 +81,14 @@ def nearest_city(points: DataFrame, city_map: DataFrame, lat="lat", lon="lon",
 
 
 def group_pairs(stats: DataFrame, key: str) -> DataFrame:
-    """All pairs a < b of a per-group statistics table (non-equi join). Only for tables with
-    a fixed, small number of groups (e.g. alert levels): the output is k(k-1)/2 rows."""
+    """All pairs a < b of a per-group statistics table (theta self-join). The input is an
+    aggregate with one row per group (k rows), never data rows; the output, k(k-1)/2 rows,
+    is the pairwise comparison table itself. Columns get ``_a`` / ``_b`` suffixes."""
     a = stats.select(*[F.col(c).alias(f"{c}_a") for c in stats.columns])
     b = stats.select(*[F.col(c).alias(f"{c}_b") for c in stats.columns])
-    return F.broadcast(a).join(F.broadcast(b), F.col(f"{key}_a") < F.col(f"{key}_b"))
+    # no broadcast hint: the number of groups is not bounded in general (e.g. cities);
+    # the planner broadcasts the side when its measured size allows
+    return a.join(b, F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
 def align_by_year(df: DataFrame, years, value="temperature_2m_max", key="city",

@@ -123,9 +123,9 @@ def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
     mse = st.select(F.sum("m2") / (F.sum("n") - F.count(F.lit(1)))).scalar()
     dfe = st.select(F.sum("n") - F.count(F.lit(1))).scalar()
     k = st.select(F.count(F.lit(1))).scalar()
-    a = st.select(*[F.col(c).alias(f"{c}_a") for c in (group, "n", "mean")])
-    b = st.select(*[F.col(c).alias(f"{c}_b") for c in (group, "n", "mean")])
-    pairs = a.join(b, F.col(f"{group}_a") < F.col(f"{group}_b"))
+    from tempest.operators.joins import group_pairs
+
+    pairs = group_pairs(st.select(group, "n", "mean"), group)
     diff = F.col("mean_b") - F.col("mean_a")
     q = F.abs(diff) / F.sqrt(mse / 2 * (1 / F.col("n_a") + 1 / F.col("n_b")))
     return pairs.select(F.col(f"{group}_a").alias("group1"), F.col(f"{group}_b").alias("group2"),
