@@ -76,8 +76,13 @@ def _completeness_sql(src, stage, seq):
 
 
 def _layers(spark, sf_dir):
-    raw = fx.panel_with_nulls(spark, sf_dir, "region")
-    staging = cl.handle_missing(raw)
+    """The three layers, each materialised once (reliable checkpoints in the shared
+    checkpoint folder, as a layer run writes them to Parquet) so the gates of a layer do
+    not recompute its lineage."""
+    from tempest.session import materialize
+
+    raw = materialize(fx.panel_with_nulls(spark, sf_dir, "region"))
+    staging = materialize(cl.handle_missing(raw))
     analytics = fe.compute_all_features(staging)
     return raw, staging, analytics
 
