@@ -80,15 +80,21 @@ def nearest_city(points: DataFrame, city_map: DataFrame, lat="lat", lon="lon",
                        F.when(ok, F.col("_b._name")).otherwise(F.lit(unknown)).alias("city"))
 
 
-def group_pairs(stats: DataFrame, key: str) -> DataFrame:
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def group_pairs(stats: DataFrame, key: str, max_broadcast_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
     """All pairs a < b of a per-group statistics table (theta self-join). The input is an
     aggregate with one row per group (k rows), never data rows; the output, k(k-1)/2 rows,
-    is the pairwise comparison table itself. Columns get ``_a`` / ``_b`` suffixes."""
+    is the pairwise comparison table itself. Columns get ``_a`` / ``_b`` suffixes.
+
+    The group count is checked first: up to ``max_broadcast_groups`` one side is broadcast
+    (nested-loop join inside each task); beyond it the planner's partitioned join is used."""
     a = stats.select(*[F.col(c).alias(f"{c}_a") for c in stats.columns])
     b = stats.select(*[F.col(c).alias(f"{c}_b") for c in stats.columns])
-    # no broadcast hint: the number of groups is not bounded in general (e.g. cities);
-    # the planner broadcasts the side when its measured size allows
-    return a.join(b, F.col(f"{key}_a") < F.col(f"{key}_b"))
+    k = stats.count()
+    right = F.broadcast(b) if k <= max_broadcast_groups else b
+    return a.join(right, F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
 def align_by_year(df: DataFrame, years, value="temperature_2m_max", key="city",

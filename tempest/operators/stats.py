@@ -12,6 +12,8 @@ No unpartitioned window over the data is ever formed.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +34,10 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> Data
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     ranks = global_mid_ranks(counts, col, "n", buckets)
     pos = ranks.select(col, "n", (F.col("mid_rank") - (F.col("n") + 1) / 2.0).alias("before"))
-    total = counts.select(F.sum("n")).scalar()
+    total = counts.select(F.sum("n")).first()[0] or 0  # one number
     h = (total - 1) * q
-    lo_i, hi_i = F.floor(h), F.ceil(h)
+    lo_i, hi_i = F.lit(float(math.floor(h))), F.lit(float(math.ceil(h)))
+    h = F.lit(float(h))
     holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
     picked = pos.filter(holds(lo_i) | holds(hi_i)).agg(
         F.max(F.when(holds(lo_i), F.col(col))).alias("_lo"), F.max(F.when(holds(hi_i), F.col(col))).alias("_hi"))
@@ -197,20 +200,23 @@ def global_mid_ranks(counts: DataFrame, value: str, count: str = "n", buckets: i
 
     ``counts`` holds one row per distinct value with its multiplicity. Bucket bounds are
     approximate quantiles of the values (one aggregate), each bucket is ranked by its own
-    window, and the preceding buckets' totals (one row per bucket) give the offset."""
+    window, and the preceding buckets' totals give the offset. The bounds and the bucket
+    totals are ``buckets`` numbers each, read once and used as literals."""
     # bucket bounds: buckets-1 approximate quantiles, a fixed-size summary read once
     bounds = counts.select(F.percentile_approx(
         value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
     b = counts.withColumn("_b", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]),
                                                 lambda x: x < F.col(value))) if bounds else F.lit(0))
+    totals = {r["_b"]: r["_tot"] for r in b.groupBy("_b").agg(F.sum(count).alias("_tot")).collect()}
+    offsets, run = [], 0
+    for i in range(len(bounds) + 1):
+        offsets.append(run)
+        run += totals.get(i, 0)
     w = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = b.withColumn("_before", F.coalesce(F.sum(count).over(w), F.lit(0)))
-    totals = b.groupBy("_b").agg(F.sum(count).alias("_tot"))
-    offs = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # `buckets` rows
-    j = local.join(F.broadcast(offs.select("_b", "_off")), "_b")
-    start = F.col("_off") + F.col("_before")
-    return j.select(value, count, (start + (F.col(count) + 1) / 2.0).alias("mid_rank"))
+    off = F.element_at(F.array(*[F.lit(int(x)) for x in offsets]), F.col("_b") + 1)
+    start = off + F.col("_before")
+    return local.select(value, count, (start + (F.col(count) + 1) / 2.0).alias("mid_rank"))
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
