@@ -309,3 +309,29 @@ def _acf_sql(max_lag=40, src="p", col="temperature_2m_mean", where=""):
 @query("e24_autocorrelation", o.with_panels(_acf_sql(), p=o.panel("region")))
 def q_acf(spark, sf_dir):
     return round_doubles(fe.autocorrelation(fx.panel(spark, sf_dir, "region"), "temperature_2m_mean"))
+
+
+# Chunked execution of the same layers: every window partition is (city, chunk) or
+# (city, year), so a city holding a large share of all rows is spread over many tasks.
+CHUNK_ROWS = 500
+
+
+@query("e01_feature_layer_chunked", o.with_panels(
+    o.rounded_select(RAW_DOUBLES + o.FEATURE_DOUBLES,
+                     ["city", "time", "weather_code"] + o.FEATURE_OTHER, "f"),
+    p=o.nulls("region"), r=o.repaired_sql("p"), f=o.features_sql("r")))
+def q_feature_layer_chunked(spark, sf_dir):
+    from tempest.operators import chunked as ch
+
+    staged = ch.handle_missing_chunked(fx.panel_with_nulls(spark, sf_dir, "region"), chunk_rows=CHUNK_ROWS)
+    return round_doubles(ch.compute_all_features_chunked(staged, chunk_rows=CHUNK_ROWS))
+
+
+@query("i01_missing_repair_chunked", o.with_panels(
+    o.rounded_select(RAW_DOUBLES, ["city", "time", "weather_code"], "r"),
+    p=o.nulls("region"), r=o.repaired_sql("p")))
+def q_missing_repair_chunked(spark, sf_dir):
+    from tempest.operators import chunked as ch
+
+    return round_doubles(ch.handle_missing_chunked(fx.panel_with_nulls(spark, sf_dir, "region"),
+                                                   chunk_rows=CHUNK_ROWS))

@@ -94,3 +94,13 @@ def q_incremental_run(spark, sf_dir):
                      default_start=_dt.date(1990, 1, 1))
     cols = [c for c in res["analytics"].columns if not c.endswith("_outlier_flag")]
     return round_doubles(res["analytics"].select(*cols))
+
+
+@query("r03_full_layer_run_chunked", o.with_panels(
+    o.rounded_select(RAW_D + o.FEATURE_DOUBLES, ["city", "time", "weather_code"] + o.FEATURE_OTHER, "f"),
+    p=o.nulls("region"), r=o.repaired_sql("p"), f=o.features_sql("r")))
+def q_full_run_chunked(spark, sf_dir):
+    res = run_layers(spark, fx.panel_with_nulls(spark, sf_dir, "region"), _scratch(spark, "layers"),
+                     "full", as_of=_dt.date(2001, 11, 5), chunk_rows=500)
+    cols = [c for c in res["analytics"].columns if not c.endswith("_outlier_flag")]
+    return round_doubles(res["analytics"].select(*cols))

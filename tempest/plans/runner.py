@@ -14,8 +14,6 @@ import time as _time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempest.operators.cleaning import clean
-from tempest.operators.features import compute_all_features
 from tempest.operators.loading import DEFAULT_START, filter_cities, select_increment
 from tempest.operators.quality import overall_status, run_all_checks
 from tempest.sources import files, store
@@ -26,10 +24,25 @@ def layer_paths(base: str, kind: str = "historical") -> dict:
     return {name: f"{base.rstrip('/')}/{name}_{kind}" for name in ("raw", "staging", "analytics")}
 
 
+def derivations(chunk_rows: int | None = None):
+    """(raw -> staging, staging -> analytics). ``chunk_rows`` selects the chunked series
+    operators, for series so long that one city's rows should not sit in one task."""
+    from tempest.operators.cleaning import clean, flag_outliers
+    from tempest.operators.features import compute_all_features
+
+    if not chunk_rows:
+        return clean, compute_all_features
+    from tempest.operators import chunked as ch
+
+    return (lambda raw: flag_outliers(ch.handle_missing_chunked(raw, chunk_rows=chunk_rows), by_join=True),
+            lambda df: ch.compute_all_features_chunked(df, chunk_rows=chunk_rows))
+
+
 def run_layers(spark: SparkSession, source: DataFrame, base: str, mode: str = "full",
                kind: str = "historical", cities=None, as_of: _dt.date | None = None,
-               default_start: _dt.date = DEFAULT_START, end=None) -> dict:
+               default_start: _dt.date = DEFAULT_START, end=None, chunk_rows: int | None = None) -> dict:
     started = _time.time()
+    clean, compute_all_features = derivations(chunk_rows)
     paths = layer_paths(base, kind)
     src = filter_cities(source, cities)
     if mode in ("full", "forecast") or not files.path_exists(spark, paths["raw"]):
