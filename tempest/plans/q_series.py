@@ -296,7 +296,7 @@ def q_every_kth(spark, sf_dir):
             .select("city", "time", rnd("temperature_2m_max").alias("temperature_2m_max")))
 
 
-def _acf_sql(max_lag=40, src="p", col="temperature_2m_mean", where=""):
+def acf_sql(max_lag=40, src="p", col="temperature_2m_mean", where=""):
     lags = ", ".join(f"LAG(d, {k}) OVER (" + W + f") AS l{k}" for k in range(1, max_lag + 1))
     sums = ", ".join(f"SUM(d * l{k}) AS p{k}" for k in range(1, max_lag + 1))
     arr = ", ".join(f"p{k} / ss" for k in range(1, max_lag + 1))
@@ -306,7 +306,7 @@ def _acf_sql(max_lag=40, src="p", col="temperature_2m_mean", where=""):
             "GROUP BY city) g) x")
 
 
-@query("e24_autocorrelation", o.with_panels(_acf_sql(), p=o.panel("region")))
+@query("e24_autocorrelation", o.with_panels(acf_sql(), p=o.panel("region")))
 def q_acf(spark, sf_dir):
     return round_doubles(fe.autocorrelation(fx.panel(spark, sf_dir, "region"), "temperature_2m_mean"))
 
