@@ -41,20 +41,64 @@ def index_series(df: DataFrame, key="city", order="time") -> DataFrame:
         .drop("_off", "_yr")
 
 
-def with_halo(indexed: DataFrame, chunk_rows: int, lookback: int) -> DataFrame:
-    """``_chunk`` = _idx div chunk_rows; the last ``lookback`` rows of each chunk are also
-    emitted into the next chunk with ``_halo`` = true."""
-    if lookback >= chunk_rows:
-        raise ValueError("chunk_rows must exceed the lookback")
+def with_halo(indexed: DataFrame, chunk_rows: int, lookback: int, lookahead: int = 0) -> DataFrame:
+    """``_chunk`` = _idx div chunk_rows. The last ``lookback`` rows of each chunk are also
+    emitted into the next chunk and the first ``lookahead`` rows into the previous one, with
+    ``_halo`` = true."""
+    if max(lookback, lookahead) >= chunk_rows:
+        raise ValueError("chunk_rows must exceed the lookback and the lookahead")
     c = F.floor(F.col("_idx") / chunk_rows).cast("long")
-    tail = (F.col("_idx") % chunk_rows) >= (chunk_rows - lookback)
-    copies = F.when(tail, F.array(F.struct(c.alias("k"), F.lit(False).alias("h")),
-                                  F.struct((c + 1).alias("k"), F.lit(True).alias("h")))) \
-        .otherwise(F.array(F.struct(c.alias("k"), F.lit(False).alias("h"))))
+    r = F.col("_idx") % chunk_rows
+    copies = F.array_compact(F.array(
+        F.struct(c.alias("k"), F.lit(False).alias("h")),
+        F.when(r >= chunk_rows - lookback, F.struct((c + 1).alias("k"), F.lit(True).alias("h"))),
+        F.when((r < lookahead) & (c > 0), F.struct((c - 1).alias("k"), F.lit(True).alias("h")))))
     return (indexed.withColumn("_cp", F.explode(copies))
             .withColumn("_chunk", F.col("_cp.k")).withColumn("_halo", F.col("_cp.h")).drop("_cp"))
 
 
+def chunked_apply(df: DataFrame, build, lookback: int, lookahead: int = 0, chunk_rows: int = 100_000,
+                  key="city", order="time") -> DataFrame:
+    """Add the columns ``build(window, position)`` returns, computed over (city, chunk)
+    partitions ordered by series position; frames may reach ``lookback`` rows back and
+    ``lookahead`` rows ahead. ``position`` is the 0-based row position in the whole series."""
+    h = with_halo(index_series(df, key, order), chunk_rows, lookback, lookahead)
+    w = Window.partitionBy(key, "_chunk").orderBy("_idx")
+    return (h.select(*df.columns, *build(w, F.col("_idx")), "_halo")
+            .filter(~F.col("_halo")).drop("_halo"))
+
+
+def persistence_alert_level(tmax: str = "temperature_2m_max", hot: float = 35.0, cold: float | None = None,
+                            rows: int = 3):
+    """Builder for ``chunked_apply``: hot days among the last ``rows`` rows (0 for the first
+    rows - 1 positions of a series); signed with ``cold``."""
+    def build(w, pos):
+        flag = F.coalesce((F.col(tmax) > hot).cast("int"), F.lit(0))
+        if cold is not None:
+            flag = flag - F.coalesce((F.col(tmax) < cold).cast("int"), F.lit(0))
+        lvl = F.when(pos >= rows - 1, F.sum(flag).over(w.rowsBetween(-(rows - 1), 0))).otherwise(F.lit(0))
+        return [lvl.cast("int").alias("persistence_alert_level")]
+    return build
+
+
+def sensor_artefacts(col: str = "temperature_2m_mean", rows: int = 3, min_equal: int = 2):
+    """Builder: stuck flag (>= min_equal zero diffs in a full window of ``rows``) and |jump|."""
+    def build(w, pos):
+        diff = F.col(col) - F.lag(col, 1).over(w)
+        same = F.coalesce((F.coalesce(diff, F.lit(0.0)) == 0).cast("int"), F.lit(0))
+        frame = w.rowsBetween(-(rows - 1), 0)
+        stuck = F.coalesce((F.count(F.lit(1)).over(frame) == rows) & (F.sum(same).over(frame) >= min_equal),
+                           F.lit(False))
+        return [stuck.alias("stuck"), F.abs(diff).alias("jump")]
+    return build
+
+
+def centred_mean(col: str, half: int, name: str):
+    def build(w, pos):
+        return [F.avg(col).over(w.rowsBetween(-half, half)).alias(name)]
+    return build
+
+
 def _cw(key="city"):
     return Window.partitionBy(key, "_chunk").orderBy("_idx")
 
@@ -88,11 +132,11 @@ def compute_all_features_chunked(df: DataFrame, chunk_rows: int = 100_000, base_
 
 def _carried(summary: DataFrame, name: str, key="city", forward: bool = True) -> Column:
     """Last non-null ``name`` of the chunks before (forward) / first of the chunks after."""
-    if forward:
-        w = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        return F.last(name, ignorenulls=True).over(w)
-    w = Window.partitionBy(key).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    return F.first(name, ignorenulls=True).over(w)
+    # both directions are growing frames (one pass); a frame ending at unboundedFollowing
+    # would be re-aggregated for every chunk
+    order = F.col("_chunk") if forward else F.col("_chunk").desc()
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(name, ignorenulls=True).over(w)
 
 
 def handle_missing_chunked(df: DataFrame, strategy: dict | None = None, chunk_rows: int = 100_000,

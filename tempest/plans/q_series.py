@@ -335,3 +335,41 @@ def q_missing_repair_chunked(spark, sf_dir):
 
     return round_doubles(ch.handle_missing_chunked(fx.panel_with_nulls(spark, sf_dir, "region"),
                                                    chunk_rows=CHUNK_ROWS))
+
+
+@query("e09_persistence_alert_chunked", o.with_panels(
+    "SELECT city, time, CAST(CASE WHEN ROW_NUMBER() OVER (" + W + ") >= 3 THEN "
+    "SUM(CASE WHEN temperature_2m_max > 35 THEN 1 ELSE 0 END) OVER (" + W + " ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE 0 END AS INTEGER) AS persistence_alert_level "
+    "FROM p", p=NAT))
+def q_persistence_chunked(spark, sf_dir):
+    from tempest.operators import chunked as ch
+
+    p = _nation(spark, sf_dir).select("city", "time", "temperature_2m_max")
+    return ch.chunked_apply(p, ch.persistence_alert_level(), 2, 0, CHUNK_ROWS).select(
+        "city", "time", "persistence_alert_level")
+
+
+@query("i08_sensor_artefacts_chunked", o.with_panels(
+    "SELECT city, time, stuck, ROUND(jump, 6) AS jump FROM ("
+    "SELECT city, time, COALESCE(COUNT(*) OVER (" + W + " ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AND "
+    "SUM(same) OVER (" + W + " ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2, false) AS stuck, jump FROM ("
+    "SELECT city, time, CASE WHEN COALESCE(temperature_2m_mean - LAG(temperature_2m_mean) OVER (" + W + "), 0) = 0 THEN 1 ELSE 0 END AS same, "
+    "ABS(temperature_2m_mean - LAG(temperature_2m_mean) OVER (" + W + ")) AS jump FROM p) d) s "
+    "WHERE stuck OR jump > 15", p=NAT))
+def q_sensor_chunked(spark, sf_dir):
+    from tempest.operators import chunked as ch
+
+    p = _nation(spark, sf_dir).select("city", "time", "temperature_2m_mean")
+    s = ch.chunked_apply(p, ch.sensor_artefacts(), 3, 0, CHUNK_ROWS)
+    return s.filter(F.col("stuck") | (F.col("jump") > 15)).select("city", "time", "stuck", rnd("jump").alias("jump"))
+
+
+@query("e15_centred_mean_chunked", o.with_panels(
+    "SELECT city, time, ROUND(AVG(temperature_2m_max) OVER (" + W + " ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING), 6) AS tmax_c31 FROM p",
+    p=NAT))
+def q_centred_chunked(spark, sf_dir):
+    from tempest.operators import chunked as ch
+
+    p = _nation(spark, sf_dir).select("city", "time", "temperature_2m_max")
+    c = ch.chunked_apply(p, ch.centred_mean("temperature_2m_max", 15, "tmax_c31"), 15, 15, CHUNK_ROWS)
+    return c.select("city", "time", rnd("tmax_c31").alias("tmax_c31"))
