@@ -352,11 +352,12 @@ def ols_mean_interval(train_scaled: DataFrame, pred: DataFrame, model, z_or_t: f
 
 def contiguous_folds(train: DataFrame, folds: int = 5, key="city", order="date_ord") -> DataFrame:
     """Fold = position in (city, date) order split into ``folds`` contiguous blocks, as an
-    unshuffled k-fold would. Positions come from per-city counts (one row per city) and a
-    per-city row number, so no global sort is needed."""
+    unshuffled k-fold would. Positions come from per-city counts (one row per city, prefix
+    sums over range partitions) and a per-city row number, so no global sort is needed."""
+    from tempest.operators.stats import ordered_offsets
+
     counts = train.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per city
+    offs = ordered_offsets(counts, key, "_c").withColumnRenamed("offset", "_off")
     total = counts.select(F.sum("_c")).scalar()
     pos = F.col("_off") + F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
     return (train.join(offs.select(key, "_off"), key)

@@ -195,6 +195,26 @@ def strong_pairs(pairs: DataFrame, threshold: float = 0.7, top: int | None = 4,
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+def ordered_offsets(table: DataFrame, key: str, weight: str, partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``weight`` in ``key`` order over a whole table, without a
+    single-partition window: the table is range-partitioned on ``key`` (and checkpointed, so
+    both uses see the same partitions), summed locally per range, and each range is shifted
+    by the totals of the ranges before it (one number per partition)."""
+    from tempest.session import materialize
+
+    n = partitions or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(table.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
+    totals = {r["_p"]: r["_t"] for r in ranged.groupBy("_p").agg(F.sum(weight).alias("_t")).collect()}
+    offsets, run = [], 0
+    for p in range(max(totals) + 1 if totals else 1):
+        offsets.append(run)
+        run += totals.get(p, 0) or 0
+    local = F.coalesce(F.sum(weight).over(Window.partitionBy("_p").orderBy(key)
+                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.element_at(F.array(*[F.lit(int(x)) for x in offsets]), F.col("_p") + 1)
+    return ranged.withColumn("offset", shift + local).drop("_p")
+
+
 def global_mid_ranks(counts: DataFrame, value: str, count: str = "n", buckets: int = 64) -> DataFrame:
     """Mid-rank of every distinct value over the whole data set.
 
