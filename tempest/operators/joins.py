@@ -40,6 +40,22 @@ def merge_climatology(df: DataFrame, train: DataFrame, variables=CLIM_VARS, key=
     return j.select(*out)
 
 
+# The two city lists spell three cities differently
+# (city registry name -> modelling map name).
+CITY_NAME_ALIASES = {"Sumqayit": "Sumgayit", "Gakh": "Kakh", "Absheron": "Khirdalan"}
+
+
+def resolve_city_aliases(df: DataFrame, aliases: dict | None = None, key="city") -> DataFrame:
+    """Rename registry spellings to the modelling map's spelling through a fixed-size alias
+    table (broadcast left join); names without an alias are kept."""
+    spark = df.sparkSession
+    aliases = aliases or CITY_NAME_ALIASES
+    table = spark.createDataFrame(sorted(aliases.items()), "_from string, _to string")
+    j = df.join(F.broadcast(table), F.col(key) == F.col("_from"), "left")
+    return j.select(*[F.coalesce(F.col("_to"), F.col(key)).alias(key) if c == key else F.col(c)
+                      for c in df.columns])
+
+
 def attach_coordinates(df: DataFrame, city_map: DataFrame, key="city") -> DataFrame:
     """Canonical lat/lon from the city map (fixed-size dimension: broadcast)."""
     m = city_map.select(F.col("name").alias(key), F.col("lat"), F.col("lon"))

@@ -58,3 +58,11 @@ def test_ratios_on_zero_precipitation(spark):
 def test_impact_band(spark):
     df = spark.createDataFrame([(None,), (39.9,), (40.0,), (70.0,)], "s double")
     assert [r[0] for r in df.select(wx.impact_band("s")).collect()] == ["unknown", "low", "medium", "high"]
+
+
+def test_city_alias_resolution(spark):
+    from tempest.operators.joins import resolve_city_aliases
+
+    df = spark.createDataFrame([("Sumqayit", 1), ("Gakh", 2), ("Baku", 3)], "city string, v int")
+    assert sorted((r["city"], r["v"]) for r in resolve_city_aliases(df).collect()) == [
+        ("Baku", 3), ("Kakh", 2), ("Sumgayit", 1)]
