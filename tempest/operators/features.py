@@ -189,9 +189,9 @@ def merge_prefer(first: DataFrame, second: DataFrame, keys=("city", "time")) ->
 
 
 def every_kth(df: DataFrame, k, key="city", order="time") -> DataFrame:
-    """Every k-th row of each series (row_number % k == 0)."""
+    """Every k-th row of each series, starting with the first (0-based position % k == 0)."""
     rn = F.row_number().over(series_window(key, order))
-    return df.withColumn("_rn", rn).filter(F.col("_rn") % k == 0).drop("_rn")
+    return df.withColumn("_rn", rn).filter((F.col("_rn") - 1) % k == 0).drop("_rn")
 
 
 def running_last(col, key="city", order="time", descending: bool = False) -> Column:

@@ -288,7 +288,7 @@ def q_hourly(spark, sf_dir):
 @query("e23_every_kth_row", o.with_panels(
     "SELECT city, time, ROUND(temperature_2m_max, 6) AS temperature_2m_max FROM "
     "(SELECT *, ROW_NUMBER() OVER (" + W + ") AS rn, GREATEST(COUNT(*) OVER (PARTITION BY city) // 300, 1) AS k FROM p) s "
-    "WHERE rn % k = 0", p=NAT))
+    "WHERE (rn - 1) % k = 0", p=NAT))
 def q_every_kth(spark, sf_dir):
     p = _nation(spark, sf_dir)
     k = F.greatest(F.floor(F.count(F.lit(1)).over(fe.Window.partitionBy("city")) / 300), F.lit(1))
