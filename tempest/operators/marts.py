@@ -35,11 +35,14 @@ def city_history(hist: DataFrame, fc: DataFrame) -> DataFrame:
 
 
 def history_fallback(history: DataFrame, forecast_days: DataFrame) -> DataFrame:
-    """Cities without any history get their forecast rows, mean = round((max + min) / 2, 1)."""
+    """Cities without any history get their forecast rows, mean = round((max + min) / 2, 1);
+    as in the dashboard backend the mean is only formed when both values are truthy, so a
+    0.0 degree maximum or minimum leaves it null."""
     missing = forecast_days.join(history.select("city").distinct(), "city", "left_anti")
+    truthy = lambda c: F.col(c).isNotNull() & (F.col(c) != 0)
     fill = missing.select(
         "city", F.col("date").alias("time"), "temperature_2m_max", "temperature_2m_min",
-        F.when(F.col("temperature_2m_max").isNotNull() & F.col("temperature_2m_min").isNotNull(),
+        F.when(truthy("temperature_2m_max") & truthy("temperature_2m_min"),
                F.round((F.col("temperature_2m_max") + F.col("temperature_2m_min")) / 2, 1))
         .alias("temperature_2m_mean"),
         "relative_humidity_2m_mean", F.lit(None).cast("double").alias("wind_speed_10m_max"),

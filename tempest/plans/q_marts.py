@@ -85,7 +85,7 @@ _NAT_FC = (f"SELECT * FROM ({o.panel('nation')}) n WHERE time >= (SELECT MAX(tim
 
 @query("l05_history_fallback", o.with_panels(
     "SELECT city, time, ROUND(temperature_2m_max, 6) AS temperature_2m_max, ROUND(temperature_2m_mean, 6) AS temperature_2m_mean FROM hh "
-    "UNION ALL SELECT city, time, ROUND(temperature_2m_max, 6), ROUND(CASE WHEN temperature_2m_max IS NOT NULL AND temperature_2m_min IS NOT NULL "
+    "UNION ALL SELECT city, time, ROUND(temperature_2m_max, 6), ROUND(CASE WHEN COALESCE(temperature_2m_max <> 0 AND temperature_2m_min <> 0, false) "
     "THEN ROUND((temperature_2m_max + temperature_2m_min) / 2, 1) END, 6) FROM nf WHERE city NOT IN (SELECT city FROM hh)",
     h=fx.hist_sql("region"), f=fx.forecast_sql("region"), hh=_HIST_SQL, nf=_NAT_FC))
 def q_fallback(spark, sf_dir):
