@@ -140,10 +140,15 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).alias("o"))
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     """Pearson chi-square of independence from the long contingency table:
-    chi2 = n (sum o^2 / (row * col) - 1); zero cells contribute nothing to the sum."""
+    chi2 = n (sum o^2 / (row * col) - 1); zero cells contribute nothing to the sum.
+    A 2 x 2 table gets the continuity correction scipy applies by default (``yates``)."""
     t = contingency(df, a, b)
+    if yates:
+        shape = t.agg(F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c")).first()
+        if shape["r"] == 2 and shape["c"] == 2:
+            return _chi_square_2x2(t, a, b)
     rows = t.groupBy(a).agg(F.sum("o").alias("_r"))
     cols = t.groupBy(b).agg(F.sum("o").alias("_c"))
     j = t.join(rows, a).join(cols, b)
@@ -153,6 +158,27 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
                     ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"))
 
 
+def _chi_square_2x2(t: DataFrame, a: str, b: str) -> DataFrame:
+    """Yates-corrected chi-square of a 2 x 2 table: every observed count moves towards its
+    expectation by at most 0.5. The four cells (zero cells included) are generated from the
+    two row and two column labels."""
+    labels = t.agg(F.array_sort(F.collect_set(a)).alias("_ra"), F.array_sort(F.collect_set(b)).alias("_cb"))
+    grid = labels.select(F.explode(F.flatten(F.transform(
+        "_ra", lambda r: F.transform("_cb", lambda c: F.struct(r.alias(a), c.alias(b)))))).alias("_g")) \
+        .select(f"_g.{a}", f"_g.{b}")
+    cells = grid.join(t, [a, b], "left").fillna(0, ["o"])
+    rows = cells.groupBy(a).agg(F.sum("o").alias("_r"))
+    cols = cells.groupBy(b).agg(F.sum("o").alias("_c"))
+    n = cells.select(F.sum("o")).scalar()
+    j = cells.join(rows, a).join(cols, b).withColumn("_n", n)
+    e = F.col("_r") * F.col("_c") / F.col("_n")
+    diff = e - F.col("o")
+    adj = F.col("o") + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)
+    return j.agg(F.first("_n").cast("long").alias("n"), F.lit(2).cast("long").alias("r"),
+                 F.lit(2).cast("long").alias("c"), F.sum((adj - e) ** 2 / e).alias("chi2"),
+                 F.lit(1).cast("long").alias("dof"))
+
+
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """Bias-corrected Cramer's V (no continuity correction beyond 2x2)."""
     c = chi_square(df, a, b)
