@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tempest.functions import calendar as cal
 from tempest.functions import weather as wx
-from tempest.operators.cleaning import default_strategy
+from tempest.operators.cleaning import default_strategy, numeric_columns
 from tempest.operators.features import LAG_TARGETS, ROLL_TARGETS
 
 
@@ -143,7 +143,7 @@ def handle_missing_chunked(df: DataFrame, strategy: dict | None = None, chunk_ro
                            key="city", order="time", drop_remaining: bool = True) -> DataFrame:
     """Same result as ``cleaning.handle_missing`` (ffill+bfill, zero, positional linear
     interpolation with nearest-value edges, drop)."""
-    strategy = strategy if strategy is not None else default_strategy(df.columns)
+    strategy = strategy if strategy is not None else default_strategy(numeric_columns(df))
     fill = [c for c, m in strategy.items() if m in ("ffill", "interpolate") and c in df.columns]
     ix = index_series(df, key, order).withColumn("_chunk", F.floor(F.col("_idx") / chunk_rows).cast("long"))
     # per (city, chunk): first and last observed point of every filled column

@@ -207,3 +207,15 @@ def q_box_kw_p(spark, sf_dir):
 
     h, f = _hf(spark, sf_dir)
     return with_p_value(mt.seasonal_kruskal(mt.city_history(h, f)), "kruskal")
+
+
+@query("r04_published_history_mart", o.with_panels(o.rounded_select(_HCOLS, ["city", "time"], "hh"),
+                                                    h=fx.hist_sql("region"), f=fx.forecast_sql("region"), hh=_HIST_SQL))
+def q_published(spark, sf_dir):
+    """Store the raw layers, publish every mart from them, read the history mart back."""
+    from tempest.plans.publish import publish_from_frames
+
+    h, f = _hf(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/publish-{uuid.uuid4().hex[:12]}"
+    paths = publish_from_frames(spark, base, h, f, _YEARS)
+    return round_doubles(spark.read.parquet(paths["city_history"]).select("city", "time", *_HCOLS))

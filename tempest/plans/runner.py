@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tempest.operators.loading import DEFAULT_START, filter_cities, select_increment
 from tempest.operators.quality import overall_status, run_all_checks
+from tempest import schemas as S
 from tempest.sources import files, store
 from tempest.streaming.refresh import refresh_features
 
@@ -44,7 +45,7 @@ def run_layers(spark: SparkSession, source: DataFrame, base: str, mode: str = "f
     started = _time.time()
     clean, compute_all_features = derivations(chunk_rows)
     paths = layer_paths(base, kind)
-    src = filter_cities(source, cities)
+    src = files.conform(filter_cities(source, cities), S.DAILY)  # raw schema at the boundary
     if mode in ("full", "forecast") or not files.path_exists(spark, paths["raw"]):
         files.replace_all(src, paths["raw"])
         raw = spark.read.parquet(paths["raw"]).drop("year")
