@@ -4,9 +4,9 @@ import os
 from tests.test_sources import HEADER
 
 
-def _land(folder, city, start, days, base_t):
+def _land(folder, city, start, days, base_t, kind="historical"):
     os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, f"{city}_historical.csv"), "w") as fh:
+    with open(os.path.join(folder, f"{city}_{kind}.csv"), "w") as fh:
         fh.write(HEADER + "\n")
         for i in range(days):
             d = start + dt.timedelta(days=i)
@@ -38,3 +38,20 @@ def test_cli_full_then_incremental_then_publish(spark, scratch):
     assert [r["run_id"] for r in runs] == [1, 2] and runs[1]["mode"] == "incremental"
     analytics = spark.read.parquet(f"{base}/analytics_historical")
     assert analytics.count() == raw.count()
+
+
+def test_cli_forecast_run_and_publish(spark, scratch):
+    from tempest.__main__ import main
+
+    land, base = f"{scratch}/landing", f"{scratch}/layers"
+    _land(land, "baku", dt.date(2024, 1, 1), 400, 12)
+    _land(f"{scratch}/fc", "baku", dt.date(2025, 2, 1), 7, 14, kind="forecast")
+    main(["run", "--source", land, "--base", base, "--as-of", "2025-02-05"])
+    main(["run", "--source", f"{scratch}/fc", "--base", base, "--kind", "forecast", "--as-of", "2025-02-05"])
+    assert spark.read.parquet(f"{base}/raw_forecast").count() == 7
+    main(["publish", "--base", base, "--years", "2024-2025"])
+    hist = spark.read.parquet(f"{base}/marts/city_history")
+    # history 2024-01-01..2025-02-03 (leap year); forecast 02-01..02-07 overlaps 3 days (history wins)
+    assert hist.count() == 400 + 4
+    latest = spark.read.parquet(f"{base}/marts/city_latest").first()
+    assert str(latest["time"]) == "2025-02-07"
