@@ -53,10 +53,6 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def r6(expr: str, alias: str) -> str:
-    return f"ROUND({expr}, 6) AS {alias}"
-
-
 def _prepared(build: Callable) -> Callable:
     """Every query runs with the UTC session time zone (dates of naive timestamps) and a
     checkpoint folder (the configured shared one, or a scratch one when unset)."""

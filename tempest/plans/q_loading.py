@@ -238,6 +238,8 @@ def _points(spark, sf_dir):
                     (fx.lon_of(F.col("s_nationkey")) - F.col("s_acctbal") / 40000.0).alias("lon"))
 
 
+# The oracle is the brute-force definition (every point against every city); the Spark
+# operator reaches the same answer through a grid-cell equi-join.
 @query("c05_nearest_city", o.with_panels(
     "SELECT point_id, ROUND(lat, 6) AS lat, ROUND(lon, 6) AS lon, CASE WHEN d2 < 0.1 THEN name ELSE 'Unknown' END AS city FROM "
     "(SELECT point_id, lat, lon, arg_min(name, (d2, map_order)) AS name, MIN(d2) AS d2 FROM "
