@@ -14,6 +14,7 @@ import time as _time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempest.operators.cleaning import date_gaps
 from tempest.operators.loading import DEFAULT_START, filter_cities, select_increment
 from tempest.operators.quality import overall_status, run_all_checks
 from tempest import schemas as S
@@ -68,6 +69,8 @@ def run_layers(spark: SparkSession, source: DataFrame, base: str, mode: str = "f
     raw = spark.read.parquet(paths["raw"]).drop("year")
     staging = spark.read.parquet(paths["staging"]).drop("year")
     analytics = spark.read.parquet(paths["analytics"]).drop("year")
+    # gap report of the staged series (one row per city, missing dates listed)
+    date_gaps(staging).write.mode("overwrite").parquet(f"{base.rstrip('/')}/gap_report_{kind}")
     checks = run_all_checks(raw, staging, analytics, as_of=as_of,
                             names=(f"raw_{kind}", f"staging_{kind}", f"analytics_{kind}"))
     status = overall_status(checks).first()["overall"]

@@ -82,6 +82,19 @@ def layer_counts(layers: dict) -> DataFrame:
     return out
 
 
+LAYER_TABLES = ("raw_historical", "raw_forecast", "staging_historical", "staging_forecast",
+                "analytics_historical", "analytics_forecast", "pipeline_runs")
+
+
+def stored_layer_counts(spark: SparkSession, base: str, tables=LAYER_TABLES) -> DataFrame:
+    """Row counts of every stored table under ``base``; an absent table counts 0."""
+    from tempest.sources.files import path_exists
+
+    return layer_counts({t: (spark.read.parquet(f"{base.rstrip('/')}/{t}")
+                             if path_exists(spark, f"{base.rstrip('/')}/{t}") else None)
+                         for t in tables})
+
+
 def append_audit(spark: SparkSession, path: str, mode: str, cities_count: int, rows_raw: int,
                  rows_staging: int, rows_analytics: int, started: float, status: str,
                  notes: str = "") -> DataFrame:

@@ -38,6 +38,11 @@ def test_cli_full_then_incremental_then_publish(spark, scratch):
     assert [r["run_id"] for r in runs] == [1, 2] and runs[1]["mode"] == "incremental"
     analytics = spark.read.parquet(f"{base}/analytics_historical")
     assert analytics.count() == raw.count()
+    gaps = {r["city"]: r["missing_count"] for r in spark.read.parquet(f"{base}/gap_report_historical").collect()}
+    assert gaps["shaki"] == 0 and set(gaps) == {"baku", "ganja", "shaki"}
+    from tempest.sources.store import stored_layer_counts
+    counts = {r["table_name"]: r["row_count"] for r in stored_layer_counts(spark, base).collect()}
+    assert counts["raw_historical"] == 125 and counts["raw_forecast"] == 0 and counts["pipeline_runs"] == 2
 
 
 def test_cli_forecast_run_and_publish(spark, scratch):
