@@ -84,3 +84,11 @@ def test_gap_report_lists_missing_dates(spark):
     g = {r["city"]: r for r in cl.date_gaps(spark.createDataFrame(d, "city string, time date, x double")).collect()}
     assert g["a"]["missing_count"] == 2 and g["a"]["missing_dates"] == [D0 + dt.timedelta(days=1), D0 + dt.timedelta(days=2)]
     assert g["one"]["expected_days"] == 1 and g["one"]["missing_dates"] == []
+
+
+def test_approximate_quartiles_close_to_exact(spark):
+    vals = [float(v % 37) + (v % 5) * 0.1 for v in range(500)]
+    df = series(spark, vals)
+    exact = cl.flag_outliers(df, ["x"]).select("x_outlier_flag").collect()
+    approx = cl.flag_outliers(df, ["x"], approx=True).select("x_outlier_flag").collect()
+    assert sum(r[0] != s[0] for r, s in zip(exact, approx)) <= 5
