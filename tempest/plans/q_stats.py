@@ -260,16 +260,21 @@ def q_qq(spark, sf_dir):
 
 @query("j15_p_adjust")
 def q_padjust(spark, sf_dir):
-    """Per-city Welch tests (hot vs mild days) with Bonferroni and BH adjustment."""
+    """Per-city Welch tests (high vs low heat-stress days) for two outcomes; Bonferroni and
+    Benjamini-Hochberg adjustment within each outcome's family of city tests."""
     r = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
-    per = (r.groupBy("city", "group").agg(F.count("impact_score").alias("n"), F.avg("impact_score").alias("m"),
-                                           F.var_samp("impact_score").alias("v")))
-    wide = per.groupBy("city").agg(*[F.max(F.when(F.col("group") == g, F.col(c))).alias(f"{c}_{g}")
-                                     for c in ("n", "m", "v") for g in ("high", "low")])
+    long = r.select("city", "group", F.explode(F.array(
+        F.struct(F.lit("impact_score").alias("family"), F.col("impact_score").alias("y")),
+        F.struct(F.lit("temperature_2m_max").alias("family"), F.col("temperature_2m_max").alias("y")))).alias("_o"))
+    long = long.select("city", "group", "_o.family", "_o.y")
+    per = long.groupBy("family", "city", "group").agg(F.count("y").alias("n"), F.avg("y").alias("m"),
+                                                       F.var_samp("y").alias("v"))
+    wide = per.groupBy("family", "city").agg(*[F.max(F.when(F.col("group") == g, F.col(c))).alias(f"{c}_{g}")
+                                               for c in ("n", "m", "v") for g in ("high", "low")])
     sa, sb = F.col("v_high") / F.col("n_high"), F.col("v_low") / F.col("n_low")
-    t = wide.select("city", ((F.col("m_high") - F.col("m_low")) / F.sqrt(sa + sb)).alias("t"),
+    t = wide.select("family", "city", ((F.col("m_high") - F.col("m_low")) / F.sqrt(sa + sb)).alias("t"),
                     ((sa + sb) ** 2 / (sa ** 2 / (F.col("n_high") - 1) + sb ** 2 / (F.col("n_low") - 1))).alias("df"))
-    tested = st.with_p_value(t.filter(F.col("t").isNotNull()), "t").withColumn("family", F.lit("welch_by_city"))
+    tested = st.with_p_value(t.filter(F.col("t").isNotNull() & ~F.isnan("t")), "t")
     return st.p_adjust(tested, "p", "family")
 
 
