@@ -234,7 +234,7 @@ def autocorrelation(df: DataFrame, col: str, max_lag: int = 40, key="city",
     aggs = [F.sum(F.col("_d") * F.col("_d")).alias("_ss"), F.count("_d").alias("n")]
     aggs += [F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_p{k}") for k in range(1, max_lag + 1)]
     per = lagged.groupBy(key).agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_p{k}") / F.col("_ss"))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_p{k}"), F.col("_ss"))
                                         .alias("acf")) for k in range(1, max_lag + 1)]))
     return (per.select(key, "n", rows.alias("_r"))
             .select(key, F.col("_r.lag").alias("lag"), F.col("_r.acf").alias("acf"),

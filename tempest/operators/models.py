@@ -140,8 +140,8 @@ def regression_metrics(pred: DataFrame, y: str = REG_TARGET, yhat: str = "predic
     e = F.col(y) - F.col(yhat)
     a = v.agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("_sse"), F.avg(F.abs(e)).alias("mae"),
               F.var_pop(y).alias("_vy"))
-    return a.select(F.lit(model).alias("model"), "n", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
-                    "mae", (1 - F.col("_sse") / (F.col("n") * F.col("_vy"))).alias("r2"))
+    return a.select(F.lit(model).alias("model"), "n", F.sqrt(F.try_divide(F.col("_sse"), F.col("n"))).alias("rmse"),
+                    "mae", (1 - F.try_divide(F.col("_sse"), F.col("n") * F.col("_vy"))).alias("r2"))
 
 
 def classification_metrics(pred: DataFrame, y: str = CLF_TARGET, yhat: str = "prediction",
@@ -155,7 +155,7 @@ def classification_metrics(pred: DataFrame, y: str = CLF_TARGET, yhat: str = "pr
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
-    return a.select(F.lit(model).alias("model"), ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
+    return a.select(F.lit(model).alias("model"), F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"),
                     prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "tp", "fp", "fn", "tn")
 
 
@@ -187,7 +187,7 @@ def residual_diagnostics(pred: DataFrame, y: str = REG_TARGET, yhat: str = "pred
                            F.sum(F.col("_de") * F.col("_de")).alias("_sdd"), F.sum(F.col("e") * F.col("e")).alias("_see"))
     jb = F.col("n") / 6 * (F.col("skew") ** 2 + F.col("kurtosis") ** 2 / 4)
     return a.select(key, "n", "mean", "sd", "skew", "kurtosis", jb.alias("jarque_bera"),
-                    (F.col("_sdd") / F.col("_see")).alias("durbin_watson"))
+                    F.try_divide(F.col("_sdd"), F.col("_see")).alias("durbin_watson"))
 
 
 def residual_trend(pred: DataFrame, bins: int = 30, y: str = REG_TARGET, yhat: str = "prediction") -> DataFrame:
@@ -227,7 +227,7 @@ def poisson_bootstrap(pred: DataFrame, replicates: int = 200, seed: int = 7,
     for k in reversed(range(len(cdf))):
         wexpr = F.when(u < cdf[k], F.lit(k)).otherwise(wexpr)
     per = (reps.withColumn("_w", wexpr).groupBy("replicate")
-           .agg((F.sum(F.col("_w") * F.col("_se")) / F.sum("_w")).alias("_mse")))
+           .agg(F.try_divide(F.sum(F.col("_w") * F.col("_se")), F.sum("_w")).alias("_mse")))
     rm = F.sqrt(F.col("_mse"))
     return per.agg(F.percentile(rm, 0.025).alias("rmse_low"), F.percentile(rm, 0.975).alias("rmse_high"),
                    F.count(F.lit(1)).alias("replicates"))

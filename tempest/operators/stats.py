@@ -26,6 +26,12 @@ from tempest.functions import distributions as dist
 # building blocks
 # ---------------------------------------------------------------------------------
 
+def _div(a, b) -> Column:
+    """a / b, null when b is 0 (ANSI mode raises on a zero divisor; a degenerate group -
+    constant values, a single group, an empty side - must not fail the job)."""
+    return F.try_divide(a, b)
+
+
 def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> DataFrame:
     """Exact quantile (linear interpolation between order statistics, as ``percentile``)
     without gathering the values of the column in one task: rows are reduced to
@@ -76,8 +82,8 @@ def welch_t(df: DataFrame, group: str, value: str, a="high", b="low") -> DataFra
     p = _pair(group_moments(df, group, value), group, a, b)
     sa = F.col("var_a") / F.col("n_a")
     sb = F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(sa + sb)
-    dfw = (sa + sb) ** 2 / (sa ** 2 / (F.col("n_a") - 1) + sb ** 2 / (F.col("n_b") - 1))
+    t = _div(F.col("mean_a") - F.col("mean_b"), F.sqrt(sa + sb))
+    dfw = _div((sa + sb) ** 2, _div(sa ** 2, F.col("n_a") - 1) + _div(sb ** 2, F.col("n_b") - 1))
     return p.select("n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dfw.alias("df"))
 
 
@@ -92,9 +98,9 @@ def anova_from_moments(stats: DataFrame) -> DataFrame:
     df1 = F.col("k") - 1
     df2 = F.col("N") - F.col("k")
     return tot.select(F.col("k").alias("groups"), F.col("N").alias("n"),
-                      ((ssb / df1) / (F.col("ssw") / df2)).alias("F"),
+                      _div(_div(ssb, df1), _div(F.col("ssw"), df2)).alias("F"),
                       df1.alias("df_between"), df2.alias("df_within"),
-                      (ssb / (ssb + F.col("ssw"))).alias("eta_sq"))
+                      _div(ssb, ssb + F.col("ssw")).alias("eta_sq"))
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -113,9 +119,9 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 def cohen_d(df: DataFrame, group: str, value: str, a=1, b=0) -> DataFrame:
     """Pooled-sd Cohen's d of group a minus group b."""
     p = _pair(group_moments(df, group, value), group, a, b)
-    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"))
-                    / (F.col("n_a") + F.col("n_b") - 2))
-    return p.select(((F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohen_d"))
+    pooled = F.sqrt(_div((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"),
+                         F.col("n_a") + F.col("n_b") - 2))
+    return p.select(_div(F.col("mean_a") - F.col("mean_b"), pooled).alias("cohen_d"))
 
 
 def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -130,7 +136,7 @@ def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
 
     pairs = group_pairs(st.select(group, "n", "mean"), group)
     diff = F.col("mean_b") - F.col("mean_a")
-    q = F.abs(diff) / F.sqrt(mse / 2 * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    q = _div(F.abs(diff), F.sqrt(mse / 2 * (1 / F.col("n_a") + 1 / F.col("n_b"))))
     return pairs.select(F.col(f"{group}_a").alias("group1"), F.col(f"{group}_b").alias("group2"),
                         diff.alias("meandiff"), q.alias("q"), k.alias("k"), dfe.alias("df"))
 
@@ -183,10 +189,10 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """Bias-corrected Cramer's V (no continuity correction beyond 2x2)."""
     c = chi_square(df, a, b)
     n1 = F.col("n") - 1
-    phi2c = F.greatest(F.lit(0.0), F.col("chi2") / F.col("n") - (F.col("c") - 1) * (F.col("r") - 1) / n1)
-    rc = F.col("r") - (F.col("r") - 1) ** 2 / n1
-    kc = F.col("c") - (F.col("c") - 1) ** 2 / n1
-    return c.select("chi2", "n", F.sqrt(phi2c / F.least(kc - 1, rc - 1)).alias("cramers_v"))
+    phi2c = F.greatest(F.lit(0.0), _div(F.col("chi2"), F.col("n")) - _div((F.col("c") - 1) * (F.col("r") - 1), n1))
+    rc = F.col("r") - _div((F.col("r") - 1) ** 2, n1)
+    kc = F.col("c") - _div((F.col("c") - 1) ** 2, n1)
+    return c.select("chi2", "n", F.sqrt(_div(phi2c, F.least(kc - 1, rc - 1))).alias("cramers_v"))
 
 
 def correlation_pairs(df: DataFrame, cols, key="city") -> DataFrame:
@@ -290,7 +296,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     u = F.col("R_a") - F.col("n_a") * (F.col("n_a") + 1) / 2
     mu = F.col("n_a") * F.col("n_b") / 2
     sd = F.sqrt(F.col("n_a") * F.col("n_b") * (F.col("n_a") + F.col("n_b") + 1) / 12)
-    return rs.select("n_a", "n_b", u.alias("U"), ((u - mu) / sd).alias("z"))
+    return rs.select("n_a", "n_b", u.alias("U"), _div(u - mu, sd).alias("z"))
 
 
 def qq_points(df: DataFrame, value: str, key="city") -> DataFrame:
