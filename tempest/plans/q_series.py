@@ -8,7 +8,6 @@ from tempest.operators import cleaning as cl
 from tempest.operators import features as fe
 from tempest.plans import oracle as o
 from tempest.plans.catalog import query, rnd, round_doubles
-from tempest.schemas import RAW_COLUMNS
 from tempest.sources import fixtures as fx
 
 RAW_DOUBLES = o.DOUBLE_RAW
