@@ -316,7 +316,8 @@ def ols_summary(model, features) -> list[dict]:
     s = model.summary
     names = list(features) + ["intercept"]
     coefs = list(model.coefficients) + [model.intercept]
-    return [{"term": n, "coef": float(c), "std_err": float(se), "t": float(t), "p": float(p)}
+    return [{"term": n, "coef": float(c), "std_err": float(se), "t": float(t), "p": float(p),
+             "r2": float(s.r2), "r2_adj": float(s.r2adj), "n": int(s.numInstances)}
             for n, c, se, t, p in zip(names, coefs, s.coefficientStandardErrors, s.tValues, s.pValues)]
 
 
@@ -378,8 +379,9 @@ def ridge_cv(train: DataFrame, test: DataFrame, alphas=(0.01, 0.1, 1.0, 10.0, 10
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
                         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"))
     m = cv.fit(tr)
-    best = max(zip(alphas, m.avgMetrics), key=lambda t: t[1])
-    return best, m.bestModel, m.bestModel.transform(te)
+    table = list(zip(alphas, m.avgMetrics))
+    best = max(table, key=lambda t: t[1])
+    return best, m.bestModel, m.bestModel.transform(te), table
 
 
 def fit_gbt_regressor(train: DataFrame, test: DataFrame, features=TREE_FEATURES, label: str = REG_TARGET,
