@@ -37,8 +37,10 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> Data
     without gathering the values of the column in one task: rows are reduced to
     (value, count), positions come from ``global_mid_ranks``' bucketed prefix sums, and the
     two order statistics around (N - 1) q are picked by a filter. One-row result."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    ranks = global_mid_ranks(counts, col, "n", buckets)
+    from tempest.session import materialize
+
+    counts = materialize(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")))
+    ranks = global_mid_ranks(counts, col, "n", buckets, materialized=True)
     pos = ranks.select(col, "n", (F.col("mid_rank") - (F.col("n") + 1) / 2.0).alias("before"))
     total = counts.select(F.sum("n")).first()[0] or 0  # one number
     h = (total - 1) * q
@@ -247,13 +249,20 @@ def ordered_offsets(table: DataFrame, key: str, weight: str, partitions: int | N
     return ranged.withColumn("offset", shift + local).drop("_p")
 
 
-def global_mid_ranks(counts: DataFrame, value: str, count: str = "n", buckets: int = 64) -> DataFrame:
+def global_mid_ranks(counts: DataFrame, value: str, count: str = "n", buckets: int = 64,
+                     materialized: bool = False) -> DataFrame:
     """Mid-rank of every distinct value over the whole data set.
 
     ``counts`` holds one row per distinct value with its multiplicity. Bucket bounds are
     approximate quantiles of the values (one aggregate), each bucket is ranked by its own
     window, and the preceding buckets' totals give the offset. The bounds and the bucket
     totals are ``buckets`` numbers each, read once and used as literals."""
+    from tempest.session import materialize
+
+    # the (value, count) table is read three times (cut points, bucket totals, ranks):
+    # materialise it once so the source data is scanned once
+    if not materialized:
+        counts = materialize(counts)
     # bucket bounds: buckets-1 approximate quantiles, a fixed-size summary read once
     bounds = counts.select(F.percentile_approx(
         value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
@@ -273,8 +282,10 @@ def global_mid_ranks(counts: DataFrame, value: str, count: str = "n", buckets: i
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """H = 12 / (N (N+1)) sum R_g^2 / n_g - 3 (N+1), mid-ranks, no tie correction."""
+    from tempest.session import materialize
+
     v = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    gv = v.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    gv = materialize(v.groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))  # reused twice
     ranks = global_mid_ranks(gv.groupBy(value).agg(F.sum("c").alias("n")), value)
     rs = (gv.join(ranks.select(value, "mid_rank"), value)
           .groupBy(group).agg(F.sum(F.col("c") * F.col("mid_rank")).alias("R"), F.sum("c").alias("ng")))
@@ -286,8 +297,10 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def mann_whitney(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     """U of group a from its rank sum, normal approximation z (no tie correction)."""
+    from tempest.session import materialize
+
     v = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
-    gv = v.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    gv = materialize(v.groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))  # reused twice
     ranks = global_mid_ranks(gv.groupBy(value).agg(F.sum("c").alias("n")), value)
     rs = gv.join(ranks.select(value, "mid_rank"), value).agg(
         F.sum(F.when(F.col(group) == a, F.col("c") * F.col("mid_rank"))).alias("R_a"),
