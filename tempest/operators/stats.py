@@ -130,7 +130,9 @@ def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
     """All group pairs a < b: mean difference and studentized statistic
     q = |diff| / sqrt(MSE/2 (1/n_a + 1/n_b)). The pair table is built from the k-row group
     aggregate (k(k-1)/2 rows), never from data rows."""
-    st = group_moments(df, group, value)
+    from tempest.session import materialize
+
+    st = materialize(group_moments(df, group, value))  # k rows, read by four subqueries/actions
     mse = st.select(F.sum("m2") / (F.sum("n") - F.count(F.lit(1)))).scalar()
     dfe = st.select(F.sum("n") - F.count(F.lit(1))).scalar()
     k = st.select(F.count(F.lit(1))).scalar()
@@ -152,7 +154,9 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     """Pearson chi-square of independence from the long contingency table:
     chi2 = n (sum o^2 / (row * col) - 1); zero cells contribute nothing to the sum.
     A 2 x 2 table gets the continuity correction scipy applies by default (``yates``)."""
-    t = contingency(df, a, b)
+    from tempest.session import materialize
+
+    t = materialize(contingency(df, a, b))  # cells of the table; read several times
     if yates:
         shape = t.agg(F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c")).first()
         if shape["r"] == 2 and shape["c"] == 2:
