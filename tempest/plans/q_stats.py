@@ -303,3 +303,19 @@ def q_vif(spark, sf_dir):
     first_city = p.select(F.min("city")).first()[0]
     pairs = st.correlation_pairs(p.filter(F.col("city") == first_city), _CORR_VARS[:4] + _CORR_VARS[5:])
     return spark.createDataFrame(st.vif(pairs, _CORR_VARS[:4] + _CORR_VARS[5:]))
+
+
+@query("j02_levene_p_value")
+def q_levene_p(spark, sf_dir):
+    return st.with_p_value(st.levene(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "levene")
+
+
+@query("j05_kruskal_wallis_p_value")
+def q_kruskal_p(spark, sf_dir):
+    return st.with_p_value(st.kruskal_wallis(risk_panel(spark, sf_dir), "season", "temperature_2m_max"), "kruskal")
+
+
+@query("j17_mann_whitney_p_value")
+def q_mw_p(spark, sf_dir):
+    s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
+    return st.with_p_value(st.mann_whitney(s, "group", "impact_score", "high", "low"), "z")
