@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,31 @@ def salt(by: Column, n: int = SALTS) -> Column:
 def all_salts(df: DataFrame, name: str, n: int = SALTS) -> DataFrame:
     """Every row once per salt: the small side of a salted join."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def unit_numbers(rows: pa.Table, keys: int) -> np.ndarray:
+    """Running number of the unit of each row; units are runs of equal first ``keys`` columns."""
+    change = np.zeros(len(rows), np.int64)
+    for i in range(keys):
+        k = rows.column(i).to_numpy()
+        change[1:] |= k[1:] != k[:-1]
+    return np.cumsum(change)
+
+
+def whole_units(batches, keys: int, rows: int):
+    """Regroup sorted Arrow batches into tables of whole units, of ``rows`` rows or one unit
+    at least: yields (table, unit number of each row)."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        unit = unit_numbers(table, keys)
+        cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+        if cut:
+            yield table.slice(0, cut), unit[:cut]
+        held = table.slice(cut).to_batches()
+    if held and sum(map(len, held)):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, unit_numbers(table, keys)

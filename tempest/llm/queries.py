@@ -73,3 +73,42 @@ def op9(spark, sf_dir):
     from tempest.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    from tempest.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN, ids=False)
+
+
+@query("op10_simhash_dedup")
+def op10(spark, sf_dir):
+    from tempest.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"), words_per_shingle=4, radius=4).select(
+        "doc_id", "fingerprint", "component_id")
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    from tempest.llm.hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    from tempest.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
+
+
+@query("op3_embedding_dedup")
+def op3(spark, sf_dir):
+    from tempest.llm.itq_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
