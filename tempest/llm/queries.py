@@ -112,3 +112,10 @@ def op3(spark, sf_dir):
     from tempest.llm.itq_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op7_passage_dedup")
+def op7(spark, sf_dir):
+    from tempest.llm.passages import remove_passages
+
+    return remove_passages(table(spark, sf_dir, "documents"), match=100)
