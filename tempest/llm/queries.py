@@ -119,3 +119,14 @@ def op7(spark, sf_dir):
     from tempest.llm.passages import remove_passages
 
     return remove_passages(table(spark, sf_dir, "documents"), match=100)
+
+
+@query("op5_token_shards")
+def op5(spark, sf_dir):
+    import public_tokenizers
+
+    from tempest.llm.common import scratch_path
+    from tempest.llm.token_shards import write_shards
+
+    return write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
