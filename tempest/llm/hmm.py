@@ -1,8 +1,8 @@
 """Hidden Markov language model: training and exact scoring of whole texts.
 
 Hidden states emit word classes and a class emits its words: each of the ``OWN`` commonest
-words and the end of a text is a class of its own, all other words (unseen ones too) fall
-into ``RARE`` classes by their last two characters, inside which a word has its add-one
+words (of two or more occurrences) and the end of a text is a class of its own, all other
+words (unseen ones too) fall into ``RARE`` classes by their last two characters, inside which a word has its add-one
 share. Word counts cover all training texts. Baum-Welch runs over all training tokens: every
 task returns expected counts, Spark sums them per class, and only the sums, whose number is
 that of classes and states, reach the driver. Texts are cut into sequences of ``BLOCK``
@@ -74,7 +74,8 @@ class Vocabulary:
         self.total, self.rare = int(self.total or 0), rare
         top = counts.filter("word != ''").orderBy(F.desc("n"), "word").limit(near).toArrow()
         self.words, self.counts = top.column("word").combine_chunks(), top.column("n").to_numpy().astype(np.int64)
-        self.own = min(own, len(self.words))
+        # words met once stay in the rare classes: their mass is what unseen words draw on
+        self.own = min(own, int((self.counts > 1).sum()))
         self.end = self.own + rare
         self.classes = self.end + 1
         # words and tokens of the rare classes: all words less those with a class of their own
