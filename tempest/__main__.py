@@ -2,7 +2,7 @@
 
     python -m tempest run --source <landing dir> --base <layer root> [--mode full|incremental|forecast]
                           [--kind historical|forecast] [--cities baku,ganja] [--as-of 2026-04-28]
-                          [--chunk-rows N]
+                          [--start 2024-01-01] [--end 2026-04-28] [--force] [--chunk-rows N]
     python -m tempest publish --base <layer root> --years 2020-2026
 
 ``run`` reads landed ``<city>_<kind>.csv`` files, writes the raw/staging/analytics layers,
@@ -14,7 +14,7 @@ from __future__ import annotations
 import argparse
 import datetime as _dt
 
-from tempest.session import get_spark
+from tempest.session import drop_scratch, get_spark
 
 
 def main(argv=None):
@@ -27,6 +27,9 @@ def main(argv=None):
     run.add_argument("--kind", default="historical", choices=["historical", "forecast"])
     run.add_argument("--cities", default="")
     run.add_argument("--as-of", default=None)
+    run.add_argument("--start", default=None, help="first date of the rows taken")
+    run.add_argument("--end", default=None, help="last date of the rows taken (default: today)")
+    run.add_argument("--force", action="store_true", help="incremental: reload from --start whatever is stored")
     run.add_argument("--chunk-rows", type=int, default=None)
     pub = sub.add_parser("publish")
     pub.add_argument("--base", required=True)
@@ -40,11 +43,14 @@ def main(argv=None):
 
         source = read_city_csvs(spark, args.source, args.kind)
         cities = [c.strip() for c in args.cities.split(",") if c.strip()] or None
-        as_of = _dt.date.fromisoformat(args.as_of) if args.as_of else None
+        date = lambda x: _dt.date.fromisoformat(x) if x else None
+        as_of = date(args.as_of)
+        end = date(args.end) or (as_of or _dt.date.today() if args.kind == "historical" else None)
         mode = "forecast" if args.kind == "forecast" else args.mode
         res = run_layers(spark, source, args.base, mode, args.kind, cities, as_of,
-                         chunk_rows=args.chunk_rows)
-        res["checks"].orderBy("seq").show(truncate=False)
+                         chunk_rows=args.chunk_rows, start=date(args.start), end=end, force=args.force)
+        if res["checks"] is not None:
+            res["checks"].orderBy("seq").show(truncate=False)
         res["audit"].show(truncate=False)
     else:
         from tempest.plans.publish import publish_marts
@@ -52,6 +58,7 @@ def main(argv=None):
         first, last = (int(x) for x in args.years.split("-"))
         for name, path in publish_marts(spark, args.base, range(first, last + 1)).items():
             print(name, path)
+    drop_scratch(spark)
 
 
 if __name__ == "__main__":

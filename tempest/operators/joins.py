@@ -1,8 +1,8 @@
 """Joins: climatology, fallback chains, coordinate lookups, nearest city, group pairs
 (C1, C2, C4, C5, C7, C8, C9).
 
-Broadcast policy: only dimensions with a fixed size bound get an explicit ``broadcast``
-(the city map). Aggregates whose size grows with
+Broadcast policy: only tables with a fixed size bound get an explicit ``broadcast`` (the
+alias table, a checked table of groups). Aggregates whose size grows with
 the number of cities (climatology: cities x 366) are joined without a hint; AQE converts
 the join to a broadcast at runtime when the materialised side is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps the shuffle join otherwise.
@@ -57,13 +57,13 @@ def resolve_city_aliases(df: DataFrame, aliases: dict | None = None, key="city")
 
 
 def attach_coordinates(df: DataFrame, city_map: DataFrame, key="city") -> DataFrame:
-    """Canonical lat/lon from the city map (fixed-size dimension: broadcast)."""
+    """Canonical lat/lon from the city map (the planner broadcasts it when it is small)."""
     m = city_map.select(F.col("name").alias(key), F.col("lat"), F.col("lon"))
-    return df.join(F.broadcast(m), key, "left")
+    return df.join(m, key, "left")
 
 
 def known_cities(df: DataFrame, city_map: DataFrame, key="city") -> DataFrame:
-    return df.join(F.broadcast(city_map.select(F.col("name").alias(key))), key, "left_semi")
+    return df.join(city_map.select(F.col("name").alias(key)), key, "left_semi")
 
 
 def nearest_city(points: DataFrame, city_map: DataFrame, lat="lat", lon="lon",
@@ -96,29 +96,34 @@ def nearest_city(points: DataFrame, city_map: DataFrame, lat="lat", lon="lon",
                        F.when(ok, F.col("_b._name")).otherwise(F.lit(unknown)).alias("city"))
 
 
-MAX_BROADCAST_GROUPS = 100_000
+#: groups of a factor that may be compared pair by pair
+MAX_PAIR_GROUPS = 1000
 
 
-def group_pairs(stats: DataFrame, key: str, max_broadcast_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
-    """All pairs a < b of a per-group statistics table (theta self-join). The input is an
-    aggregate with one row per group (k rows), never data rows; the output, k(k-1)/2 rows,
-    is the pairwise comparison table itself. Columns get ``_a`` / ``_b`` suffixes.
-
-    The group count is checked first: up to ``max_broadcast_groups`` one side is broadcast
-    (nested-loop join inside each task); beyond it the planner's partitioned join is used."""
+def group_pairs(stats: DataFrame, key: str, max_groups: int = MAX_PAIR_GROUPS) -> DataFrame:
+    """All pairs a < b of a per-group statistics table (one row per group, never data rows).
+    Pairwise comparison is for small factors: more than ``max_groups`` groups are an error,
+    so the broadcast side is bounded. Columns get ``_a`` / ``_b`` suffixes."""
+    k = stats.count()
+    if k > max_groups:
+        raise ValueError(f"{k} groups are too many to compare pair by pair (at most {max_groups})")
     a = stats.select(*[F.col(c).alias(f"{c}_a") for c in stats.columns])
     b = stats.select(*[F.col(c).alias(f"{c}_b") for c in stats.columns])
-    k = stats.count()
-    right = F.broadcast(b) if k <= max_broadcast_groups else b
-    return a.join(right, F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return a.join(F.broadcast(b), F.col(f"{key}_a") < F.col(f"{key}_b"))
+
+
+def align_by_year_long(df: DataFrame, value="temperature_2m_max", key="city", doy="day_of_year",
+                       time="time") -> DataFrame:
+    """Same day-of-year across years, one row per (key, day-of-year, year) for every year of
+    the data. The last write in time order wins when two dates share a slot."""
+    return (df.groupBy(key, doy, F.year(time).alias("year"))
+            .agg(F.max_by(F.col(value), F.col(time)).alias("value")))
 
 
 def align_by_year(df: DataFrame, years, value="temperature_2m_max", key="city",
                   doy="day_of_year", time="time") -> DataFrame:
-    """Same day-of-year across years side by side: one column per year (explicit list,
-    so the schema is stable and no extra job discovers the pivot values). Last write in
-    time order wins when two dates share a slot."""
-    return (df.withColumn("_y", F.year(time))
-            .groupBy(key, doy).pivot("_y", list(years))
-            .agg(F.max_by(F.col(value), F.col(time)))
+    """View of ``align_by_year_long`` with one column per year of an explicit list (a stable
+    schema for charts); years outside the list are not shown."""
+    long = align_by_year_long(df, value, key, doy, time)
+    return (long.groupBy(key, doy).pivot("year", list(years)).agg(F.first("value"))
             .select(key, doy, *[F.col(str(y)).alias(f"y{y}") for y in years]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tempest.functions import calendar as cal
 from tempest.operators import aggregates as ag
 from tempest.operators.features import latest_per_key, merge_prefer, series_window
+from tempest.operators.joins import align_by_year_long
 
 HISTORY_COLUMNS = ["temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
                    "relative_humidity_2m_mean", "wind_speed_10m_max", "shortwave_radiation_sum"]
@@ -133,14 +134,20 @@ def decomposition(history: DataFrame, value: str = "temperature_2m_mean", fallba
     return out.withColumn("residual", resid)
 
 
-def yoy_matrix(history: DataFrame, years, value: str = "temperature_2m_mean",
-               fallback: str = "temperature_2m_max") -> DataFrame:
-    """Day-of-year (1..365) x year matrix of mean (else max) temperature, last write wins."""
+def yoy_long(history: DataFrame, value: str = "temperature_2m_mean",
+             fallback: str = "temperature_2m_max") -> DataFrame:
+    """(city, day-of-year 1..365, year, value): mean (else max) temperature of every year of
+    the data, last write wins."""
     v = history.select("city", "time", F.dayofyear("time").alias("day_of_year"),
                        F.coalesce(F.col(value), F.col(fallback)).alias("_v"))
-    v = v.filter(F.col("day_of_year") <= 365)
-    return (v.withColumn("_y", F.year("time")).groupBy("city", "day_of_year")
-            .pivot("_y", list(years)).agg(F.max_by("_v", "time"))
+    return align_by_year_long(v.filter(F.col("day_of_year") <= 365), "_v")
+
+
+def yoy_matrix(history: DataFrame, years, value: str = "temperature_2m_mean",
+               fallback: str = "temperature_2m_max") -> DataFrame:
+    """View of ``yoy_long`` with one column per year of an explicit list."""
+    return (yoy_long(history, value, fallback).groupBy("city", "day_of_year")
+            .pivot("year", list(years)).agg(F.first("value"))
             .select("city", "day_of_year", *[F.col(str(y)).alias(f"y{y}") for y in years]))
 
 

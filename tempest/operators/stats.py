@@ -4,10 +4,9 @@ Each test reduces the data with ``groupBy`` aggregates (partial aggregation map-
 per-group moments, then to a one-row statistic. p-values are attached by Arrow-batched
 pandas UDFs over those few rows (``with_p_values``); no raw data leaves the executors.
 
-Global ranks (Kruskal-Wallis, Mann-Whitney) use ``global_mid_ranks``: rows are first
-reduced to (value, count); approximate quantiles cut the value range into balanced
-buckets, prefix sums run per bucket, bucket offsets (one row per bucket) are added.
-No unpartitioned window over the data is ever formed.
+Global ranks and quantiles reduce rows to (value, count) and take running counts over range
+partitions, each shifted by the totals of those before it (``ordered_offsets``). No
+unpartitioned window over the data is ever formed.
 """
 
 from __future__ import annotations
@@ -32,24 +31,31 @@ def _div(a, b) -> Column:
     return F.try_divide(a, b)
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> DataFrame:
-    """Exact quantile (linear interpolation between order statistics, as ``percentile``)
-    without gathering the values of the column in one task: rows are reduced to
-    (value, count), positions come from ``global_mid_ranks``' bucketed prefix sums, and the
-    two order statistics around (N - 1) q are picked by a filter. One-row result."""
+def group_quantiles(df: DataFrame, group: str, col: str, q: float) -> DataFrame:
+    """(group, quantile): exact quantile per group (linear interpolation between order
+    statistics, as ``percentile``) without gathering a group's values in one task. Rows are
+    reduced to (group, value, count); positions are running counts over range partitions of
+    (group, value) less those of the groups before, and a filter picks the two order
+    statistics around (n - 1) q."""
     from tempest.session import materialize
 
-    counts = materialize(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")))
-    ranks = global_mid_ranks(counts, col, "n", buckets, materialized=True)
-    pos = ranks.select(col, "n", (F.col("mid_rank") - (F.col("n") + 1) / 2.0).alias("before"))
-    total = counts.select(F.sum("n")).first()[0] or 0  # one number
-    h = (total - 1) * q
-    lo_i, hi_i = F.lit(float(math.floor(h))), F.lit(float(math.ceil(h)))
-    h = F.lit(float(h))
-    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
-    picked = pos.filter(holds(lo_i) | holds(hi_i)).agg(
-        F.max(F.when(holds(lo_i), F.col(col))).alias("_lo"), F.max(F.when(holds(hi_i), F.col(col))).alias("_hi"))
-    return picked.select((F.col("_lo") + (h - lo_i) * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    counts = materialize(df.filter(F.col(col).isNotNull() & F.col(group).isNotNull())
+                         .groupBy(F.struct(group, col).alias("_gv")).agg(F.count(F.lit(1)).alias("n")))
+    placed = ordered_offsets(counts, "_gv", "n").select(
+        F.col(f"_gv.{group}").alias("_g"), F.col(f"_gv.{col}").alias("_v"), "n", "offset")
+    groups = placed.groupBy("_g").agg(F.min("offset").alias("_first"), F.sum("n").alias("_n"))
+    at = (F.col("_n") - 1) * F.lit(float(q))
+    before = F.col("offset") - F.col("_first")
+    holds = lambda i: (before <= i) & (i < before + F.col("n"))
+    picked = (placed.join(groups, "_g").filter(holds(F.floor(at)) | holds(F.ceil(at))).groupBy("_g", "_n")
+              .agg(F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("_lo"),
+                   F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("_hi")))
+    return picked.select(F.col("_g").alias(group), (F.col("_lo") + (at - F.floor(at)) * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
+    """Exact quantile of a whole column by ``group_quantiles`` (one group). One-row result."""
+    return group_quantiles(df.select(F.lit(1).alias("_all"), col), "_all", col, q).select("quantile")
 
 
 def global_median(df: DataFrame, col: str) -> Column:
@@ -110,10 +116,10 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Brown-Forsythe / median-centred Levene: ANOVA on |x - group median|. The group
-    medians table has one row per group; AQE broadcasts it when small."""
+    """Brown-Forsythe / median-centred Levene: ANOVA on |x - group median|. Medians come
+    from ``group_quantiles``, as two groups may hold all rows between them."""
     v = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    med = v.groupBy(group).agg(F.percentile(F.col(value), 0.5).alias("_med"))
+    med = group_quantiles(v, group, value, 0.5).withColumnRenamed("quantile", "_med")
     z = v.join(med, group).select(group, F.abs(F.col(value) - F.col("_med")).alias("_z"))
     return anova(z, group, "_z").withColumnRenamed("F", "W")
 
@@ -127,9 +133,10 @@ def cohen_d(df: DataFrame, group: str, value: str, a=1, b=0) -> DataFrame:
 
 
 def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
-    """All group pairs a < b: mean difference and studentized statistic
+    """All group pairs a < b of a small factor: mean difference and studentized statistic
     q = |diff| / sqrt(MSE/2 (1/n_a + 1/n_b)). The pair table is built from the k-row group
-    aggregate (k(k-1)/2 rows), never from data rows."""
+    aggregate, never from data rows; factors of more than ``joins.MAX_PAIR_GROUPS`` groups
+    are refused and go to ``against_mean``, whose output grows with k only."""
     from tempest.session import materialize
 
     st = materialize(group_moments(df, group, value))  # k rows, read by four subqueries/actions
@@ -145,6 +152,20 @@ def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
                         diff.alias("meandiff"), q.alias("q"), k.alias("k"), dfe.alias("df"))
 
 
+def against_mean(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Each group against the mean of all others: difference and t with the pooled error
+    (one row per group, for factors of any size such as cities)."""
+    st = group_moments(df, group, value)
+    tot = st.agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.col("mean")).alias("S"), F.sum("m2").alias("ssw"),
+                 F.count(F.lit(1)).alias("k"))
+    t = tot.select(F.struct("N", "S", _div(F.col("ssw"), F.col("N") - F.col("k")).alias("mse"),
+                            (F.col("N") - F.col("k")).alias("df"))).scalar()
+    rest = t["N"] - F.col("n")
+    diff = F.col("mean") - _div(t["S"] - F.col("n") * F.col("mean"), rest)
+    return st.select(group, "n", diff.alias("meandiff"),
+                     _div(diff, F.sqrt(t["mse"] * (1 / F.col("n") + _div(F.lit(1.0), rest)))).alias("t"), t["df"].alias("df"))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(
         F.count(F.lit(1)).alias("o"))
@@ -253,35 +274,11 @@ def ordered_offsets(table: DataFrame, key: str, weight: str, partitions: int | N
     return ranged.withColumn("offset", shift + local).drop("_p")
 
 
-def global_mid_ranks(counts: DataFrame, value: str, count: str = "n", buckets: int = 64,
-                     materialized: bool = False) -> DataFrame:
-    """Mid-rank of every distinct value over the whole data set.
-
-    ``counts`` holds one row per distinct value with its multiplicity. Bucket bounds are
-    approximate quantiles of the values (one aggregate), each bucket is ranked by its own
-    window, and the preceding buckets' totals give the offset. The bounds and the bucket
-    totals are ``buckets`` numbers each, read once and used as literals."""
-    from tempest.session import materialize
-
-    # the (value, count) table is read three times (cut points, bucket totals, ranks):
-    # materialise it once so the source data is scanned once
-    if not materialized:
-        counts = materialize(counts)
-    # bucket bounds: buckets-1 approximate quantiles, a fixed-size summary read once
-    bounds = counts.select(F.percentile_approx(
-        value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    b = counts.withColumn("_b", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]),
-                                                lambda x: x < F.col(value))) if bounds else F.lit(0))
-    totals = {r["_b"]: r["_tot"] for r in b.groupBy("_b").agg(F.sum(count).alias("_tot")).collect()}
-    offsets, run = [], 0
-    for i in range(len(bounds) + 1):
-        offsets.append(run)
-        run += totals.get(i, 0)
-    w = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = b.withColumn("_before", F.coalesce(F.sum(count).over(w), F.lit(0)))
-    off = F.element_at(F.array(*[F.lit(int(x)) for x in offsets]), F.col("_b") + 1)
-    start = off + F.col("_before")
-    return local.select(value, count, (start + (F.col(count) + 1) / 2.0).alias("mid_rank"))
+def global_mid_ranks(counts: DataFrame, value: str, count: str = "n") -> DataFrame:
+    """Mid-rank of every distinct value over the whole data set. ``counts`` holds one row per
+    distinct value with its multiplicity; ranks are running counts over range partitions."""
+    return ordered_offsets(counts, value, count).select(
+        value, count, (F.col("offset") + (F.col(count) + 1) / 2.0).alias("mid_rank"))
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -25,7 +25,7 @@ def build_marts(hist, fc, years) -> dict:
         "seasonal_box": mt.seasonal_box(history),
         "seasonal_kruskal": mt.seasonal_kruskal(history),
         "decomposition": mt.decomposition(history),
-        "year_over_year": mt.yoy_matrix(history, years),
+        "year_over_year": mt.yoy_long(history),
         "calendar_heatmap": mt.calendar_heatmap(history),
         "doy_smoothing": mt.doy_smoothing(history),
         "qq_fit": qq_fit(qq_points(history, "temperature_2m_max")),

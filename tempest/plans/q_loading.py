@@ -42,7 +42,7 @@ def q_csv_roundtrip(spark, sf_dir):
     (p.withColumn("time", F.date_format("time", "yyyy-MM-dd"))
      .select(*[c for c in S.DAILY_CSV.fieldNames()], F.lower("city").alias("landing_city"))
      .write.partitionBy("landing_city").option("header", True).csv(path))
-    back = files.read_city_csvs(spark, path, "forecast", dir_key="landing_city")
+    back = files.read_city_csvs(spark, path, "forecast", dir_key="landing_city", layout="folders")
     return round_doubles(back.select(*S.RAW_COLUMNS))
 
 
@@ -273,6 +273,14 @@ def q_align(spark, sf_dir):
     return round_doubles(jn.align_by_year(p, _YEARS))
 
 
+@query("c09_align_by_year_long", o.with_panels(
+    "SELECT city, CAST(dayofyear(time) AS INTEGER) AS day_of_year, CAST(year(time) AS INTEGER) AS year, "
+    "ROUND(arg_max(temperature_2m_max, time), 6) AS value FROM p GROUP BY 1, 2, 3", p=REG))
+def q_align_long(spark, sf_dir):
+    p = fx.panel(spark, sf_dir, "region").withColumn("day_of_year", F.dayofyear("time"))
+    return round_doubles(jn.align_by_year_long(p))
+
+
 # ------------------------------------------------------------------ set operations
 
 @query("g01_union_by_name", o.with_panels(

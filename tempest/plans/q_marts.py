@@ -170,6 +170,14 @@ def q_yoy(spark, sf_dir):
     return round_doubles(mt.yoy_matrix(fx.panel(spark, sf_dir, "nation"), _YEARS))
 
 
+@query("e18_year_over_year_long", o.with_panels(
+    "SELECT city, CAST(dayofyear(time) AS INTEGER) AS day_of_year, CAST(year(time) AS INTEGER) AS year, "
+    "ROUND(arg_max(COALESCE(temperature_2m_mean, temperature_2m_max), time), 6) AS value "
+    "FROM p WHERE dayofyear(time) <= 365 GROUP BY 1, 2, 3", p=o.panel("nation")))
+def q_yoy_long(spark, sf_dir):
+    return round_doubles(mt.yoy_long(fx.panel(spark, sf_dir, "nation")))
+
+
 @query("e19_calendar_heatmap", o.with_panels(
     "SELECT city, year, day_of_year, ROUND(value, 6) AS value, ROUND((value - MIN(value) OVER (PARTITION BY city)) / "
     "CASE WHEN MAX(value) OVER (PARTITION BY city) - MIN(value) OVER (PARTITION BY city) <> 0 THEN MAX(value) OVER (PARTITION BY city) - MIN(value) OVER (PARTITION BY city) ELSE 1.0 END, 6) AS scaled FROM "

@@ -149,6 +149,16 @@ def q_tukey(spark, sf_dir):
     return round_doubles(st.tukey_hsd(fx.panel(spark, sf_dir, "nation"), "city", "temperature_2m_max"))
 
 
+@query("j06_city_against_others", o.with_panels(
+    "SELECT city, n, ROUND(mean - (S - n * mean) / (N_all - n), 6) AS meandiff, "
+    "ROUND((mean - (S - n * mean) / (N_all - n)) / sqrt(ssw / (N_all - k) * (1.0 / n + 1.0 / (N_all - n))), 6) AS t, CAST(N_all - k AS BIGINT) AS df "
+    "FROM g, (SELECT SUM(n) AS N_all, SUM(n * mean) AS S, SUM(m2) AS ssw, COUNT(*) AS k FROM g) t",
+    p=NAT, g="SELECT city, COUNT(temperature_2m_max) AS n, AVG(temperature_2m_max) AS mean, "
+             "COALESCE(VAR_SAMP(temperature_2m_max), 0) * (COUNT(temperature_2m_max) - 1) AS m2 FROM p GROUP BY city"))
+def q_against(spark, sf_dir):
+    return round_doubles(st.against_mean(fx.panel(spark, sf_dir, "nation"), "city", "temperature_2m_max"))
+
+
 @query("j06_tukey_hsd_p_value")
 def q_tukey_p(spark, sf_dir):
     return st.with_p_value(st.tukey_hsd(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "tukey")

@@ -14,6 +14,7 @@ from tempest.plans import oracle as o
 from tempest.plans.catalog import query, round_doubles
 from tempest.plans.runner import run_layers
 from tempest.session import checkpoint_dir
+from tempest.sources import files
 from tempest.sources import fixtures as fx
 from tempest.streaming.ingest import ingest_available
 from tempest.streaming.refresh import refresh_features
@@ -38,10 +39,45 @@ def q_ingest(spark, sf_dir):
      .select(*S.DAILY_CSV.fieldNames(), F.lower("city").alias("landing_city"))
      .write.partitionBy("landing_city").option("header", True).csv(f"{base}/landing"))
     st = ingest_available(spark, f"{base}/landing", f"{base}/store", f"{base}/ck",
-                          max_files_per_trigger=8, dir_key="landing_city")
+                          max_files_per_trigger=8, dir_key="landing_city", layout="folders")
     return round_doubles(st.select(*S.RAW_COLUMNS))
 
 
+@query("m01_stream_ingest_kinds", o.with_panels(
+    "SELECT city, time, ROUND(temperature_2m_mean + 1, 6) AS temperature_2m_mean, 0 AS batch_id FROM p",
+    p=o.panel("region").replace("r_name AS city", "lower(r_name) AS city")))
+def q_ingest_kinds(spark, sf_dir):
+    """One folder with historical and forecast files per city, every historical day landed in
+    two files of one micro-batch: the later file wins, forecast files stay out."""
+    base = _scratch(spark, "ingest")
+    p = fx.panel(spark, sf_dir, "region")
+    rows = p.withColumn("time", F.date_format("time", "yyyy-MM-dd")).select(*S.DAILY_CSV.fieldNames())
+    older = rows
+    later = rows.withColumn("temperature_2m_mean", F.col("temperature_2m_mean") + 1)
+    forecast = rows.withColumn("temperature_2m_mean", F.lit(-99.0))
+    cities = [r["city"] for r in p.select("city").distinct().collect()]  # five regions
+    for folder, df, kind in (("a", older, "historical"), ("b", later, "historical"), ("b", forecast, "forecast")):
+        for c in cities:
+            files.write_single_csv(df.filter(F.col("city") == c), f"{base}/landing/{folder}/{c.lower().replace(' ', '%20')}_{kind}.csv")
+    st = ingest_available(spark, f"{base}/landing", f"{base}/store", f"{base}/ck")
+    return round_doubles(st.select("city", "time", "temperature_2m_mean", F.col("batch_id").cast("int").alias("batch_id")))
+
+
+@query("a15_audit_log", "SELECT * FROM (VALUES (1, 'incremental', 'ABORTED'), (2, 'full', 'SUCCESS'), (3, 'incremental', 'UP_TO_DATE'), "
+       "(4, 'full', 'ABORTED'), (5, 'incremental', 'SUCCESS')) t(run_id, mode, status), "
+       "(SELECT COUNT(*) AS stored FROM (" + o.panel("region") + ") p)")
+def q_audit(spark, sf_dir):
+    """The audit table over runs of every outcome; the layers hold all rows at the end,
+    although an empty source was loaded in full mode on the way."""
+    base, raw = _scratch(spark, "layers"), fx.panel(spark, sf_dir, "region")
+    nothing = raw.filter("false")
+    for mode, source in (("incremental", nothing), ("full", raw.filter(F.col("time") <= F.lit(_CUT))), ("incremental", nothing),
+                         ("full", nothing), ("incremental", raw)):
+        res = run_layers(spark, source, base, mode, as_of=_dt.date(2001, 11, 5), default_start=_dt.date(1990, 1, 1))
+    stored = res["raw"].select(F.count(F.lit(1))).scalar().alias("stored")
+    return spark.read.parquet(f"{base}/pipeline_runs").select("run_id", "mode", "status", stored)
+
+
 @query("m03_stream_daily_rollup", o.with_panels(
     "SELECT city, CAST(date_trunc('day', ts) AS DATE) AS time, ROUND(AVG(temperature_2m), 6) AS temperature_2m_mean, "
     "ROUND(MAX(temperature_2m), 6) AS temperature_2m_max, ROUND(MIN(temperature_2m), 6) AS temperature_2m_min, "

@@ -3,7 +3,7 @@
 Modes: ``full`` replaces every layer; ``incremental`` merges rows newer than each city's
 last date (unseen cities start at ``default_start``) and re-derives only affected cities;
 ``forecast`` replaces the forecast layers. Layers are Parquet datasets under ``base``
-partitioned by year; nothing is collected except the handful of quality rows.
+partitioned by year; nothing is collected except counts and the handful of quality rows.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempest.operators.cleaning import date_gaps
-from tempest.operators.loading import DEFAULT_START, filter_cities, select_increment
+from tempest.operators.loading import DEFAULT_START, filter_cities, force_start, select_increment
 from tempest.operators.quality import overall_status, run_all_checks
 from tempest import schemas as S
+from tempest.session import materialize
 from tempest.sources import files, store
 from tempest.streaming.refresh import refresh_features
 
@@ -40,44 +41,94 @@ def derivations(chunk_rows: int | None = None):
             lambda df: ch.compute_all_features_chunked(df, chunk_rows=chunk_rows))
 
 
+class Aborted(RuntimeError):
+    """A gate stopped the run; the stored layers are as they were."""
+
+
+def _chosen(source: DataFrame, cities, mode, latest, force, start, end, default_start) -> DataFrame:
+    """The source rows a run takes: cities, then the increment or the forced range."""
+    src = files.conform(filter_cities(source, cities), S.DAILY)  # raw schema at the boundary
+    if mode != "incremental":
+        if start is not None:
+            src = src.filter(F.col("time") >= F.lit(start))
+        return src if end is None else src.filter(F.col("time") <= F.lit(end))
+    if force:
+        return force_start(src, start or default_start, end)
+    return select_increment(src, latest, end, start or default_start)
+
+
+def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    if not files.path_exists(spark, path):
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path).drop("year")
+
+
 def run_layers(spark: SparkSession, source: DataFrame, base: str, mode: str = "full",
                kind: str = "historical", cities=None, as_of: _dt.date | None = None,
-               default_start: _dt.date = DEFAULT_START, end=None, chunk_rows: int | None = None) -> dict:
-    started = _time.time()
-    clean, compute_all_features = derivations(chunk_rows)
-    paths = layer_paths(base, kind)
-    src = files.conform(filter_cities(source, cities), S.DAILY)  # raw schema at the boundary
-    if mode in ("full", "forecast") or not files.path_exists(spark, paths["raw"]):
-        files.replace_all(src, paths["raw"])
-        raw = spark.read.parquet(paths["raw"]).drop("year")
-        staged = clean(raw)
-        files.replace_all(staged, paths["staging"])
-        analytics = compute_all_features(spark.read.parquet(paths["staging"]).drop("year"))
-        files.replace_all(analytics, paths["analytics"])
-    elif mode == "incremental":
-        raw_before = spark.read.parquet(paths["raw"]).drop("year")
-        batch = select_increment(src, store.latest_dates(raw_before), end, default_start).checkpoint()
-        analytics_before = spark.read.parquet(paths["analytics"]).drop("year")
-        refreshed = refresh_features(raw_before, analytics_before, batch,
-                                     derive=lambda r: compute_all_features(clean(r))).checkpoint()
-        store.upsert_to_path(spark, paths["raw"], batch)
-        files.replace_all(refreshed, paths["analytics"])
-        staged = clean(spark.read.parquet(paths["raw"]).drop("year"))
-        files.replace_all(staged, paths["staging"])
-    else:
+               default_start: _dt.date = DEFAULT_START, end=None, chunk_rows: int | None = None,
+               start: _dt.date | None = None, force: bool = False) -> dict:
+    """One run with an audit record whatever its outcome (``status`` of the result):
+
+    SUCCESS     the layers hold the run's rows
+    UP_TO_DATE  an incremental run found no new rows and wrote nothing
+    ABORTED     the row-count gate stopped it before any layer was touched
+    ERROR       something failed; the record is written and the error raised again
+
+    New versions of the layers are written beside the old ones and put in place only when
+    all are written, so neither an empty source nor a crash harms what is stored. An
+    incremental run takes rows newer than each city's last date in the raw layer, which is
+    put in place last: rows of a run that broke off between layers are taken again.
+    ``start`` and ``end`` bound the rows of any mode; ``force`` reloads from ``start``.
+    """
+    if mode not in ("full", "forecast", "incremental"):
         raise ValueError(f"unknown mode {mode!r}")
-    raw = spark.read.parquet(paths["raw"]).drop("year")
-    staging = spark.read.parquet(paths["staging"]).drop("year")
-    analytics = spark.read.parquet(paths["analytics"]).drop("year")
-    # gap report of the staged series (one row per city, missing dates listed)
-    date_gaps(staging).write.mode("overwrite").parquet(f"{base.rstrip('/')}/gap_report_{kind}")
-    checks = run_all_checks(raw, staging, analytics, as_of=as_of,
-                            names=(f"raw_{kind}", f"staging_{kind}", f"analytics_{kind}"))
-    status = overall_status(checks).first()["overall"]
-    counts = store.layer_counts({"raw": raw, "staging": staging, "analytics": analytics})
-    n = {r["table_name"]: r["row_count"] for r in counts.collect()}
-    audit = store.append_audit(spark, f"{base.rstrip('/')}/pipeline_runs", mode,
-                               raw.select(F.count_distinct("city")).first()[0], n["raw"], n["staging"],
-                               n["analytics"], started, "SUCCESS" if status != "FAIL" else "ABORTED",
-                               f"quality={status}")
-    return {"raw": raw, "staging": staging, "analytics": analytics, "checks": checks, "audit": audit}
+    started, paths, versions = _time.time(), layer_paths(base, kind), {}
+    clean, compute_all_features = derivations(chunk_rows)
+    n = {"raw": 0, "staging": 0, "analytics": 0}
+    record = {"cities": 0, "status": "ERROR", "notes": ""}
+    out = {"checks": None}
+    try:
+        stored = {name: _read(spark, path, S.DAILY if name == "raw" else None) for name, path in paths.items()}
+        first = stored["raw"] is None or stored["analytics"] is None
+        latest = store.latest_dates(spark.createDataFrame([], S.DAILY) if first else stored["raw"])
+        batch = materialize(_chosen(source, cities, mode, latest, force, start, end, default_start))
+        new_rows, record["cities"] = batch.agg(F.count(F.lit(1)), F.count_distinct("city")).first()
+        if not new_rows and mode == "incremental" and not first:
+            record["status"], record["notes"] = "UP_TO_DATE", "no new rows"
+            out |= stored
+        elif not new_rows:
+            raise Aborted("row_count: the source has no rows")
+        else:
+            raw = batch if mode != "incremental" or first else store.upsert(stored["raw"], batch)
+            versions["raw"], raw = files.write_version(raw, paths["raw"], S.DAILY)
+            versions["staging"], staging = files.write_version(clean(raw), paths["staging"])
+            if mode == "incremental" and not first:
+                analytics = refresh_features(stored["raw"], stored["analytics"], batch,
+                                             derive=lambda r: compute_all_features(clean(r)))
+            else:
+                analytics = compute_all_features(staging)
+            versions["analytics"], _ = files.write_version(analytics, paths["analytics"])
+            for name in reversed(list(versions)):
+                files.switch_version(spark, versions.pop(name), paths[name])
+            out |= {name: _read(spark, path) for name, path in paths.items()}
+            record["status"] = "SUCCESS"
+            # gap report of the staged series (one row per city, missing dates listed)
+            date_gaps(out["staging"]).write.mode("overwrite").parquet(f"{base.rstrip('/')}/gap_report_{kind}")
+            counts = store.layer_counts({name: out[name] for name in n})
+            n |= {r["table_name"]: r["row_count"] for r in counts.collect()}
+        out["checks"] = run_all_checks(out["raw"], out["staging"], out["analytics"], as_of=as_of,
+                                       names=tuple(f"{name}_{kind}" for name in n))
+        quality = overall_status(out["checks"]).first()["overall"]
+        record["notes"] = "; ".join(x for x in (record["notes"], f"quality={quality}") if x)
+    except Aborted as e:
+        record |= {"status": "ABORTED", "notes": str(e)}
+        out |= stored
+    except Exception as e:
+        record |= {"status": "ERROR", "notes": f"{type(e).__name__}: {str(e)[:500]}"}
+        raise
+    finally:
+        for folder in versions.values():
+            files.drop_version(spark, folder)
+        out["audit"] = store.append_audit(spark, f"{base.rstrip('/')}/pipeline_runs", mode, record["cities"], n["raw"],
+                                          n["staging"], n["analytics"], started, record["status"], record["notes"])
+    return out | {"status": record["status"]}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,25 +47,42 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder used to cut lineage (``DataFrame.checkpoint`` and written tables).
+    """Shared folder used to cut lineage (written tables, streams' progress).
 
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach and it
-    is always used as given. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    ``spark.checkpoint.dir`` names a folder every executor can reach and is always used as
+    given. Only a local session may leave it unset (tests): it gets a scratch folder, removed
+    when the process ends. Elsewhere an unset folder is an error, since executors would not
+    find what the driver's disk holds.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
+    if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tempest-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if getattr(spark.sparkContext, "_tempest_checkpoint_dir", None) != configured:
         spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="tempest-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+        spark.sparkContext._tempest_checkpoint_dir = configured
+    return configured
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tempest-{spark.sparkContext.applicationId}"
 
 
 def materialize(df):
-    """Cut the lineage of a DataFrame that is read many times (iterative ML fits): a
-    reliable checkpoint in the shared ``spark.checkpoint.dir`` (survives executor loss,
-    unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a DataFrame that is read many times: a Parquet table in the shared
+    folder, computed once (a checkpoint computes its plan twice), compressed, with statistics
+    the planner can use, and safe from lost executors."""
+    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove this application's intermediate tables; call it when no result that was built
+    from them is needed any more (the command line does at the end of a run)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))

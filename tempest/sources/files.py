@@ -3,6 +3,8 @@ A6, A7, A9, A14)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,17 +12,27 @@ from pyspark.sql import types as T
 from tempest import schemas as S
 
 
-def read_city_csvs(spark: SparkSession, path: str, kind: str = "forecast",
-                   schema: T.StructType = S.DAILY_CSV, dir_key: str = "city") -> DataFrame:
-    """All landed ``<city>_<kind>.csv`` files under ``path`` (recursively).
+def landed_glob(kind: str, layout: str) -> str:
+    """File name pattern of landed files of a kind."""
+    if layout not in ("flat", "folders"):
+        raise ValueError(f"unknown layout {layout!r}")
+    return f"*_{kind}.csv" if layout == "flat" else "*.csv"
+
 
-    The city comes from the file name (lower case, URL-decoded: names may hold spaces);
-    files written by Spark as ``<dir_key>=<name>/part-*.csv`` take the folder value, and
-    anything else the body's city. The body's own ``city`` column is kept as
+def read_city_csvs(spark: SparkSession, path: str, kind: str = "forecast",
+                   schema: T.StructType = S.DAILY_CSV, dir_key: str = "city",
+                   layout: str = "flat") -> DataFrame:
+    """Landed files of one kind under ``path`` (recursively).
+
+    ``layout="flat"`` reads ``<city>_<kind>.csv`` files only (files of other kinds in the
+    same folder are not touched) and takes the city from the file name (lower case,
+    URL-decoded: names may hold spaces). ``layout="folders"`` reads every CSV of a folder
+    that holds one kind, as Spark writes it: ``<dir_key>=<name>/part-*.csv`` take the folder
+    value, anything else the body's city. The body's own ``city`` column is kept as
     ``city_label``. ``time`` becomes DateType here.
     """
     df = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.csv").csv(path))
+          .option("pathGlobFilter", landed_glob(kind, layout)).csv(path))
     fname = F.col("_metadata.file_name")
     fpath = F.col("_metadata.file_path")
     from_name = F.regexp_extract(fname, rf"^(.*)_{kind}\.csv$", 1)
@@ -102,6 +114,51 @@ def replace_all(df: DataFrame, path: str, partition_by=("year",)) -> None:
      .option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path))
 
 
+def write_single_csv(df: DataFrame, path: str) -> None:
+    """Land a small extract as one CSV file of the given name (not a folder of parts)."""
+    spark = df.sparkSession
+    folder = f"{path}.parts-{uuid.uuid4().hex[:12]}"
+    df.coalesce(1).write.option("header", True).csv(folder)
+    parts, fs = _fs_path(spark, folder)
+    part = next(f.getPath() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-"))
+    if not fs.rename(part, _fs_path(spark, path)[0]):
+        raise OSError(f"{path} could not be written")
+    fs.delete(parts, True)
+
+
+def _fs_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_version(df: DataFrame, path: str, schema: T.StructType | None = None) -> tuple[str, DataFrame]:
+    """Write a full new version of the layer at ``path`` beside it. Returns its folder and
+    the version read back (with the explicit schema, so an empty version reads as well)."""
+    folder = f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:12]}"
+    replace_all(df, folder)
+    names = df.schema if schema is None else schema
+    back = df.sparkSession.read.schema(T.StructType([f for f in names.fields if f.name != "year"])).parquet(folder)
+    return folder, back.drop("year")
+
+
+def switch_version(spark: SparkSession, folder: str, path: str) -> None:
+    """Put a written version in the layer's place: the old one steps aside first and is
+    removed last, so a crash leaves either version whole under one of the two names."""
+    new, fs = _fs_path(spark, folder)
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
+    target, aside = _fs_path(spark, path)[0], _fs_path(spark, old)[0]
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, target):
+        raise OSError(f"{folder} could not be moved to {path}")
+    fs.delete(aside, True)
+
+
+def drop_version(spark: SparkSession, folder: str) -> None:
+    path, fs = _fs_path(spark, folder)
+    fs.delete(path, True)
+
+
 def read_forecast_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``{"cities": {city: [day, ...]}}`` documents -> one row per (city, day).
     The city key is matched case-insensitively downstream: ``city_key`` is lower case.

@@ -23,17 +23,19 @@ KEYS = ("city", "time")
 
 def upsert(target: DataFrame | None, batch: DataFrame, keys=KEYS, seq: str | None = None) -> DataFrame:
     """Insert-or-replace: the batch wins over the target; inside the batch the largest
-    ``seq`` wins (ingest order), so a duplicated key in one batch resolves last-wins."""
+    ``seq`` wins (ingest order), so a duplicated key in one batch resolves last-wins. Rows of
+    equal ``seq`` (or of none) resolve by the largest row, so replays agree."""
     keys = list(keys)
     cols = [c for c in batch.columns if c not in keys and c != seq]
-    b_seq = F.col(seq).cast("long") if seq else F.lit(0).cast("long")
+    b_seq = F.col(seq) if seq else F.lit(None).cast("long")
+    kind = batch.schema[seq].dataType if seq else "long"
     parts = [batch.select(*keys, *cols, F.lit(1).alias("_src"), b_seq.alias("_seq"))]
     if target is not None:
         parts.insert(0, target.select(*keys, *cols, F.lit(0).alias("_src"),
-                                      F.lit(0).cast("long").alias("_seq")))
+                                      F.lit(None).cast(kind).alias("_seq")))
     union = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     packed = F.struct(*[F.col(c) for c in cols])
-    order = F.struct("_src", "_seq")
+    order = F.struct("_src", "_seq", packed)
     best = union.groupBy(*keys).agg(F.max_by(packed, order).alias("_row"))
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
@@ -42,6 +44,7 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys=KEYS,
                    seq: str | None = None) -> DataFrame:
     """Merge ``batch`` into the Parquet layer at ``path``; only the years present in the
     batch are read back and rewritten (dynamic partition overwrite)."""
+    from tempest.session import materialize
     from tempest.sources.files import layout_for_write, path_exists
 
     batch = batch.withColumn("year", F.year("time"))
@@ -53,8 +56,8 @@ def upsert_to_path(spark: SparkSession, path: str, batch: DataFrame, keys=KEYS,
         merged = upsert(current.drop("year"), batch.drop("year"), keys, seq)
     else:
         merged = upsert(None, batch.drop("year"), keys, seq)
-    # reliable checkpoint: the rewritten partitions are also the ones being read
-    merged = merged.withColumn("year", F.year("time")).checkpoint()
+    # a table of its own: the rewritten partitions are also the ones being read
+    merged = materialize(merged.withColumn("year", F.year("time")))
     (layout_for_write(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year").parquet(path))
     return spark.read.parquet(path)
