@@ -47,7 +47,7 @@ BLOCK, ROWS, PAIRS = 1024, 16384, 65536
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
     """Orthogonal d x d matrix: principal axes, then alternating signs and rotation."""
     d = x.shape[1]
-    _, _, axes = np.linalg.svd(x, full_matrices=True) if len(x) >= d else (None, None, np.eye(d))
+    axes = np.linalg.eigh(x.T @ x)[1].T  # d x d
     v = x @ axes.T
     r, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
     for _ in range(rounds):
