@@ -190,15 +190,20 @@ def residual_diagnostics(pred: DataFrame, y: str = REG_TARGET, yhat: str = "pred
                     F.try_divide(F.col("_sdd"), F.col("_see")).alias("durbin_watson"))
 
 
-def residual_trend(pred: DataFrame, bins: int = 30, y: str = REG_TARGET, yhat: str = "prediction") -> DataFrame:
-    """Mean residual in ``bins`` equal-count bins of the fitted value (approximate-quantile
-    cut points, so no global sort or single-partition window)."""
+def residual_trend(pred: DataFrame, bins: int = 30, y: str = REG_TARGET, yhat: str = "prediction",
+                   key="city", order="time") -> DataFrame:
+    """Mean residual in ``bins`` equal-count bins of the fitted value: bin = floor(position *
+    bins / n) in (fitted, key, order) order, so ties are split and every bin is filled.
+    Positions are running counts over range partitions."""
+    from tempest.operators.stats import ordered_offsets
+
     v = pred.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    bounds = v.select(F.percentile_approx(yhat, [i / bins for i in range(1, bins)], 10000)).first()[0] or []
-    b = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col(yhat))) if bounds else F.lit(0)
-    return (v.withColumn("bin", b).groupBy("bin")
-            .agg(F.avg(yhat).alias("fitted"), F.avg(F.col(y) - F.col(yhat)).alias("mean_residual"),
-                 F.count(F.lit(1)).alias("n")))
+    rows = v.select(F.struct(F.col(yhat).alias("f"), F.col(key).alias("k"), F.col(order).alias("o")).alias("_at"),
+                    (F.col(y) - F.col(yhat)).alias("_e"), F.lit(1).alias("_one"))
+    placed = ordered_offsets(rows, "_at", "_one")
+    n = placed.select(F.count(F.lit(1))).scalar()
+    return (placed.withColumn("bin", F.floor(F.col("offset") * bins / n).cast("int")).groupBy("bin")
+            .agg(F.avg("_at.f").alias("fitted"), F.avg("_e").alias("mean_residual"), F.count(F.lit(1)).alias("n")))
 
 
 def class_weights(df: DataFrame, y: str = CLF_TARGET, weight: str = "weight") -> DataFrame:
@@ -211,23 +216,38 @@ def class_weights(df: DataFrame, y: str = CLF_TARGET, weight: str = "weight") ->
 
 def poisson_bootstrap(pred: DataFrame, replicates: int = 200, seed: int = 7,
                       y: str = REG_TARGET, yhat: str = "prediction", row_id: str = "row_id") -> DataFrame:
-    """Bootstrap RMSE interval with Poisson(1) row weights: every row carries a weight per
-    replicate (seeded hash -> uniform -> Poisson inverse cdf); each replicate's weighted
-    sums are combined map-side, so the shuffle holds replicates x partitions rows."""
+    """Bootstrap RMSE interval with Poisson(1) row weights. A row's weight in each replicate
+    is the inverse Poisson cdf of a seeded hash of its id; the (id, error) table is aggregated
+    with two conditional sums per replicate, so no row is copied."""
     cdf, acc, term = [], 0.0, math.exp(-1.0)
     for k in range(12):
         acc += term
         cdf.append(acc)
         term /= (k + 1)
-    v = pred.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    reps = v.select(F.col(row_id), ((F.col(y) - F.col(yhat)) ** 2).alias("_se"),
-                    F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u = (F.abs(F.xxhash64(F.col(row_id), F.col("replicate"), F.lit(seed))) % 1000000007) / 1000000007.0
-    wexpr = F.lit(len(cdf))
-    for k in reversed(range(len(cdf))):
-        wexpr = F.when(u < cdf[k], F.lit(k)).otherwise(wexpr)
-    per = (reps.withColumn("_w", wexpr).groupBy("replicate")
-           .agg(F.try_divide(F.sum(F.col("_w") * F.col("_se")), F.sum("_w")).alias("_mse")))
+    from tempest.session import materialize
+
+    v = materialize(pred.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull()).select(
+        F.col(row_id).cast("string").alias("_id"), ((F.col(y) - F.col(yhat)) ** 2).alias("_se")))
+
+    def uniform(r: int) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}:{r // 4}:"), F.col("_id")).cast("binary"))
+        return F.conv(F.substring(digest, 1 + 8 * (r % 4), 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+    # weights first, then the sums; 20 replicates at a time keep the generated code small
+    def below(u: str) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c <= F.col(u)))
+
+    parts = []
+    for at in range(0, replicates, 20):
+        some = range(at, min(at + 20, replicates))
+        drawn = v.select("_se", *[uniform(r).alias(f"u{r}") for r in some])
+        weighed = drawn.select("_se", *[below(f"u{r}").alias(f"w{r}") for r in some])
+        sums = weighed.agg(*[F.sum(F.col(f"w{r}") * F.col("_se")).alias(f"s{r}") for r in some],
+                           *[F.sum(f"w{r}").alias(f"n{r}") for r in some])
+        parts.append(sums.select(F.explode(F.array(*[F.try_divide(F.col(f"s{r}"), F.col(f"n{r}")) for r in some])).alias("_mse")))
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.unionByName(p)
     rm = F.sqrt(F.col("_mse"))
     return per.agg(F.percentile(rm, 0.025).alias("rmse_low"), F.percentile(rm, 0.975).alias("rmse_high"),
                    F.count(F.lit(1)).alias("replicates"))
@@ -306,11 +326,6 @@ def lasso_path(train: DataFrame, test: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0,
     return rows
 
 
-def ridge_alpha_to_reg(train: DataFrame, alpha: float, label: str = REG_TARGET) -> float:
-    n, sd = train.select(F.count(label), F.stddev_pop(label)).first()
-    return alpha * sd / n if n else alpha
-
-
 def ols_summary(model, features) -> list[dict]:
     """Coefficients with standard errors, t and p values (normal-equation solver)."""
     s = model.summary
@@ -365,23 +380,70 @@ def contiguous_folds(train: DataFrame, folds: int = 5, key="city", order="date_o
             .withColumn("fold", F.floor(pos * folds / total).cast("int")).drop("_off"))
 
 
+def fold_sums(train: DataFrame, features, label: str, folds: int) -> dict:
+    """Per fold the sums of all products of (1, standardised features, label): one aggregate,
+    from which every ridge fit and its held-out error follow."""
+    import numpy as np
+
+    cols = ["_one", *features, label]
+    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    mean = {c: stats[f"m_{c}"] or 0.0 for c in features}
+    sd = {c: stats[f"s_{c}"] or 1.0 for c in features}
+    z = train.select("fold", F.lit(1.0).alias("_one"), F.col(label).cast("double").alias(label),
+                     *[((F.col(c) - mean[c]) / sd[c]).alias(c) for c in features])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    rows = z.groupBy("fold").agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]).collect()
+    out = {}
+    for r in rows:  # one row per fold
+        g = np.zeros((len(cols), len(cols)))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+        out[r["fold"]] = g
+    return {"sums": [out.get(f, np.zeros((len(cols), len(cols)))) for f in range(folds)], "mean": mean, "sd": sd}
+
+
+def ridge_from_sums(g, alpha: float):
+    """(intercept, coefficients) of the ridge fit with penalty ``alpha`` on the coefficients
+    and a free intercept, from sums of products."""
+    import numpy as np
+
+    n, k = g[0, 0], len(g) - 2
+    mean = g[0, 1:] / n
+    c = g[1:, 1:] - n * np.outer(mean, mean)
+    beta = np.linalg.solve(c[:k, :k] + alpha * np.eye(k), c[:k, k])
+    return mean[k] - mean[:k] @ beta, beta
+
+
+def r2_from_sums(g, intercept: float, beta) -> float:
+    import numpy as np
+
+    w = np.r_[intercept, beta, -1.0]
+    return 1.0 - (w @ g @ w) / (g[-1, -1] - g[0, -1] ** 2 / g[0, 0])
+
+
 def ridge_cv(train: DataFrame, test: DataFrame, alphas=(0.01, 0.1, 1.0, 10.0, 100.0),
              features=LINEAR_FEATURES, label: str = REG_TARGET, folds: int = 5):
-    """Ridge with contiguous 5-fold CV over alpha (R^2), then refit on all training rows."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    tr, te = scale_on_train(contiguous_folds(train, folds), test, features, label)
-    lr = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, standardization=False)
-    regs = {a: ridge_alpha_to_reg(train, a, label) for a in alphas}
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(regs.values())).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="r2"))
-    m = cv.fit(tr)
-    table = list(zip(alphas, m.avgMetrics))
+    """Ridge with contiguous k-fold CV over alpha (mean held-out R^2), then refitted on all
+    training rows. Rows with nulls go first, then folds are cut; every fit has the same
+    penalty ``alpha`` whatever its number of rows. The data are read once (fold sums).
+    Returns (best alpha, its score), (intercept, coefficients), scored test rows, table."""
+    import numpy as np
+
+    features = list(features)
+    known = train.na.drop(subset=[label, *features])
+    s = fold_sums(contiguous_folds(known, folds), features, label, folds)
+    total = sum(s["sums"])
+    table = []
+    for a in alphas:
+        scores = [r2_from_sums(held, *ridge_from_sums(total - held, a)) for held in s["sums"]]
+        table.append((a, float(np.mean(scores))))
     best = max(table, key=lambda t: t[1])
-    return best, m.bestModel, m.bestModel.transform(te), table
+    intercept, beta = ridge_from_sums(total, best[0])
+    yhat = F.lit(float(intercept))
+    for c, b in zip(features, beta):
+        yhat = yhat + F.lit(float(b)) * (F.col(c) - s["mean"][c]) / s["sd"][c]
+    scored = test.na.drop(subset=[label, *features]).withColumn("prediction", yhat)
+    return best, (float(intercept), beta.tolist()), scored, table
 
 
 def fit_gbt_regressor(train: DataFrame, test: DataFrame, features=TREE_FEATURES, label: str = REG_TARGET,

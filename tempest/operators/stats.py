@@ -344,19 +344,30 @@ def p_adjust(tests: DataFrame, p: str = "p", family: str = "family") -> DataFram
             .drop("_m", "_rank"))
 
 
-def vif(corr_long: DataFrame, cols) -> pd.DataFrame:
-    """Variance inflation factors: diagonal of the inverse correlation matrix. The input is
-    the k x k matrix of one key (k(k-1)/2 rows), so the inversion runs on the driver."""
+def vif(df: DataFrame, cols, key="city") -> DataFrame:
+    """Variance inflation factors per key: the diagonal of the inverse correlation matrix.
+    One aggregate yields a key's k x k matrix as one row; rows are inverted batch-wise."""
     import numpy as np
 
-    rows = corr_long.select("var_a", "var_b", "r").collect()
-    idx = {c: i for i, c in enumerate(cols)}
-    m = np.eye(len(cols))
-    for r in rows:
-        i, j = idx[r["var_a"]], idx[r["var_b"]]
-        m[i, j] = m[j, i] = r["r"]
-    inv = np.linalg.inv(m)
-    return pd.DataFrame({"variable": cols, "vif": np.diag(inv)})
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def inverse_diagonal(r: pd.Series) -> pd.Series:
+        out = []
+        for values in r:
+            m = np.eye(k)
+            for (i, j), v in zip(pairs, values):
+                m[i, j] = m[j, i] = np.nan if v is None else v
+            try:
+                out.append(np.diag(np.linalg.inv(m)).tolist() if np.isfinite(m).all() else [None] * k)
+            except np.linalg.LinAlgError:  # a constant or repeated variable
+                out.append([None] * k)
+        return pd.Series(out)
+
+    wide = df.groupBy(key).agg(F.array(*[F.corr(cols[i], cols[j]) for i, j in pairs]).alias("_r"))
+    named = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in cols]).alias("variable"), inverse_diagonal("_r").alias("vif")))
+    return wide.select(key, named.alias("_v")).select(key, F.col("_v.variable").alias("variable"), F.col("_v.vif").alias("vif"))
 
 
 # ---------------------------------------------------------------------------------

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from tempest.operators.cleaning import default_strategy
 from tempest.schemas import RAW_COLUMNS, MEASURES
 from tempest.sources import fixtures as fx
 
 W_CITY = "PARTITION BY city ORDER BY time"
+
+# the repair rules of the raw columns, written out so that the oracle stands on its own
+REPAIR = {
+    "latitude": "interpolate", "longitude": "interpolate",
+    "temperature_2m_max": "ffill", "temperature_2m_min": "ffill", "temperature_2m_mean": "ffill", "apparent_temperature_max": "ffill",
+    "precipitation_sum": "zero", "rain_sum": "zero", "snowfall_sum": "zero",
+    "wind_speed_10m_max": "interpolate", "wind_gusts_10m_max": "interpolate", "relative_humidity_2m_mean": "interpolate",
+    "cloud_cover_mean": "interpolate", "pressure_msl_mean": "interpolate", "shortwave_radiation_sum": "interpolate",
+}
 DOUBLE_RAW = ["latitude", "longitude", *MEASURES]
 
 
@@ -24,7 +32,7 @@ def rounded_select(cols_double, cols_other=(), src="t") -> str:
 
 def repaired_sql(src: str = "p") -> str:
     """handle_missing with the default strategy, then drop rows still holding a null."""
-    strat = default_strategy(RAW_COLUMNS)
+    strat = REPAIR
     items = ["city", "time"]
     for c in RAW_COLUMNS[2:]:
         m = strat.get(c)
@@ -94,3 +102,49 @@ def panel(grain="nation"):
 
 def nulls(grain="region"):
     return fx.panel_with_nulls_sql(grain)
+
+
+# Tail probabilities as sums of the textbook power series (terms by logarithms), independent
+# of the engine's continued fractions.
+
+def gamma_q(a: str, x: str) -> str:
+    """Upper regularized gamma of rows with columns or literals a, x: 1 - sum of the series."""
+    return (f"CASE WHEN ({x}) <= 0 THEN 1.0 ELSE GREATEST(0.0, 1 - (SELECT SUM(exp((({a}) + i) * ln({x}) - ({x}) - lgamma(({a}) + i + 1))) "
+            "FROM range(0, 60000) r(i))) END")
+
+
+def beta_tail(a: str, b: str, y: str) -> str:
+    """1 - I_y(a, b): the F tail with a = d1 / 2, b = d2 / 2, y = d1 F / (d2 + d1 F)."""
+    return (f"CASE WHEN ({y}) <= 0 THEN 1.0 ELSE GREATEST(0.0, 1 - (SELECT SUM(exp(lgamma(({a}) + ({b}) + i) - lgamma({b}) - lgamma(({a}) + i + 1) "
+            f"+ (({a}) + i) * ln({y}) + ({b}) * ln(1 - ({y})))) FROM range(0, 60000) r(i))) END")
+
+
+def t_tail(t: str, df: str) -> str:
+    """Two-sided p of Student's t."""
+    return beta_tail("0.5", f"({df}) / 2.0", f"({t}) * ({t}) / (({df}) + ({t}) * ({t}))")
+
+
+def f_tail(f: str, d1: str, d2: str) -> str:
+    return beta_tail(f"({d1}) / 2.0", f"({d2}) / 2.0", f"({d1}) * ({f}) / (({d2}) + ({d1}) * ({f}))")
+
+
+def inverse_step(k: int, size: int, m: str = "m") -> str:
+    """One Gauss-Jordan step in place on the nested list ``m`` (pivot k, from 1)."""
+    cells = []
+    for i in range(1, size + 1):
+        row = []
+        for j in range(1, size + 1):
+            p = f"{m}[{k}][{k}]"
+            row.append(f"1.0 / {p}" if i == j == k else f"{m}[{k}][{j}] / {p}" if i == k else f"-{m}[{i}][{k}] / {p}" if j == k
+                       else f"{m}[{i}][{j}] - {m}[{i}][{k}] * {m}[{k}][{j}] / {p}")
+        cells.append("[" + ", ".join(row) + "]")
+    return "[" + ", ".join(cells) + "]"
+
+
+def inverse_ctes(source: str, size: int, keep: str, prefix: str = "inv") -> dict:
+    """CTEs that invert the matrix ``m`` of each row of ``source``; the last holds the inverse."""
+    out, prev = {}, source
+    for k in range(1, size + 1):
+        out[f"{prefix}{k}"] = f"SELECT {keep}, {inverse_step(k, size)} AS m FROM {prev}"
+        prev = f"{prefix}{k}"
+    return out

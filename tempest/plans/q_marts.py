@@ -120,12 +120,15 @@ def q_box(spark, sf_dir):
     return round_doubles(mt.seasonal_box(mt.city_history(h, f)))
 
 
-@query("l06_seasonal_kruskal", o.with_panels(
+_BOX_KRUSKAL = (
     "SELECT city, N, k, ROUND(12.0 / (N * (N + 1)) * s - 3 * (N + 1), 6) AS H, k - 1 AS dof FROM "
     "(SELECT city, CAST(SUM(ng) AS BIGINT) AS N, SUM(R * R / ng) AS s, COUNT(*) AS k FROM (SELECT city, season_year, season, SUM(r) AS R, COUNT(*) AS ng FROM "
     "(SELECT *, RANK() OVER (PARTITION BY city ORDER BY x) + (COUNT(*) OVER (PARTITION BY city, x) - 1) / 2.0 AS r FROM kept) a "
-    "GROUP BY 1, 2, 3) g GROUP BY city) t WHERE k >= 2",
-    h=fx.hist_sql("region"), f=fx.forecast_sql("region"), hh=_HIST_SQL, bk=_BUCKETS, kept=_KEPT))
+    "GROUP BY 1, 2, 3) g GROUP BY city) t WHERE k >= 2")
+_BOX_PANELS = dict(h=fx.hist_sql("region"), f=fx.forecast_sql("region"), hh=_HIST_SQL, bk=_BUCKETS, kept=_KEPT)
+
+
+@query("l06_seasonal_kruskal", o.with_panels(_BOX_KRUSKAL, **_BOX_PANELS))
 def q_box_kw(spark, sf_dir):
     h, f = _hf(spark, sf_dir)
     return round_doubles(mt.seasonal_kruskal(mt.city_history(h, f)))
@@ -209,12 +212,13 @@ def q_recent(spark, sf_dir):
     return round_doubles(hist.select("city", "time", *_HCOLS))
 
 
-@query("l06_seasonal_kruskal_p_value")
+@query("l06_seasonal_kruskal_p_value", o.with_panels(
+    f"SELECT city, N, k, H, dof, ROUND({o.gamma_q('dof / 2.0', 'H / 2.0')}, 6) AS p FROM kw", **_BOX_PANELS, kw=_BOX_KRUSKAL))
 def q_box_kw_p(spark, sf_dir):
     from tempest.operators.stats import with_p_value
 
     h, f = _hf(spark, sf_dir)
-    return with_p_value(mt.seasonal_kruskal(mt.city_history(h, f)), "kruskal")
+    return round_doubles(with_p_value(mt.seasonal_kruskal(mt.city_history(h, f)), "kruskal"))
 
 
 @query("r04_published_history_mart", o.with_panels(o.rounded_select(_HCOLS, ["city", "time"], "hh"),

@@ -1,7 +1,7 @@
 """Registered queries: hypothesis tests, effect sizes, correlations (J*).
 
-Oracle columns carry the statistics; p-values (incomplete beta/gamma, not in the SQL
-engine) are registered separately without an oracle and unit-tested against closed forms.
+Oracle columns carry the statistics; p-values are registered separately, their oracle sums
+the power series of the incomplete beta and gamma functions.
 """
 
 from __future__ import annotations
@@ -78,10 +78,15 @@ def q_welch2(spark, sf_dir):
     return round_doubles(st.welch_t(s, "group", "impact_score"))
 
 
-@query("j03_welch_t_p_value")
+_WELCH_RAW = _welch_sql().replace("ROUND((mean_a", "((mean_a").replace(", 6) AS t", ") AS t").replace("ROUND(pow(", "(pow(").replace(", 6) AS df", ") AS df")
+
+
+@query("j03_welch_t_p_value", o.with_panels(
+    f"SELECT n_a, n_b, mean_a, mean_b, ROUND(t, 6) AS t, ROUND(df, 6) AS df, ROUND({o.t_tail('t', 'df')}, 6) AS p FROM w",
+    p=NAT, d=D_SQL, s=_split_sql("heat_stress"), w=_WELCH_RAW))
 def q_welch_p(spark, sf_dir):
     s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
-    return st.with_p_value(st.welch_t(s, "group", "impact_score"), "t")
+    return round_doubles(st.with_p_value(st.welch_t(s, "group", "impact_score"), "t"))
 
 
 def _anova_sql(src, group, value, stat="F"):
@@ -103,37 +108,50 @@ def q_anova_city(spark, sf_dir):
     return round_doubles(st.anova(fx.panel(spark, sf_dir, "nation"), "city", "temperature_2m_max"))
 
 
-@query("j04_anova_p_value")
+def _anova_p_sql(src, group, value, stat):
+    raw = _anova_sql(src, group, value, stat).replace("ROUND((ssb / (k - 1)) / (ssw / (nn - k)), 6)", "(ssb / (k - 1)) / (ssw / (nn - k))")
+    return (f"SELECT groups, n, ROUND({stat}, 6) AS {stat}, df_between, df_within, eta_sq, "
+            f"ROUND({o.f_tail(stat, 'df_between', 'df_within')}, 6) AS p FROM ({raw}) a")
+
+
+@query("j04_anova_p_value", o.with_panels(_anova_p_sql("d", "persistence_alert_level", "impact_score", "F"), p=NAT, d=D_SQL))
 def q_anova_p(spark, sf_dir):
-    return st.with_p_value(st.anova(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "anova")
+    return round_doubles(st.with_p_value(st.anova(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "anova"))
 
 
-@query("j02_levene", o.with_panels(
-    _anova_sql("z", "g", "zz", "W"), p=NAT, d=D_SQL,
+_LEVENE = dict(
+    p=NAT, d=D_SQL,
     z="SELECT d.persistence_alert_level AS g, ABS(d.impact_score - m.med) AS zz FROM d JOIN "
       "(SELECT persistence_alert_level, quantile_cont(impact_score, 0.5) AS med FROM d WHERE impact_score IS NOT NULL "
-      "GROUP BY 1) m ON d.persistence_alert_level = m.persistence_alert_level WHERE d.impact_score IS NOT NULL"))
+      "GROUP BY 1) m ON d.persistence_alert_level = m.persistence_alert_level WHERE d.impact_score IS NOT NULL")
+
+
+@query("j02_levene", o.with_panels(_anova_sql("z", "g", "zz", "W"), **_LEVENE))
 def q_levene(spark, sf_dir):
     return round_doubles(st.levene(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"))
 
 
-@query("j05_kruskal_wallis", o.with_panels(
+_KRUSKAL = (
     "SELECT N, k, ROUND(12.0 / (N * (N + 1)) * s - 3 * (N + 1), 6) AS H, k - 1 AS dof FROM "
     "(SELECT CAST(SUM(ng) AS BIGINT) AS N, SUM(R * R / ng) AS s, COUNT(*) AS k FROM "
     "(SELECT season, SUM(r) AS R, COUNT(*) AS ng FROM (SELECT season, RANK() OVER (ORDER BY temperature_2m_max) + "
-    "(COUNT(*) OVER (PARTITION BY temperature_2m_max) - 1) / 2.0 AS r FROM d WHERE temperature_2m_max IS NOT NULL) x GROUP BY season) g) t",
-    p=NAT, d=D_SQL))
+    "(COUNT(*) OVER (PARTITION BY temperature_2m_max) - 1) / 2.0 AS r FROM d WHERE temperature_2m_max IS NOT NULL) x GROUP BY season) g) t")
+
+
+@query("j05_kruskal_wallis", o.with_panels(_KRUSKAL, p=NAT, d=D_SQL))
 def q_kruskal(spark, sf_dir):
     return round_doubles(st.kruskal_wallis(risk_panel(spark, sf_dir), "season", "temperature_2m_max"))
 
 
-@query("j17_mann_whitney", o.with_panels(
+_MANN = (
     "SELECT n_a, n_b, ROUND(u, 6) AS U, ROUND((u - n_a * n_b / 2) / sqrt(n_a * n_b * (n_a + n_b + 1) / 12), 6) AS z FROM "
     "(SELECT n_a, n_b, R_a - n_a * (n_a + 1) / 2 AS u FROM (SELECT SUM(CASE WHEN grp = 'high' THEN r END) AS R_a, "
     "COUNT(*) FILTER (WHERE grp = 'high') AS n_a, COUNT(*) FILTER (WHERE grp = 'low') AS n_b FROM "
     "(SELECT grp, RANK() OVER (ORDER BY impact_score) + (COUNT(*) OVER (PARTITION BY impact_score) - 1) / 2.0 AS r "
-    "FROM s WHERE grp IN ('high', 'low') AND impact_score IS NOT NULL) x) y) z",
-    p=NAT, d=D_SQL, s=_split_sql("heat_stress")))
+    "FROM s WHERE grp IN ('high', 'low') AND impact_score IS NOT NULL) x) y) z")
+
+
+@query("j17_mann_whitney", o.with_panels(_MANN, p=NAT, d=D_SQL, s=_split_sql("heat_stress")))
 def q_mw(spark, sf_dir):
     s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
     return round_doubles(st.mann_whitney(s, "group", "impact_score", "high", "low"))
@@ -210,10 +228,12 @@ def q_chi(spark, sf_dir):
     return round_doubles(st.chi_square(p, "city", "dry"))
 
 
-@query("j13_chi_square_p_value")
+@query("j13_chi_square_p_value", o.with_panels(
+    f"SELECT n, r, c, ROUND(chi2, 6) AS chi2, dof, ROUND({o.gamma_q('dof / 2.0', 'chi2 / 2.0')}, 6) AS p FROM x", p=NAT,
+    e="SELECT city, CAST(precipitation_sum = 0 AS INTEGER) AS dry FROM p", x=_chi_sql("e", "city", "dry")))
 def q_chi_p(spark, sf_dir):
     p = fx.panel(spark, sf_dir, "nation").withColumn("dry", (F.col("precipitation_sum") == 0).cast("int"))
-    return st.with_p_value(st.chi_square(p, "city", "dry"), "chi2")
+    return round_doubles(st.with_p_value(st.chi_square(p, "city", "dry"), "chi2"))
 
 
 _CORR_VARS = ["temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
@@ -268,7 +288,20 @@ def q_qq(spark, sf_dir):
     return round_doubles(st.qq_fit(pts))
 
 
-@query("j15_p_adjust")
+_FAMILIES = ("SELECT family, city, grp, COUNT(y) AS n, AVG(y) AS m, VAR_SAMP(y) AS v FROM (SELECT 'impact_score' AS family, city, grp, impact_score AS y FROM s "
+             "UNION ALL SELECT 'temperature_2m_max', city, grp, temperature_2m_max FROM s) u GROUP BY 1, 2, 3")
+_PICK = ", ".join(f"MAX(CASE WHEN grp = '{g}' THEN {c} END) AS {c}_{g}" for c in ("n", "m", "v") for g in ("high", "low"))
+
+
+@query("j15_p_adjust", o.with_panels(
+    "SELECT family, city, ROUND(t, 6) AS t, ROUND(df, 6) AS df, ROUND(p, 6) AS p, ROUND(LEAST(1.0, p * m), 6) AS p_bonferroni, "
+    "ROUND(LEAST(1.0, MIN(p * m / rk) OVER (PARTITION BY family ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh FROM r",
+    p=NAT, d=D_SQL, s=_split_sql("heat_stress"), g=_FAMILIES, w="SELECT family, city, " + _PICK + " FROM g GROUP BY 1, 2",
+    t0="SELECT family, city, (m_high - m_low) / sqrt(v_high / n_high + v_low / n_low) AS t, pow(v_high / n_high + v_low / n_low, 2) / "
+       "(pow(v_high / n_high, 2) / (n_high - 1) + pow(v_low / n_low, 2) / (n_low - 1)) AS df FROM w "
+       "WHERE n_high > 1 AND n_low > 1 AND v_high / n_high + v_low / n_low > 0",
+    q=f"SELECT *, {o.t_tail('t', 'df')} AS p FROM t0",
+    r="SELECT *, COUNT(*) OVER (PARTITION BY family) AS m, ROW_NUMBER() OVER (PARTITION BY family ORDER BY p, city) AS rk FROM q"))
 def q_padjust(spark, sf_dir):
     """Per-city Welch tests (high vs low heat-stress days) for two outcomes; Bonferroni and
     Benjamini-Hochberg adjustment within each outcome's family of city tests."""
@@ -282,10 +315,10 @@ def q_padjust(spark, sf_dir):
     wide = per.groupBy("family", "city").agg(*[F.max(F.when(F.col("group") == g, F.col(c))).alias(f"{c}_{g}")
                                                for c in ("n", "m", "v") for g in ("high", "low")])
     sa, sb = F.col("v_high") / F.col("n_high"), F.col("v_low") / F.col("n_low")
+    wide = wide.filter((F.col("n_high") > 1) & (F.col("n_low") > 1) & (sa + sb > 0))
     t = wide.select("family", "city", ((F.col("m_high") - F.col("m_low")) / F.sqrt(sa + sb)).alias("t"),
                     ((sa + sb) ** 2 / (sa ** 2 / (F.col("n_high") - 1) + sb ** 2 / (F.col("n_low") - 1))).alias("df"))
-    tested = st.with_p_value(t.filter(F.col("t").isNotNull() & ~F.isnan("t")), "t")
-    return st.p_adjust(tested, "p", "family")
+    return round_doubles(st.p_adjust(st.with_p_value(t, "t"), "p", "family"))
 
 
 def _others_sql(lag):
@@ -306,26 +339,34 @@ def q_others_lag(spark, sf_dir):
     return round_doubles(st.correlation_with_others(fx.panel(spark, sf_dir, "nation"), "temperature_2m_max", lag=1))
 
 
-@query("j16_vif")
+def _matrix_sql(vars_):
+    cell = lambda a, b: "1.0" if a == b else f"CORR({min(a, b)}, {max(a, b)})"
+    return "[" + ", ".join("[" + ", ".join(cell(a, b) for b in vars_) + "]" for a in vars_) + "]"
+
+
+@query("j16_vif", o.with_panels(
+    " UNION ALL ".join(f"SELECT city, '{v}' AS variable, ROUND(m[{i}][{i}], 4) AS vif FROM inv{len(_CORR_VARS)}"
+                       for i, v in enumerate(_CORR_VARS, 1)),
+    p=NAT, c=f"SELECT city, {_matrix_sql(_CORR_VARS)} AS m FROM p GROUP BY city", **o.inverse_ctes("c", len(_CORR_VARS), "city")))
 def q_vif(spark, sf_dir):
-    """VIF of the correlation variables for one city (k x k matrix, inverted on the driver)."""
-    p = fx.panel(spark, sf_dir, "nation")
-    first_city = p.select(F.min("city")).first()[0]
-    pairs = st.correlation_pairs(p.filter(F.col("city") == first_city), _CORR_VARS[:4] + _CORR_VARS[5:])
-    return spark.createDataFrame(st.vif(pairs, _CORR_VARS[:4] + _CORR_VARS[5:]))
+    """VIF of all correlation variables for every city."""
+    return round_doubles(st.vif(fx.panel(spark, sf_dir, "nation"), _CORR_VARS), 4)
 
 
-@query("j02_levene_p_value")
+@query("j02_levene_p_value", o.with_panels(_anova_p_sql("z", "g", "zz", "W"), **_LEVENE))
 def q_levene_p(spark, sf_dir):
-    return st.with_p_value(st.levene(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "levene")
+    return round_doubles(st.with_p_value(st.levene(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "levene"))
 
 
-@query("j05_kruskal_wallis_p_value")
+@query("j05_kruskal_wallis_p_value", o.with_panels(
+    f"SELECT N, k, H, dof, ROUND({o.gamma_q('dof / 2.0', 'H / 2.0')}, 6) AS p FROM kw", p=NAT, d=D_SQL, kw=_KRUSKAL))
 def q_kruskal_p(spark, sf_dir):
-    return st.with_p_value(st.kruskal_wallis(risk_panel(spark, sf_dir), "season", "temperature_2m_max"), "kruskal")
+    return round_doubles(st.with_p_value(st.kruskal_wallis(risk_panel(spark, sf_dir), "season", "temperature_2m_max"), "kruskal"))
 
 
-@query("j17_mann_whitney_p_value")
+@query("j17_mann_whitney_p_value", o.with_panels(
+    f"SELECT n_a, n_b, U, z, ROUND({o.gamma_q('0.5', 'z * z / 2.0')}, 6) AS p FROM mw",
+    p=NAT, d=D_SQL, s=_split_sql("heat_stress"), mw=_MANN))
 def q_mw_p(spark, sf_dir):
     s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
-    return st.with_p_value(st.mann_whitney(s, "group", "impact_score", "high", "low"), "z")
+    return round_doubles(st.with_p_value(st.mann_whitney(s, "group", "impact_score", "high", "low"), "z"))

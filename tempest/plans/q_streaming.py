@@ -58,7 +58,7 @@ def q_ingest_kinds(spark, sf_dir):
     cities = [r["city"] for r in p.select("city").distinct().collect()]  # five regions
     for folder, df, kind in (("a", older, "historical"), ("b", later, "historical"), ("b", forecast, "forecast")):
         for c in cities:
-            files.write_single_csv(df.filter(F.col("city") == c), f"{base}/landing/{folder}/{c.lower().replace(' ', '%20')}_{kind}.csv")
+            files.write_single_csv(df.filter(F.col("city") == c), f"{base}/landing/{folder}/{c.lower()}_{kind}.csv")
     st = ingest_available(spark, f"{base}/landing", f"{base}/store", f"{base}/ck")
     return round_doubles(st.select("city", "time", "temperature_2m_mean", F.col("batch_id").cast("int").alias("batch_id")))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-# Measures of the daily panel, in the order of the raw layer.
+# Measures of the daily panel, in the order of the raw layer.
 MEASURES = [
     "temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
     "apparent_temperature_max",
@@ -92,7 +92,8 @@ HOURLY = T.StructType([
     T.StructField("shortwave_radiation", T.DoubleType()), T.StructField("is_day", T.IntegerType()),
 ])
 
-# Columns the feature layer must produce (gate Q5).
+# Columns the feature layer must produce (gate Q5), names of temperatures and
+# of columns with outlier flags.
 REQUIRED_FEATURES = [
     "temperature_2m_mean_7d", "temperature_2m_mean_30d",
     "precipitation_sum_7d", "precipitation_sum_30d",
@@ -112,3 +113,10 @@ OUTLIER_COLUMNS = [
     "precipitation_sum", "wind_speed_10m_max", "wind_gusts_10m_max",
     "pressure_msl_mean", "shortwave_radiation_sum", "apparent_temperature_max",
 ]
+
+# Repair of missing values by the beginning of a measure's name; other measures are interpolated.
+REPAIR_RULES = {
+    "temperature": "ffill", "apparent_temperature": "ffill",
+    "precipitation_sum": "zero", "rain_sum": "zero", "snowfall_sum": "zero",
+}
+UNREPAIRED = ("city", "time", "weather_code")
