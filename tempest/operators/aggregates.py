@@ -123,53 +123,58 @@ def energy_totals(daily: DataFrame, key="city") -> DataFrame:
                                   round_half_up(F.sum("solar"), 2).alias("total_solar"))
 
 
+def value_counts(df: DataFrame, keys, value: str, *more) -> DataFrame:
+    """(keys, value, _n) with one row per distinct value of a group (null included): combined
+    map-side, it feeds exact quantiles and every count above or below them from one scan."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), *more)
+
+
 def heat_threshold(df: DataFrame, tmax="temperature_2m_max", q: float = 0.9, key="city",
                    approx: bool = False) -> DataFrame:
-    """Per city: the q-quantile of summer Tmax and the number of days above it."""
+    """Per city: the q-quantile of summer Tmax and the number of days above it, both from the
+    value counts (``approx`` takes the quantile from rows, for huge numbers of values)."""
     summer = cal.season(F.month("time")) == "summer"
-    summer_t = F.when(summer, F.col(tmax))
-    pq = (F.percentile_approx(summer_t, q, 10000) if approx else F.percentile(summer_t, q))
-    w = Window.partitionBy(key)
-    marked = df.select(key, tmax, pq.over(w).alias("threshold"))
-    return (marked.groupBy(key).agg(F.first("threshold").alias("threshold"),
-                                   F.count_if(F.col(tmax) > F.col("threshold")).alias("days_above")))
+    days = value_counts(df, [key], tmax, F.count_if(summer).alias("_summer"))
+    if approx:
+        limits = df.groupBy(key).agg(F.percentile_approx(F.when(summer, F.col(tmax)), q, 10000).alias("threshold"))
+    else:
+        limits = days.groupBy(key).agg(F.percentile(tmax, q, F.col("_summer")).alias("threshold"))
+    above = F.sum(F.when(F.col(tmax) > F.col("threshold"), F.col("_n")))
+    return (days.join(limits, key).groupBy(key)
+            .agg(F.first("threshold").alias("threshold"), F.coalesce(above, F.lit(0)).cast("long").alias("days_above")))
 
 
 def five_number(df: DataFrame, value: str, keys, k: float = 1.5) -> DataFrame:
     """Box statistics: quartiles (linear interpolation) and whiskers at the most extreme
-    values still inside the 1.5 IQR fences (fall back to min/max)."""
+    values still inside the 1.5 IQR fences (fall back to min/max), from the value counts."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*keys)
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
-    m = df.select(*keys, value, q.alias("_q"))
+    counts = value_counts(df, keys, value)
+    box = counts.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"))
     lo = F.col("_q")[0] - k * (F.col("_q")[2] - F.col("_q")[0])
     hi = F.col("_q")[2] + k * (F.col("_q")[2] - F.col("_q")[0])
-    return (m.groupBy(*keys)
-            .agg(F.first("_q").alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-                 F.min(F.when(F.col(value) >= lo, F.col(value))).alias("_wlo"),
-                 F.max(F.when(F.col(value) <= hi, F.col(value))).alias("_whi"),
-                 F.count(value).alias("n"))
-            .select(*keys, "n", F.coalesce("_wlo", "_min").alias("whisker_low"),
-                    F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), F.coalesce("_whi", "_max").alias("whisker_high")))
+    out = (counts.join(box, keys).groupBy(*keys)
+           .agg(F.first("_q").alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max"),
+                F.min(F.when(F.col(value) >= lo, F.col(value))).alias("_wlo"),
+                F.max(F.when(F.col(value) <= hi, F.col(value))).alias("_whi"),
+                F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))).alias("_c")))
+    return out.select(*keys, F.coalesce("_c", F.lit(0)).cast("long").alias("n"), F.coalesce("_wlo", "_min").alias("whisker_low"),
+                      F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                      F.col("_q")[2].alias("q3"), F.coalesce("_whi", "_max").alias("whisker_high"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10, key="city") -> DataFrame:
     """Equal-width bins between each key's min and max (last bin closed), count, density and
-    bin centre; empty bins are present with 0. max == min puts every value in bin 0."""
-    stats = df.groupBy(key).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"),
-                                F.count(value).alias("_n"))
+    bin centre; empty bins are present with 0. max == min puts every value in bin 0. The data
+    are scanned once, into value counts; bins are conditional sums per key."""
+    counts = value_counts(df, [key], value).filter(F.col(value).isNotNull())
+    stats = counts.groupBy(key).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.sum("_n").alias("_t"))
     width = (F.col("_mx") - F.col("_mn")) / bins
-    j = df.select(key, value).filter(F.col(value).isNotNull()).join(stats, key)
-    b = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_mn")) / width), F.lit(bins - 1))
-               ).otherwise(F.lit(0)).cast("int")
-    counts = j.groupBy(key, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = stats.select(key, "_mn", "_mx", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, [key, "bin"], "left").fillna(0, ["count"])
-    w = (F.col("_mx") - F.col("_mn")) / bins
-    return out.select(key, "bin", "count",
-                      (F.col("_mn") + (F.col("bin") + 0.5) * w).alias("bin_centre"),
-                      F.when(w > 0, F.col("count") / (F.col("_n") * w)).alias("density"))
+    b = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_mn")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    per = (counts.join(stats, key).withColumn("_b", b).groupBy(key, "_mn", "_mx", "_t")
+           .agg(F.array(*[F.coalesce(F.sum(F.when(F.col("_b") == x, F.col("_n"))), F.lit(0)) for x in range(bins)]).alias("_counts")))
+    out = per.select(key, "_mn", "_mx", "_t", F.posexplode("_counts").alias("bin", "count"))
+    return out.select(key, "bin", "count", (F.col("_mn") + (F.col("bin") + 0.5) * width).alias("bin_centre"),
+                      F.when(width > 0, F.col("count") / (F.col("_t") * width)).alias("density"))
 
 
 def distribution_stats(df: DataFrame, value: str, key="city", normal_limit: float = 0.5) -> DataFrame:
@@ -199,16 +204,16 @@ def top_k(df: DataFrame, order_cols, k: int = 10) -> DataFrame:
 
 def top_k_per_metric(df: DataFrame, metrics: dict, k: int = 10, key="city", order="time",
                      keep=()) -> DataFrame:
-    """Several top-k lists in one result: ``metrics`` maps a label to (column, descending)."""
-    parts = []
-    for label, (col, desc) in metrics.items():
-        o = F.col(col).desc() if desc else F.col(col).asc()
-        parts.append(top_k(df.filter(F.col(col).isNotNull()), [o, F.col(key), F.col(order)], k)
-                     .select(F.lit(label).alias("metric"), key, order, F.col(col).alias("value"), *keep))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Several top-k lists in one result and one scan: ``metrics`` maps a label to (column,
+    descending). Rows are unpivoted and ranked per metric; the rank limit is applied inside
+    each task before the shuffle, so k rows of a task and metric move."""
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(label).alias("metric"), F.col(col).cast("double").alias("value"),
+                 (F.col(col) * F.lit(-1.0 if desc else 1.0)).alias("_by")) for label, (col, desc) in metrics.items()]))
+    long = df.select(key, order, *keep, rows.alias("_m")).select("_m.metric", key, order, "_m.value", "_m._by", *keep)
+    w = Window.partitionBy("metric").orderBy("_by", key, order)
+    return (long.filter(F.col("value").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+            .select("metric", key, order, "value", *keep))
 
 
 def last_season_buckets(df: DataFrame, n: int = 4, key="city", time="time") -> DataFrame:

@@ -107,8 +107,8 @@ def decomposition(history: DataFrame, value: str = "temperature_2m_mean", fallba
     trend = centred mean of the 2 (P // 2) + 1 rows around each row (null near both ends),
     seasonal = mean detrended value of the same day-of-year, residual = obs - trend - seasonal.
 
-    P differs per city, so the centred means come from prefix sums joined at i +- half (an
-    equi-join on (city, index)) rather than from a fixed-size window frame."""
+    Series of two years and more share P = 365, so their trend is one window of fixed width.
+    P of shorter series differs per city: theirs comes from prefix sums joined at i +- half."""
     obs = F.coalesce(F.col(value), F.col(fallback))
     w = series_window(key, order)
     run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -116,16 +116,20 @@ def decomposition(history: DataFrame, value: str = "temperature_2m_mean", fallba
         key, order, obs.alias("obs"), F.row_number().over(w).alias("i"),
         F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
     base = base.withColumn("half", F.floor(F.least(F.lit(365), F.greatest(F.lit(7), F.floor(F.col("n") / 2))) / 2))
+    inside = (F.col("i") > F.col("half")) & (F.col("i") <= F.col("n") - F.col("half"))
+    around = F.avg("obs").over(Window.partitionBy(key).orderBy(order).rowsBetween(-182, 182))
+    t = base.withColumn("_around", around)
+    long = t.filter("n >= 730").select(key, order, "obs", F.when(inside, F.col("_around")).alias("trend"))
+    base = base.filter("n < 730")
     pref = base.select(key, F.col("i").alias("j"), F.sum("obs").over(run).alias("S"),
                        F.count("obs").over(run).alias("C"))
     hi = pref.select(key, F.col("j").alias("_hi"), F.col("S").alias("S_hi"), F.col("C").alias("C_hi"))
     lo = pref.select(key, F.col("j").alias("_lo"), F.col("S").alias("S_lo"), F.col("C").alias("C_lo"))
     t = (base.withColumn("_hi", F.col("i") + F.col("half")).withColumn("_lo", F.col("i") - F.col("half") - 1)
          .join(hi, [key, "_hi"], "left").join(lo, [key, "_lo"], "left"))
-    inside = (F.col("i") > F.col("half")) & (F.col("i") <= F.col("n") - F.col("half"))
     cnt = F.col("C_hi") - F.coalesce(F.col("C_lo"), F.lit(0))
     trend = F.when(inside & (cnt > 0), (F.col("S_hi") - F.coalesce(F.col("S_lo"), F.lit(0.0))) / cnt)
-    t = t.select(key, order, "obs", trend.alias("trend"))
+    t = long.unionByName(t.select(key, order, "obs", trend.alias("trend")))
     detr = F.col("obs") - F.col("trend")
     seasonal = F.avg(detr).over(Window.partitionBy(key, F.dayofyear(order)))
     out = t.withColumn("seasonal", seasonal)
