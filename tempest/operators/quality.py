@@ -26,10 +26,6 @@ def _row(stats: DataFrame, name: str, stage: str, status: Column, details: Colum
                         status.alias("status"), details.alias("details"))
 
 
-def _thousands(n: Column) -> Column:
-    return F.format_number(n, 0)
-
-
 class Check:
     """One gate as (aggregates over the layer, row built from those aggregates). Several
     checks of a layer share one aggregation pass (``single_pass``)."""
@@ -53,8 +49,7 @@ def row_count_check(df: DataFrame, p: str = "rc") -> Check:
     empty = n == 0
     return Check("row_count", [F.count(F.lit(1)).alias(f"{p}_n")],
                  F.when(empty, "FAIL").otherwise("PASS"),
-                 F.when(empty, F.lit("Zero rows — pipeline aborted."))
-                 .otherwise(F.concat(_thousands(n), F.lit(" rows present."))))
+                 F.format_string("rows=%d", n))
 
 
 def numeric_columns(df: DataFrame):
@@ -66,18 +61,16 @@ def null_ratio_check(df: DataFrame, threshold: float = 0.05, p: str = "nr") -> C
     aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"{p}_{c}") for c in cols]
     bad = F.array_compact(F.array(*[
         F.when(F.col(f"{p}_{c}") > threshold,
-               F.format_string("%s (%.1f%%)", F.lit(c), F.col(f"{p}_{c}") * 100))
+               F.format_string("%s=%.1f%%", F.lit(c), F.col(f"{p}_{c}") * 100))
         for c in cols])) if cols else F.array().cast("array<string>")
-    pct = f"{threshold * 100:.0f}"
+    limit = F.lit(f"limit={threshold * 100:.0f}%")
     return Check("null_ratio", aggs, F.when(F.size(bad) > 0, "WARN").otherwise("PASS"),
-                 F.when(F.size(bad) > 0, F.concat(F.lit(f"Columns exceeding {pct}% nulls: "),
-                                                  F.concat_ws(", ", bad)))
-                 .otherwise(F.lit(f"All numeric columns have ≤ {pct}% nulls.")))
+                 F.concat_ws(" ", limit, F.concat_ws(" ", bad)) if cols else limit)
 
 
 def value_range_check(df: DataFrame, lo: float = TEMP_MIN, hi: float = TEMP_MAX, p: str = "vr") -> Check:
     present = [c for c in TEMPERATURE_COLUMNS if c in df.columns]
-    skip = "No temperature columns found; check skipped."
+    skip = "nothing to check"
     if not present:
         return Check("value_ranges", [], F.lit("WARN"), F.lit(skip))
     out_of = None
@@ -85,37 +78,28 @@ def value_range_check(df: DataFrame, lo: float = TEMP_MIN, hi: float = TEMP_MAX,
         cond = F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False))
         out_of = cond if out_of is None else (out_of | cond)
     n, bad = F.col(f"{p}_n"), F.col(f"{p}_bad")
-    rng = f"[{lo}°C, {hi}°C]"
+    rng = f"range={lo}..{hi}"
     return Check("value_ranges", [F.count(F.lit(1)).alias(f"{p}_n"), F.count_if(out_of).alias(f"{p}_bad")],
                  F.when(n == 0, "WARN").when(bad > 0, "WARN").otherwise("PASS"),
                  F.when(n == 0, F.lit(skip))
-                 .when(bad > 0, F.concat(_thousands(bad), F.lit(
-                     f" rows have temperature values outside {rng}. Flagged, not removed.")))
-                 .otherwise(F.lit(f"All temperature values within {rng}.")))
+                 .otherwise(F.concat(F.lit(f"{rng} outside="), bad.cast("string"))))
 
 
 def feature_completeness_check(df: DataFrame, required=REQUIRED_FEATURES, p: str = "fc") -> Check:
     missing = [c for c in required if c not in df.columns]  # schema only, no data read
     present = [c for c in required if c in df.columns]
     aggs = [F.count(c).alias(f"{p}_{c}") for c in present]
-    all_null = F.array_compact(F.array(*[F.when(F.col(f"{p}_{c}") == 0, F.lit(f"'{c}'")) for c in present])) \
+    all_null = F.array_compact(F.array(*[F.when(F.col(f"{p}_{c}") == 0, F.lit(c)) for c in present])) \
         if present else F.array().cast("array<string>")
-    issues = []
-    if missing:
-        issues.append(F.lit("Missing columns: [" + ", ".join(f"'{c}'" for c in missing) + "]"))
-    issues.append(F.when(F.size(all_null) > 0,
-                         F.concat(F.lit("All-null columns: ["), F.concat_ws(", ", all_null), F.lit("]"))))
-    joined = F.concat_ws(" | ", *issues)
-    bad = joined != ""
-    return Check("feature_completeness", aggs, F.when(bad, "WARN").otherwise("PASS"),
-                 F.when(bad, joined).otherwise(
-                     F.lit(f"All {len(required)} required feature columns present and non-null.")))
+    found = F.concat(F.lit(f"required={len(required)} absent={','.join(missing)} empty="), F.concat_ws(",", all_null))
+    return Check("feature_completeness", aggs,
+                 F.when(F.lit(bool(missing)) | (F.size(all_null) > 0), "WARN").otherwise("PASS"), found)
 
 
 def freshness_check(df: DataFrame, max_lag_days: int = 2, as_of: _dt.date | None = None,
                     p: str = "fr") -> Check:
     as_of = as_of or _dt.date.today()
-    skip = "Column 'time' not found or table empty; freshness check skipped."
+    skip = "nothing to check"
     if "time" not in df.columns:
         return Check("freshness", [], F.lit("WARN"), F.lit(skip))
     latest = F.col(f"{p}_latest")
@@ -124,10 +108,7 @@ def freshness_check(df: DataFrame, max_lag_days: int = 2, as_of: _dt.date | None
     return Check("freshness", [F.max(F.to_date("time")).alias(f"{p}_latest")],
                  F.when(latest.isNull(), "WARN").when(lag > max_lag_days, "WARN").otherwise("PASS"),
                  F.when(latest.isNull(), F.lit(skip))
-                 .when(lag > max_lag_days, F.format_string(
-                     f"Latest date in data: %s. Today: {as_of}. Lag = %d days (threshold = {max_lag_days} days).",
-                     latest_s, lag))
-                 .otherwise(F.format_string("Data is fresh. Latest date: %s (lag %d days).", latest_s, lag)))
+                 .otherwise(F.format_string(f"latest=%s lag=%d limit={max_lag_days}", latest_s, lag)))
 
 
 def _one(df: DataFrame, stage: str, check: Check) -> DataFrame:
@@ -166,23 +147,23 @@ def city_max_gaps(df: DataFrame, key="city", order="time") -> DataFrame:
 
 
 def check_date_continuity(df: DataFrame, stage: str = "staging", max_gap_days: int = 3) -> DataFrame:
+    """Cities with a gap over the limit: their number and the worst of them (the first by
+    name on ties); ``city_max_gaps`` lists them all."""
     spark = df.sparkSession
     if "time" not in df.columns or "city" not in df.columns:
-        return _row(spark.range(1), "date_continuity", stage, F.lit("WARN"),
-                    F.lit("Columns 'time' or 'city' not found; check skipped."))
-    gaps = city_max_gaps(df).filter(F.col("max_gap") > max_gap_days)
-    items = gaps.select(F.struct("city", F.format_string("%s (max gap %d days)", "city", "max_gap")
-                                 .alias("txt")).alias("it"))
-    # one row per city with a gap (bounded by the number of cities, not by rows)
+        return _row(spark.range(1), "date_continuity", stage, F.lit("WARN"), F.lit("nothing to check"))
+    over = F.col("max_gap") > max_gap_days
     n_rows = df.select(F.count(F.lit(1))).scalar()  # scalar subquery
-    s = items.agg(F.array_sort(F.collect_list("it")).alias("items"),
-                  F.count(F.lit(1)).alias("n_bad")).withColumn("n_rows", n_rows)
-    listed = F.concat_ws(", ", F.transform("items", lambda x: x["txt"]))
-    status = (F.when(F.col("n_rows") == 0, "WARN").when(F.col("n_bad") > 0, "WARN").otherwise("PASS"))
-    details = (F.when(F.col("n_rows") == 0, F.lit("Columns 'time' or 'city' not found; check skipped."))
-               .when(F.col("n_bad") > 0, F.concat(F.lit(f"Cities with gaps > {max_gap_days} days: "), listed))
-               .otherwise(F.lit(f"No gaps > {max_gap_days} days found in any city.")))
-    return _row(s, "date_continuity", stage, status, details)
+    s = city_max_gaps(df).agg(
+        F.count_if(over).alias("bad"), F.max("max_gap").alias("gap"),
+        F.min_by("city", F.struct(-F.col("max_gap"), F.col("city"))).alias("worst")).withColumn("n_rows", n_rows)
+    limit = F.lit(f"limit={max_gap_days} cities=")
+    return _row(s, "date_continuity", stage,
+                F.when((F.col("n_rows") == 0) | (F.col("bad") > 0), "WARN").otherwise("PASS"),
+                F.when(F.col("n_rows") == 0, "nothing to check")
+                .when(F.col("bad") > 0, F.concat(limit, F.col("bad").cast("string"), F.lit(" worst="), "worst",
+                                                 F.lit(" gap="), F.col("gap").cast("string")))
+                .otherwise(F.concat(limit, F.lit("0"))))
 
 
 def run_all_checks(raw: DataFrame | None = None, staging: DataFrame | None = None,
