@@ -3,7 +3,7 @@
     python -m tempest run --source <landing dir> --base <layer root> [--mode full|incremental|forecast]
                           [--kind historical|forecast] [--cities baku,ganja] [--as-of 2026-04-28]
                           [--start 2024-01-01] [--end 2026-04-28] [--force] [--chunk-rows N]
-    python -m tempest publish --base <layer root> --years 2020-2026
+    python -m tempest publish --base <layer root> [--energy <documents>]
 
 ``run`` reads landed ``<city>_<kind>.csv`` files, writes the raw/staging/analytics layers,
 runs the quality gates (printed) and appends an audit record; ``publish`` writes the marts.
@@ -33,7 +33,7 @@ def main(argv=None):
     run.add_argument("--chunk-rows", type=int, default=None)
     pub = sub.add_parser("publish")
     pub.add_argument("--base", required=True)
-    pub.add_argument("--years", required=True, help="first-last, e.g. 2020-2026")
+    pub.add_argument("--energy", default=None, help="energy documents, one JSON document per line")
     args = ap.parse_args(argv)
 
     spark = get_spark()
@@ -55,8 +55,7 @@ def main(argv=None):
     else:
         from tempest.plans.publish import publish_marts
 
-        first, last = (int(x) for x in args.years.split("-"))
-        for name, path in publish_marts(spark, args.base, range(first, last + 1)).items():
+        for name, path in publish_marts(spark, args.base, args.energy).items():
             print(name, path)
     drop_scratch(spark)
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempest.functions import calendar as cal
+from tempest.functions import weather as wx
 from tempest.operators import aggregates as ag
-from tempest.operators.features import latest_per_key, merge_prefer, series_window
+from tempest.operators.features import latest_per_key, merge_prefer, persistence_alert_level, series_window
 from tempest.operators.joins import align_by_year_long
 
 HISTORY_COLUMNS = ["temperature_2m_max", "temperature_2m_min", "temperature_2m_mean",
@@ -35,6 +36,13 @@ def city_history(hist: DataFrame, fc: DataFrame) -> DataFrame:
         "temperature_2m_mean", (F.col("temperature_2m_max") + F.col("temperature_2m_min")) / 2.0))
 
 
+def forecast_rows(fc: DataFrame) -> DataFrame:
+    """The raw forecast layer as forecast days: category, impact score and alert level."""
+    return fc.select("city", "time", "temperature_2m_max", "temperature_2m_min", "relative_humidity_2m_mean",
+                     wx.weather_category().alias("weather_category"), wx.impact_score().alias("impact_score"),
+                     persistence_alert_level().alias("persistence_alert_level"))
+
+
 def history_fallback(history: DataFrame, forecast_days: DataFrame) -> DataFrame:
     """Cities without any history get their forecast rows, mean = round((max + min) / 2, 1);
     as in the dashboard backend the mean is only formed when both values are truthy, so a

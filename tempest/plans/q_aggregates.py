@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempest.functions import calendar as cal
@@ -10,6 +13,7 @@ from tempest.operators import aggregates as ag
 from tempest.operators import cleaning as cl
 from tempest.plans import oracle as o
 from tempest.plans.catalog import query, rnd, round_doubles
+from tempest.session import scratch_root
 from tempest.sources import fixtures as fx
 
 NAT = o.panel("nation")
@@ -169,6 +173,48 @@ def energy_hourly(spark, sf_dir):
                     F.when(day, F.col("temperature_2m") / 2).alias("Trina_Solar_kWh"))
 
 
+_TARGETS = ("temperature_2m", "wind_speed_10m", "shortwave_radiation")
+
+
+def energy_document(spark, sf_dir):
+    """Energy documents, one per city, and one with the scores of an hour-ahead persistence
+    forecast per target (derived from the hourly panel)."""
+    hours = energy_hourly(spark, sf_dir)
+    row = F.struct(*[c for c in hours.columns if c != "city"])
+    cities = hours.groupBy("city").agg(F.collect_list(row).alias("rows")).select(
+        F.create_map("city", "rows").alias("locations"))
+    w = Window.partitionBy("city").orderBy("ts")
+    lagged = fx.hourly_panel(spark, sf_dir).select(*[F.col(c) for c in _TARGETS], *[F.lag(c).over(w).alias(f"l_{c}") for c in _TARGETS])
+    scores = []
+    for c in _TARGETS:
+        y = F.when(F.col(f"l_{c}").isNotNull(), F.col(c))
+        sse = F.sum((y - F.col(f"l_{c}")) ** 2)
+        scores.append(F.struct(F.lit(c).alias("target"), (1 - sse / (F.count(y) * F.var_pop(y))).alias("test_r2"),
+                               F.sqrt(sse / F.count(y)).alias("test_rmse")))
+    metrics = lagged.agg(F.array(*scores).alias("model_metrics"))
+    return cities.unionByName(metrics, allowMissingColumns=True)
+
+
+def _score_sql(c, what):
+    y, d = f"CASE WHEN l_{c} IS NOT NULL THEN {c} END", f"pow({c} - l_{c}, 2)"
+    return f"1 - SUM({d}) / (COUNT({y}) * VAR_POP({y}))" if what == "r2" else f"sqrt(SUM({d}) / COUNT({y}))"
+
+
+@query("d16_model_metrics", o.with_panels(
+    f"SELECT ROUND({_score_sql('temperature_2m', 'r2')}, 6) AS temp_r2, ROUND({_score_sql('temperature_2m', 'rmse')}, 6) AS temp_rmse, "
+    f"ROUND({_score_sql('wind_speed_10m', 'r2')}, 6) AS wind_r2, ROUND({_score_sql('wind_speed_10m', 'rmse')}, 6) AS wind_rmse, "
+    f"ROUND({_score_sql('shortwave_radiation', 'r2')}, 6) AS solar_r2 FROM l",
+    h=fx.hourly_sql(), l="SELECT *, " + ", ".join(f"LAG({c}) OVER (PARTITION BY city ORDER BY ts) AS l_{c}" for c in _TARGETS) + " FROM h"))
+def q_model_metrics(spark, sf_dir):
+    """Scores read back from the energy documents, one row per document set."""
+    from tempest.sources import files
+
+    path = f"{scratch_root(spark)}/energy-{uuid.uuid4().hex[:12]}"
+    energy_document(spark, sf_dir).write.json(path)
+    _, metrics = files.read_energy_json(spark, path, multi_line=False)
+    return round_doubles(ag.pick_model_metrics(metrics))
+
+
 _ENERGY_DAILY_SQL = ("SELECT city, make_date(year, month, day) AS date, "
                      "ROUND(SUM(COALESCE(Envision_wind_kWh, 0) + COALESCE(Fuhrlander_wind_kWh, 0)), 2) AS wind, "
                      "ROUND(SUM(COALESCE(Jinko_Solar_kWh, 0) + COALESCE(Trina_Solar_kWh, 0)), 2) AS solar, "

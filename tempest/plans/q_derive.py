@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempest.functions import calendar as cal
 from tempest.functions import weather as wx
+from tempest.operators import features as fe
 from tempest.plans import oracle as o
 from tempest.plans.catalog import query, round_doubles
 from tempest.sources import fixtures as fx
@@ -100,13 +101,15 @@ _IMPACT_SQL = ("LEAST(100.0, CASE WHEN temperature_2m_max > 30 THEN (temperature
 @query("b16_labels", o.with_panels(
     "SELECT city, time, weather_category, " + _condition_case("weather_category") + " AS icon_group, "
     + _condition_case("'Heavy ' || weather_category") + " AS icon_group_free_text, "
-    "CASE WHEN impact IS NULL THEN 'unknown' WHEN impact >= 70 THEN 'high' WHEN impact >= 40 THEN 'medium' ELSE 'low' END AS impact_band "
-    "FROM (SELECT city, time, " + _wmo_case() + " AS weather_category, " + _IMPACT_SQL + " AS impact FROM p) s", p=NAT))
+    "CASE WHEN impact IS NULL THEN 'unknown' WHEN impact >= 70 THEN 'high' WHEN impact >= 40 THEN 'medium' ELSE 'low' END AS impact_band, "
+    "COALESCE(level > 0, false) AS alert FROM (SELECT city, time, CASE WHEN ROW_NUMBER() OVER (PARTITION BY city ORDER BY time) >= 3 THEN "
+    "SUM(CASE WHEN temperature_2m_max > 35 THEN 1 ELSE 0 END) OVER (PARTITION BY city ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE 0 END AS level, "
+    + _wmo_case() + " AS weather_category, " + _IMPACT_SQL + " AS impact FROM p) s", p=NAT))
 def q_labels(spark, sf_dir):
     p = _nation(spark, sf_dir).select(
         "city", "time", wx.weather_category().alias("weather_category"),
-        wx.impact_score().alias("impact"))
-    return p.select("city", "time", "weather_category",
+        wx.impact_score().alias("impact"), fe.persistence_alert_level().alias("persistence_alert_level"))
+    return p.select("city", "time", "weather_category", wx.persistence_alert().alias("alert"),
                     wx.condition_group("weather_category").alias("icon_group"),
                     wx.condition_group(F.concat(F.lit("Heavy "), F.col("weather_category")))
                     .alias("icon_group_free_text"),

@@ -264,6 +264,16 @@ def q_semi(spark, sf_dir):
 _YEARS = list(range(1995, 2002))
 
 
+@query("a06_first_available", o.with_panels(
+    "SELECT city, time, ROUND(temperature_2m_max, 6) AS temperature_2m_max FROM p", p=REG))
+def q_first_available(spark, sf_dir):
+    """The first stored layer of a list of candidates; the first of them does not exist."""
+    base = _scratch(spark, "layers")
+    fx.panel(spark, sf_dir, "region").write.parquet(f"{base}/raw")
+    found = files.read_first_available(spark, [f"{base}/staging", f"{base}/raw"])
+    return round_doubles(found.select("city", "time", "temperature_2m_max"))
+
+
 @query("c09_align_by_year", o.with_panels(
     "SELECT city, CAST(dayofyear(time) AS INTEGER) AS day_of_year, "
     + ", ".join(f"ROUND(arg_max(temperature_2m_max, time) FILTER (WHERE year(time) = {y}), 6) AS y{y}" for y in _YEARS)

@@ -17,7 +17,7 @@ from tempest.sources import fixtures as fx
 
 W = o.W_CITY
 _HCOLS = mt.HISTORY_COLUMNS
-_YEARS = list(range(1995, 2002))
+_YEARS = list(range(1995, 2002))  # columns of the e18 view
 
 
 def _hf(spark, sf_dir):
@@ -229,5 +229,42 @@ def q_published(spark, sf_dir):
 
     h, f = _hf(spark, sf_dir)
     base = f"{checkpoint_dir(spark).rstrip('/')}/publish-{uuid.uuid4().hex[:12]}"
-    paths = publish_from_frames(spark, base, h, f, _YEARS)
+    paths = publish_from_frames(spark, base, h, f)
     return round_doubles(spark.read.parquet(paths["city_history"]).select("city", "time", *_HCOLS))
+
+
+# every published mart against its own query's SQL, over the same raw layers
+_PUBLISHED = {
+    "city_latest": "SELECT COUNT(*) AS rows, ROUND(SUM(temperature_2m_max), 4) AS total FROM (SELECT * FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY city ORDER BY time DESC) = 1) x",
+    "city_forecast": "SELECT COUNT(*), ROUND(SUM(temperature_2m_max), 4) FROM f",
+    "city_history": "SELECT COUNT(*), ROUND(SUM(temperature_2m_max), 4) FROM hh",
+    "city_history_or_forecast": "SELECT COUNT(*), ROUND(SUM(temperature_2m_max), 4) FROM hh",
+    "qq_points": "SELECT COUNT(*), ROUND(SUM(temperature_2m_max), 4) FROM hh",
+    "scatter_sample": "SELECT COUNT(*), ROUND(SUM(temperature_2m_max), 4) FROM (SELECT * FROM hh QUALIFY (ROW_NUMBER() OVER (PARTITION BY city ORDER BY time) - 1) % 5 = 0) x",
+    "autocorrelation": "SELECT 40 * COUNT(DISTINCT city), ROUND(SUM(40 * n), 4) FROM (SELECT city, 1.96 / sqrt(COUNT(*)) AS n FROM hh GROUP BY city) x",
+    "year_over_year": "SELECT COUNT(*), ROUND(SUM(v), 4) FROM (SELECT arg_max(COALESCE(temperature_2m_mean, temperature_2m_max), time) AS v FROM hh WHERE dayofyear(time) <= 365 GROUP BY city, year(time), dayofyear(time)) x",
+    "calendar_heatmap": "SELECT COUNT(*), ROUND(SUM(v), 4) FROM (SELECT arg_max(temperature_2m_mean, time) AS v FROM hh WHERE temperature_2m_mean IS NOT NULL GROUP BY city, year(time), dayofyear(time)) x",
+    "decomposition": "SELECT COUNT(*), ROUND(SUM(COALESCE(temperature_2m_mean, temperature_2m_max)), 4) FROM hh",
+    "city_energy_totals": "SELECT COUNT(DISTINCT city), 0.0 FROM h2",
+}
+_SUM_OF = {"city_forecast": "temp_max", "qq_points": "sample", "autocorrelation": "band", "year_over_year": "value",
+           "calendar_heatmap": "value", "decomposition": "obs"}
+
+
+@query("r05_published_marts", o.with_panels(
+    " UNION ALL ".join(f"SELECT '{name}' AS mart, rows, total FROM ({sql}) q_{name}(rows, total)" for name, sql in _PUBLISHED.items()),
+    h=fx.hist_sql("region"), f=fx.forecast_sql("region"), hh=_HIST_SQL, h2=fx.hourly_sql()))
+def q_all_published(spark, sf_dir):
+    """Rows and a column total of every published mart, read back from its folder."""
+    from tempest.plans.publish import publish_from_frames
+    from tempest.plans.q_aggregates import energy_document
+
+    h, f = _hf(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/publish-{uuid.uuid4().hex[:12]}"
+    energy_document(spark, sf_dir).write.json(f"{base}/energy")
+    paths, out = publish_from_frames(spark, base, h, f, f"{base}/energy"), None
+    for name in _PUBLISHED:
+        total = F.lit(0.0) if name == "city_energy_totals" else F.sum(_SUM_OF.get(name, "temperature_2m_max"))
+        row = spark.read.parquet(paths[name]).agg(F.count(F.lit(1)).alias("rows"), total.alias("total")).select(F.lit(name).alias("mart"), "rows", "total")
+        out = row if out is None else out.unionByName(row)
+    return round_doubles(out, 4)

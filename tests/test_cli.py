@@ -54,7 +54,7 @@ def test_cli_forecast_run_and_publish(spark, scratch):
     main(["run", "--source", land, "--base", base, "--as-of", "2025-02-05"])
     main(["run", "--source", f"{scratch}/fc", "--base", base, "--kind", "forecast", "--as-of", "2025-02-05"])
     assert spark.read.parquet(f"{base}/raw_forecast").count() == 7
-    main(["publish", "--base", base, "--years", "2024-2025"])
+    main(["publish", "--base", base])
     hist = spark.read.parquet(f"{base}/marts/city_history")
     # history 2024-01-01..2025-02-03 (leap year); forecast 02-01..02-07 overlaps 3 days (history wins)
     assert hist.count() == 400 + 4
