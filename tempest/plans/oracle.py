@@ -121,11 +121,13 @@ def beta_tail(a: str, b: str, y: str) -> str:
 
 def t_tail(t: str, df: str) -> str:
     """Two-sided p of Student's t."""
-    return beta_tail("0.5", f"({df}) / 2.0", f"({t}) * ({t}) / (({df}) + ({t}) * ({t}))")
+    tail = beta_tail("0.5", f"({df}) / 2.0", f"({t}) * ({t}) / (({df}) + ({t}) * ({t}))")
+    return f"CASE WHEN ({t}) * ({t}) > 4000 AND ({df}) > 50 THEN 0.0 ELSE {tail} END"  # below 1e-40
 
 
 def f_tail(f: str, d1: str, d2: str) -> str:
-    return beta_tail(f"({d1}) / 2.0", f"({d2}) / 2.0", f"({d1}) * ({f}) / (({d2}) + ({d1}) * ({f}))")
+    tail = beta_tail(f"({d1}) / 2.0", f"({d2}) / 2.0", f"({d1}) * ({f}) / (({d2}) + ({d1}) * ({f}))")
+    return f"CASE WHEN ({f}) > 4000 AND ({d2}) > 50 THEN 0.0 ELSE {tail} END"
 
 
 def inverse_step(k: int, size: int, m: str = "m") -> str:
