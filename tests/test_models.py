@@ -54,3 +54,45 @@ def test_class_weights_balance(spark, tables):
     w = md.class_weights(train).groupBy("will_rain").agg(F.sum("weight").alias("s")).collect()
     n = train.count()
     assert all(r["s"] == pytest.approx(n / 2) for r in w)
+
+
+def test_ridge_cv_against_numpy(spark):
+    """Same penalty in every fold, nulls dropped before folds are cut."""
+    import datetime as dt
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in ("a", "b"):
+        for i in range(60):
+            x = rng.normal(size=3)
+            rows.append((c, i, *[float(v) for v in x], float(x @ [1.0, -2.0, 0.5] + rng.normal()), dt.date(2024, 1, 1)))
+    rows.append(("a", 99, None, 1.0, 1.0, 1.0, dt.date(2024, 1, 1)))
+    df = spark.createDataFrame(rows, "city string, date_ord int, x1 double, x2 double, x3 double, y double, time date")
+    best, (b0, beta), scored, table = md.ridge_cv(df, df, alphas=(0.1, 50.0), features=["x1", "x2", "x3"], label="y", folds=4)
+    data = np.array([r[2:6] for r in rows[:-1]], float)
+    x = (data[:, :3] - data[:, :3].mean(0)) / data[:, :3].std(0)
+    y, fold = data[:, 3], np.arange(120) * 4 // 120
+
+    def fit(x, y, a):
+        m = x.mean(0)
+        c = np.linalg.solve((x - m).T @ (x - m) + a * np.eye(3), (x - m).T @ (y - y.mean()))
+        return y.mean() - m @ c, c
+    for a, score in table:
+        want = []
+        for f in range(4):
+            i, c = fit(x[fold != f], y[fold != f], a)
+            h = y[fold == f]
+            want.append(1 - ((h - i - x[fold == f] @ c) ** 2).sum() / ((h - h.mean()) ** 2).sum())
+        assert abs(score - np.mean(want)) < 1e-9
+    i, c = fit(x, y, best[0])
+    assert abs(b0 - i) < 1e-9 and np.allclose(beta, c)
+    assert scored.count() == 120
+
+
+def test_residual_trend_bins_are_filled(spark):
+    import datetime as dt
+
+    rows = [("c", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 3), float(i % 2)) for i in range(61)]
+    df = spark.createDataFrame(rows, "city string, time date, prediction double, temperature_2m_max double")
+    got = md.residual_trend(df, bins=10).collect()
+    assert sorted(r["bin"] for r in got) == list(range(10)) and {r["n"] for r in got} == {6, 7}
