@@ -22,6 +22,7 @@ import base64
 import codecs
 import hashlib
 import json
+import struct
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: the pieces kept per worker, and the longest piece kept
-KEPT_PIECES, KEPT_CHARS = 400_000, 48
+KEPT_PIECES, KEPT_CHARS = 250_000, 48
 #: texts over this many characters are split in slices of pieces
 LONG, SLICE = 1_000_000, 100_000
 
@@ -73,16 +74,17 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 
 
 class Pieces(dict):
-    """Encoded pieces as (ids, ids as text): a piece is mapped from bytes to characters and
-    merged by the tokenizer's model; short ones are kept until the table is full."""
+    """Encoded pieces as (ids, ids as text, ids as little-endian bytes, two each where the
+    vocabulary allows, else four): a piece is mapped from bytes to characters and merged by
+    the tokenizer's model; short ones are kept until the table is full."""
 
-    def __init__(self, model):
-        self.model, self.map = model, dict(enumerate(byte_characters()))
+    def __init__(self, model, wide: bool):
+        self.model, self.map, self.code = model, dict(enumerate(byte_characters())), "I" if wide else "H"
 
     def __missing__(self, piece: str):
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.map))
-        ids = [t.id for t in tokens]
-        entry = ids, " ".join(map(str, ids))
+        ids = tuple([t.id for t in tokens])
+        entry = ids, " ".join(map(str, ids)), struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(piece) <= KEPT_CHARS and len(self) < KEPT_PIECES:
             self[piece] = entry
         return entry
@@ -95,10 +97,10 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.tok, self.pattern = Tokenizer.from_str(spec), regex.compile(pattern)
-        self.kept = Pieces(self.tok.model)
         byte = {c: b for b, c in enumerate(byte_characters())}
         vocab = json.loads(spec)["model"]["vocab"]
         self.token_bytes = [b""] * (max(vocab.values()) + 1)
+        self.kept = Pieces(self.tok.model, len(self.token_bytes) > 1 << 16)
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(byte[c] for c in token)
 

@@ -85,14 +85,22 @@ class ShardWriter:
         self.draft = f"{self.path}.{uuid.uuid4().hex}"
         self.out = fs.open_output_stream(self.draft)
 
-    def append(self, ids: np.ndarray) -> None:
-        self.out.write(ids.tobytes())
-        self.tokens += len(ids)
+    def append(self, ids: bytes) -> None:
+        self.out.write(ids)
+        self.tokens += len(ids) // 2
 
     def close(self) -> None:
         self.out.write(np.full(-self.tokens % self.stride, self.end, "<u2").tobytes())
         self.out.close()
-        self.fs.move(self.draft, self.path)
+        try:
+            self.fs.move(self.draft, self.path)
+        except OSError:  # file systems that don't replace
+            self.fs.delete_file(self.path)
+            self.fs.move(self.draft, self.path)
+
+    def drop(self) -> None:
+        self.out.close()
+        self.fs.delete_file(self.draft)
 
 
 def write_shards(docs: DataFrame, target: str, ranks_path: str, pattern: str, key: int = 1, stride: int = STRIDE,
@@ -117,28 +125,33 @@ def write_shards(docs: DataFrame, target: str, ranks_path: str, pattern: str, ke
         stop = len(codec.token_bytes) if end is None else end
         if stop > 0xFFFF:
             raise ValueError("ids of a record have two bytes; the end id is larger")
+        last = stop.to_bytes(2, "little")
         fs, folder = pyarrow.fs.FileSystem.from_uri(target)
         fs.create_dir(folder, recursive=True)
-        for batch in batches:
-            first, count, crc = [], [], []
-            for text, s in zip(batch.column(1), batch.column(3).to_pylist()):
-                if s != now:
-                    if writer:
-                        writer.close()
-                    writer, now = ShardWriter(fs, folder, s, stride, stop), s
-                first.append(writer.tokens)
-                check = 0
-                for some in codec.entries(text.as_py()):
-                    ids = np.array([i for e in some for i in e[0]], "<u2")
-                    check = zlib.crc32(ids.tobytes(), check)
-                    writer.append(ids)
-                ids = np.array([stop], "<u2")
-                writer.append(ids)
-                count.append(writer.tokens - first[-1])
-                crc.append(zlib.crc32(ids.tobytes(), check))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), *[pa.array(x, pa.int64()) for x in (first, count, crc)]],
-                names=["doc_id", "slot", "shard", "first_token", "n_tokens", "tokens_crc32"])
+        try:
+            for batch in batches:
+                first, count, crc = [], [], []
+                for text, s in zip(batch.column(1), batch.column(3).to_pylist()):
+                    if s != now:
+                        if writer:
+                            writer.close()
+                        writer, now = ShardWriter(fs, folder, s, stride, stop), s
+                    first.append(writer.tokens)
+                    check = 0
+                    for some in codec.entries(text.as_py()):
+                        ids = b"".join([e[2] for e in some])
+                        check = zlib.crc32(ids, check)
+                        writer.append(ids)
+                    writer.append(last)
+                    count.append(writer.tokens - first[-1])
+                    crc.append(zlib.crc32(last, check))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), batch.column(3), *[pa.array(x, pa.int64()) for x in (first, count, crc)]],
+                    names=["doc_id", "slot", "shard", "first_token", "n_tokens", "tokens_crc32"])
+        except BaseException:
+            if writer:
+                writer.drop()
+            raise
         if writer:
             writer.close()
 
