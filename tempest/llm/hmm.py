@@ -72,8 +72,20 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, own: int, rare: int, near: int):
         self.total, self.distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
         self.total, self.rare = int(self.total or 0), rare
-        top = counts.filter("word != ''").orderBy(F.desc("n"), "word").limit(near).toArrow()
-        self.words, self.counts = top.column("word").combine_chunks(), top.column("n").to_numpy().astype(np.int64)
+        # the commonest words: all of a least count, which is the lowest bound of a fine scale
+        # of counts that at most ``near`` words reach
+        step = F.floor(F.log2("n") * 64).cast("int")
+        scale = counts.filter("word != ''").groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("n")).collect()
+        least, reach = 1 << 62, 0
+        for r in sorted(scale, key=lambda r: -r["s"]):
+            reach += r["v"]
+            if reach > near:
+                break
+            least = r["n"]
+        top = counts.filter((F.col("word") != "") & (F.col("n") >= least)).toArrow()
+        words, n = top.column("word").combine_chunks(), top.column("n").to_numpy().astype(np.int64)
+        order = pc.sort_indices(pa.table({"w": words, "n": n}), sort_keys=[("n", "descending"), ("w", "ascending")])
+        self.words, self.counts = words.take(order), n[order.to_numpy()]
         # words met once stay in the rare classes: their mass is what unseen words draw on
         self.own = min(own, int((self.counts > 1).sum()))
         self.end = self.own + rare
