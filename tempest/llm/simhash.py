@@ -165,13 +165,16 @@ def near_links(nodes: DataFrame, radius: int = 4, tree: int = TREE) -> DataFrame
     return units.mapInArrow(run, "u long, v long")
 
 
+def rooted(nodes: DataFrame, radius: int = 4, tree: int = TREE) -> DataFrame:
+    """The columns of nodes (fp, first) and ``root``, the smallest fingerprint of the group."""
+    roots = connected_components(near_links(nodes, radius, tree))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(rows: DataFrame, radius: int = 4, tree: int = TREE) -> DataFrame:
     """(fp, component_id) of every fingerprint of rows (doc_id, fp)."""
-    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
-    roots = connected_components(near_links(nodes, radius, tree))
-    owned = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    owned = rooted(write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes"), radius, tree)
+    least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     return owned.join(least, "root").select("fp", "component_id")
 
 
@@ -186,8 +189,19 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4,
 
 
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One document of each group, the one with the smallest id, columns unchanged."""
-    gone = (simhash_groups(docs, words_per_shingle, radius, seed)
-            .filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti")
+    """Exactly one row of each group, columns unchanged: the one with the smallest id (null
+    last), then the smallest fingerprint, hash of the text and row number. Rows are known by
+    their number in the written table, as ids may be null or repeated."""
+    own = docs.toDF(*[c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)])
+    rows = write_table(fingerprints(own, words_per_shingle, seed).withColumn("_row", F.monotonically_increasing_id()),
+                       "simhash-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", F.xxhash64("text").alias("hash"), "_row")
+    nodes = rows.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    owned = write_table(rooted(write_table(nodes, "simhash-nodes"), radius), "simhash-roots")
+    stays = (owned.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
+             .select("root", F.col("first._row").alias("stays")))
+    groups = write_table(owned.join(stays, "root").select("fp", "stays"), "simhash-groups")
+    # one fingerprint may be that of a third of all rows: both sides carry a salt
+    gone = (rows.select("fp", "_row").withColumn("salt", salt(F.col("_row"), SALTS))
+            .join(all_salts(groups, "salt", SALTS), ["fp", "salt"]).filter("_row != stays").select("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*own.columns).toDF(*docs.columns)

@@ -88,6 +88,21 @@ def test_simhash_documents(documents, small):
     assert {r["doc_id"] for r in left.collect()} == {w[2] for w in want}
 
 
+def test_simhash_drop_with_null_and_repeated_ids(documents):
+    """One row of each group stays whatever the ids; rows in no group all stay."""
+    near = "one two three four five six seven eight nine ten"
+    alone = [(None, "alpha beta gamma delta epsilon"), (None, "a wholly other text without an id"), (7, "red green blue cyan")]
+    groups = [[(5, near), (None, near), (None, near.upper()), (7, near)],
+              [(None, "copies without any id at all"), (None, "copies without any id at all")],
+              [(8, "loaded twice under one id"), (8, "loaded twice under one id")]]
+    rows = alone + [r for g in groups for r in g]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4])
+    assert len(set(want)) == len(alone) + len(groups)
+    got = sorted(((r["doc_id"], r["text"]) for r in drop_near_duplicates(documents(rows)).collect()), key=repr)
+    assert got == sorted(alone + [g[0] for g in groups], key=repr)
+
+
 def vectors(spark, rows):
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
                            T.StructField("label", T.IntegerType()), T.StructField("id", T.IntegerType())])
