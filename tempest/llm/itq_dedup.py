@@ -4,8 +4,8 @@ Several rotations are learned, each from another random start, on a bounded samp
 rotation alternates between the signs of the rotated vectors and the orthogonal matrix that
 fits them best, so its bits are balanced and near the vectors. A code is the bits of all
 rotations. Multi-index Hamming tables hold substrings of the code: vectors that agree on one
-whole substring (under equal label and length) are candidates, kept while their whole codes
-are near, and reranked by the cosine of the original vectors in double precision.
+whole substring (under equal label and length) are candidates, and all of them are reranked
+by the cosine of the original vectors in double precision.
 
 Equal vectors are one class with a multiplicity. The classes of a table key are dealt into
 blocks, and every pair of blocks is a unit of work of bounded size. A pair is judged in the
@@ -13,9 +13,12 @@ first table where its substrings agree, so links are counted without collecting
 unit returns per class its links and the smallest class it is joined to.
 
 Only pairs of cosine >= the threshold are ever linked. Pairs missed are those that differ in
-every table; ``WIDTH`` and ``TABLES`` bound their share: at cosine 0.93 12 % of the bits
-differ, so (1 - 0.88 ** 11) ** 25 = 0.1 % are missed (0.01 % at 0.95); tests/llm measures
-the recall against brute force.
+every table. Signs are of centred vectors, so the share of bits in which a pair at the
+threshold differs is derived from the distances of the sample to its mean: at cosine 0.93
+12 % about a mean of zero, so (1 - 0.88 ** 11) ** 25 = 0.1 % are missed (0.01 % at 0.95), and
+the more the larger the common component. Substrings are shortened and tables added until at
+most ``MISSED`` are; when that would cost more than all pairs, all pairs of the length are
+judged, in blocks. tests/llm measures the recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and those of null label, link with nothing; vectors of different length do not link; null
@@ -36,10 +39,10 @@ from tempest.llm.components import connected_components, spanning
 
 #: vectors a rotation is fitted on, rounds of the fit
 SAMPLE, ROUNDS = 8192, 25
-#: bits of a substring and number of tables
-WIDTH, TABLES = 11, 25
-#: share of differing bits from which candidates are not reranked
-FAR = 0.3
+#: bits of a substring at most, number of tables at least and at most
+WIDTH, TABLES, MOST = 11, 25, 50
+#: share of pairs at the threshold that differ in every table, at most
+MISSED = 0.001
 #: classes of a block; rows judged together; pairs reranked at once
 BLOCK, ROWS, PAIRS = 1024, 16384, 65536
 
@@ -56,26 +59,45 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray
     return axes.T @ r
 
 
+def differing(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """Per unit vector, the share of bits in which a pair at the threshold differs whose
+    vectors are both as far from the mean."""
+    apart = np.maximum(((sample - sample.mean(0)) ** 2).sum(1), 1e-12)
+    return np.arccos(np.clip(1 - (1 - threshold) / apart, -1, 1)) / np.pi
+
+
+def layout(differ: np.ndarray, width: int, tables: int) -> tuple[int, int]:
+    """(width, tables) of the longest substrings that miss at most ``MISSED``; (0, 1), one key
+    for all, if no tables do so at less than the cost of all pairs."""
+    for w in range(width, 0, -1):
+        alone = 1 - (1 - differ) ** w
+        for t in range(tables, max(MOST, tables) + 1):
+            if t < 2 ** w and (alone ** t).mean() <= MISSED:
+                return w, t
+    return 0, 1
+
+
 class Quantiser:
     """Mean and rotations of one vector length; codes and table keys."""
 
-    def __init__(self, sample: np.ndarray, width: int, tables: int):
+    def __init__(self, sample: np.ndarray, width: int, tables: int, threshold: float):
         d = sample.shape[1]
-        self.width = min(width, d)
+        self.width, tables = layout(differing(sample, threshold), min(width, d), tables)
+        self.mean, self.starts = sample.mean(0), []
+        if not self.width:
+            return
         per = d // self.width
-        self.mean = sample.mean(0)
         turns = [learn_rotation(sample - self.mean, seed) for seed in range(-(-tables // per))]
         self.turn = np.hstack(turns)
         self.starts = [r * d + i * self.width for r in range(len(turns)) for i in range(per)][:tables]
 
-    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(codes as rows of uint64 words, keys by table)."""
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """Keys by table."""
+        if not self.width:
+            return np.zeros((len(x), 1), np.int32)
         bits = ((x - self.mean) @ self.turn >= 0).astype(np.uint8)
         weight = 1 << np.arange(self.width)
-        keys = np.stack([bits[:, s:s + self.width] @ weight for s in self.starts], 1).astype(np.int32)
-        full = np.zeros((len(x), -(-bits.shape[1] // 64) * 64), np.uint8)
-        full[:, :bits.shape[1]] = bits
-        return np.packbits(full, axis=1).view(np.uint64), keys
+        return np.stack([bits[:, s:s + self.width] @ weight for s in self.starts], 1).astype(np.int32)
 
 
 def unit_vectors(x: np.ndarray) -> np.ndarray:
@@ -98,16 +120,16 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def fit(classes: DataFrame, sample: int, width: int, tables: int) -> dict[int, Quantiser]:
+def fit(classes: DataFrame, threshold: float, sample: int, width: int, tables: int) -> dict[int, Quantiser]:
     """A quantiser per vector length, on the ``sample`` vectors with the smallest hash."""
     out = {}
     for r in classes.groupBy("dim").count().orderBy("dim").limit(64).collect():
         got = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("embedding")).limit(sample).select("embedding").toArrow()
-        out[r["dim"]] = Quantiser(unit_vectors(_matrix(got.column(0), r["dim"])), width, tables)
+        out[r["dim"]] = Quantiser(unit_vectors(_matrix(got.column(0), r["dim"])), width, tables, threshold)
     return out
 
 
-def judge(unit, role, x, words, keys, table, copies, threshold: float):
+def judge(unit, role, x, keys, table, copies, threshold: float):
     """Links within units: (index of the class, links, index of the smallest class joined)."""
     n = len(unit)
     end = np.searchsorted(unit, unit, side="right")
@@ -120,8 +142,6 @@ def judge(unit, role, x, words, keys, table, copies, threshold: float):
             j = i + step
             ok = (role[i] == 0) & (role[j] == 0) | (role[i] + role[j] == 3)
             i, j = i[ok], j[ok]
-            near = np.bitwise_count(words[i] ^ words[j]).sum(1) <= FAR * 64 * words.shape[1]
-            i, j = i[near], j[near]
             first = (keys[i] == keys[j]).argmax(1) == table[i]  # judged once, in the first table
             i, j = i[first], j[first]
             close = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
@@ -140,8 +160,8 @@ def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, widt
     """(id, links, low) per class and unit with a link: links to other classes' vectors, and
     a class of the same component."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(fit(classes, sample, width, tables))  # d x d matrices
-    schema = "id long, label int, dim int, x array<double>, copies long, words binary, keys array<int>"
+    shared = spark.sparkContext.broadcast(fit(classes, threshold, sample, width, tables))  # d x d matrices
+    schema = "id long, label int, dim int, x array<double>, copies long, keys array<int>"
 
     def code(batches):
         for batch in batches:
@@ -151,14 +171,13 @@ def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, widt
                 if not len(rows):
                     continue
                 x = unit_vectors(_matrix(rows.column(3), d))
-                words, keys = q.codes(x)
+                keys = q.keys(x)
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), rows.column(2),
                      pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), x.ravel()), rows.column(4),
-                     pa.array([w.tobytes() for w in words], pa.binary()),
                      pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.ravel())],
-                    names=["id", "label", "dim", "x", "copies", "words", "keys"])
+                    names=["id", "label", "dim", "x", "copies", "keys"])
 
     coded = write_table(classes.select("id", "label", "dim", "embedding", "copies").mapInArrow(code, schema), "itq-codes")
     at = ["label", "dim", "t", "key"]
@@ -175,7 +194,7 @@ def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, widt
     # unit (a, b), a <= b: the classes of part a meet those of part b
     role = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     units = held.select(*at, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                        role.alias("role"), "id", "copies", "x", "words", "keys")
+                        role.alias("role"), "id", "copies", "x", "keys")
     units = units.repartition(*cols).sortWithinPartitions(*cols)
 
     def links(batches):
@@ -184,10 +203,9 @@ def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, widt
             for d in np.unique(dims):
                 some = rows.filter(pa.array(dims == d))
                 number = lambda c: some.column(c).to_numpy().astype(np.int64)
-                words = np.frombuffer(b"".join(some.column("words").to_pylist()), np.uint64).reshape(len(some), -1)
                 keys = some.column("keys").combine_chunks().flatten().to_numpy().reshape(len(some), -1)
                 ids = number("id")
-                found, n, low = judge(unit[dims == d], number("role"), _matrix(some.column("x"), d), words, keys,
+                found, n, low = judge(unit[dims == d], number("role"), _matrix(some.column("x"), d), keys,
                                       number("t"), number("copies"), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(n), pa.array(ids[low])],
                                                  names=["id", "links", "low"])

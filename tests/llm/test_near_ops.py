@@ -137,6 +137,21 @@ def test_embedding_dedup_recall(spark, block):
     assert sum(r["kept"] for r in got.values()) < len(rows)
 
 
+@pytest.mark.parametrize("common", [0.8, 0.9])
+def test_embedding_dedup_recall_with_a_common_component(spark, common):
+    """Unit vectors with a mean of squared norm 0.8 or 0.9, pairs about cosine 0.93 in clusters."""
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    own = np.concatenate([c + rng.normal(size=(25, 32)) * 0.75 for c in rng.normal(size=(16, 32))])
+    x = (np.sqrt(common) * unit(rng.normal(size=32)) + np.sqrt(1 - common) * unit(own)).astype(np.float32)
+    link = unit(x.astype(float)) @ unit(x.astype(float)).T >= 0.93
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), 0.93, block=64).collect()}
+    want = link.sum(1)
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.995 * want.sum() > 0
+
+
 def test_transform_in_small_chunks():
     rng = np.random.default_rng(5)
     for _ in range(60):
