@@ -18,7 +18,8 @@ threshold differs is derived from the distances of the sample to its mean: at co
 12 % about a mean of zero, so (1 - 0.88 ** 11) ** 25 = 0.1 % are missed (0.01 % at 0.95), and
 the more the larger the common component. Substrings are shortened and tables added until at
 most ``MISSED`` are; when that would cost more than all pairs, all pairs of the length are
-judged, in blocks. tests/llm measures the recall against brute force.
+judged, in blocks. So are those of lengths without rotations: lengths of at most a block of
+classes and all but the ``FITTED`` commonest. tests/llm measures the recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and those of null label, link with nothing; vectors of different length do not link; null
@@ -43,6 +44,8 @@ SAMPLE, ROUNDS = 8192, 25
 WIDTH, TABLES, MOST = 11, 25, 50
 #: share of pairs at the threshold that differ in every table, at most
 MISSED = 0.001
+#: vector lengths with rotations of their own; all pairs of any other length are judged
+FITTED = 64
 #: classes of a block; rows judged together; pairs reranked at once
 BLOCK, ROWS, PAIRS = 1024, 16384, 65536
 
@@ -120,10 +123,12 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def fit(classes: DataFrame, threshold: float, sample: int, width: int, tables: int) -> dict[int, Quantiser]:
-    """A quantiser per vector length, on the ``sample`` vectors with the smallest hash."""
+def fit(classes: DataFrame, threshold: float, sample: int, width: int, tables: int, block: int) -> dict[int, Quantiser]:
+    """A quantiser of each of the ``FITTED`` commonest vector lengths of more classes than a
+    block, on the ``sample`` vectors with the smallest hash."""
     out = {}
-    for r in classes.groupBy("dim").count().orderBy("dim").limit(64).collect():
+    sizes = classes.groupBy("dim").count().filter(F.col("count") > block)
+    for r in sizes.orderBy(F.desc("count"), "dim").limit(FITTED).collect():
         got = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("embedding")).limit(sample).select("embedding").toArrow()
         out[r["dim"]] = Quantiser(unit_vectors(_matrix(got.column(0), r["dim"])), width, tables, threshold)
     return out
@@ -160,19 +165,17 @@ def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, widt
     """(id, links, low) per class and unit with a link: links to other classes' vectors, and
     a class of the same component."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(fit(classes, threshold, sample, width, tables))  # d x d matrices
+    shared = spark.sparkContext.broadcast(fit(classes, threshold, sample, width, tables, block))  # d x d matrices
     schema = "id long, label int, dim int, x array<double>, copies long, keys array<int>"
 
     def code(batches):
         for batch in batches:
             dims = batch.column(2).to_numpy()
-            for d, q in shared.value.items():
+            for d in np.unique(dims).tolist():
                 rows = batch.filter(pa.array(dims == d))
-                if not len(rows):
-                    continue
                 x = unit_vectors(_matrix(rows.column(3), d))
-                keys = q.keys(x)
                 n = len(rows)
+                keys = shared.value[d].keys(x) if d in shared.value else np.zeros((n, 1), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), rows.column(2),
                      pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), x.ravel()), rows.column(4),

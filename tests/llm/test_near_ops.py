@@ -152,6 +152,17 @@ def test_embedding_dedup_recall_with_a_common_component(spark, common):
     assert sum(got.values()) >= 0.995 * want.sum() > 0
 
 
+def test_embedding_dedup_of_many_lengths(spark):
+    """Links of a length after 66 shorter ones, and of the shorter ones."""
+    rng = np.random.default_rng(10)
+    rows = [(d, rng.normal(size=d).tolist(), 0) for d in range(1, 67)]
+    rows += [(100 + d, [2.0 * x for x in rows[d - 1][1]], 0) for d in (3, 66)]
+    pairs = rng.normal(size=(20, 1, 80)) + rng.normal(size=(20, 2, 80)) * 0.05
+    rows += [(200 + i, v.tolist(), 0) for i, v in enumerate(pairs.reshape(40, 80))]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(vectors(spark, rows), 0.93).collect()}
+    assert {i for i, n in got.items() if n} == {3, 66, 103, 166, *range(200, 240)} and set(got.values()) == {0, 1}
+
+
 def test_transform_in_small_chunks():
     rng = np.random.default_rng(5)
     for _ in range(60):
