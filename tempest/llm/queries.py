@@ -130,3 +130,48 @@ def op5(spark, sf_dir):
 
     return write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) AS sizes(k)),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT c.lang, c.k, c.phrase, c.a, cut, l.f AS l, r.f AS r, 1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score
+      FROM c, (VALUES (1), (2)) AS cuts(cut)
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+      WHERE cut < c.k),
+s AS (SELECT lang, k, phrase, a, unnest(min({'score': score, 'cut': cut, 'l': l, 'r': r})) FROM x GROUP BY lang, k, phrase, a),
+t AS (SELECT lang, max(a) AS a, phrase FROM (
+        SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE k = 3 UNION ALL
+        SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE k = 3) GROUP BY lang, phrase),
+o AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
+      FROM s LEFT JOIN t ON s.k = 2 AND s.lang = t.lang AND s.phrase = t.phrase WHERE t.a IS NULL OR 100 * t.a < 50 * s.a)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON o.lang = n.lang WHERE rank <= 2000
+""")
+def op11(spark, sf_dir):
+    from tempest.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    from tempest.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_quality")
+def op13(spark, sf_dir):
+    from tempest.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0, threshold=0.3)
