@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Every text is encoded by a byte-level BPE tokenizer (A, over a space and the text) and by a
-sentencepiece model (B, which adds the space itself). Token lengths in bytes sum to ends; a
-dictionary from end to index is made of each side, the keys that both hold, sorted, slice
-both id lists into groups, and inside each slice the tokens whose byte ranges overlap are
+Every text is encoded by a byte-level BPE tokenizer (A, over a space and the text; merges by the ranks
+its vocabulary numbers give, which is how its merges are listed) and by a sentencepiece model
+(B, which adds the space itself). Token lengths in bytes sum to ends; those of B become a
+dictionary from end to index, which A's ends probe in ascending order, and the common ends
+slice both id lists into groups. Inside each slice the tokens whose byte ranges overlap are
 linked: between two neighbouring ends of either side lies exactly one link, so a slice of m
 and n tokens has m + n - 1.
 
@@ -23,18 +24,22 @@ and text are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
-from tempest.llm.bpe import Codec
+from tempest.llm.bpe import byte_characters
 from tempest.llm.chunks import by_frequency, entries, pack, unpack, with_found
 from tempest.llm.common import write_table
 
@@ -52,8 +57,14 @@ class Aligner:
     """Both tokenizers of one worker."""
 
     def __init__(self, spec: str, pattern: str, model: bytes):
-        self.a, self.b = Codec(spec, pattern), SentencePieceProcessor(model_proto=model)
-        self.a_bytes = self.a.token_bytes
+        byte = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = json.loads(spec)["model"]["vocab"]
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_proto=model)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_lens, self.b_lens = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
         # the text of an id with what follows it: "," inside a group, "|" or ";" after its side
@@ -63,18 +74,18 @@ class Aligner:
         """Ids of both sides; none where either doesn't give back the bytes."""
         if text:
             whole = (" " + text).encode()
-            a, b = self.a.encode(" " + text), self.b.encode(text)
-            if b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]):
+            a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
+            if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
                 return np.array(a, np.int64), np.array(b, np.int64)
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def groups(self, a: np.ndarray, b: np.ndarray):
         """(ends of A's tokens, of B's, index of each group's last token in A, in B)."""
         ends_a, ends_b = np.cumsum(self.a_lens[a]), np.cumsum(self.b_lens[b])
-        at_a = dict(zip(ends_a.tolist(), range(len(a))))
         at_b = dict(zip(ends_b.tolist(), range(len(b))))
-        common = sorted(at_a.keys() & at_b.keys())
-        return (ends_a, ends_b, np.array([at_a[e] for e in common], np.int64), np.array([at_b[e] for e in common], np.int64))
+        met = np.fromiter(map(at_b.get, ends_a.tolist(), repeat(-1)), np.int64, len(a))
+        common = np.flatnonzero(met >= 0)
+        return ends_a, ends_b, common, met[common]
 
     def links(self, a, b, ends_a, ends_b):
         """The linked ids: one link up to each distinct end of the two sides."""
@@ -135,7 +146,7 @@ def link_chunks(docs: DataFrame, a_path: str, pattern: str, b_path: str, size: i
     base = SentencePieceProcessor(model_proto=spec.value[1]).get_piece_size()
 
     def closed(chunk, ids, figures, links):
-        pairs, stream = np.unique(np.concatenate(links), return_inverse=True)
+        stream, pairs = pd.factorize(np.concatenate(links))
         stream, order, counts = by_frequency(stream, len(pairs))
         columns = [pa.array([[f[k] for f in figures]], pa.list_(pa.string() if k == 4 else pa.int64())) for k in range(5)]
         return pa.RecordBatch.from_arrays(
