@@ -132,6 +132,39 @@ def q_incremental_run(spark, sf_dir):
     return round_doubles(res["analytics"].select(*cols))
 
 
+_LATE = (_dt.date(2000, 3, 1), _dt.date(2000, 4, 15))
+
+
+@query("m02_maintained_layers", o.with_panels(
+    o.rounded_select(RAW_D + o.FEATURE_DOUBLES, ["city", "time", "weather_code"] + o.FEATURE_OTHER, "f"),
+    p=o.nulls("region"), r=o.repaired_sql("p"), f=o.features_sql("r")))
+def q_maintained(spark, sf_dir):
+    """History without six weeks of 2000, then those late rows, then the last months: rows are
+    derived from the first affected one and the history tables maintained; equal to one full run."""
+    base, raw = _scratch(spark, "layers"), fx.panel_with_nulls(spark, sf_dir, "region")
+    late = F.col("time").between(*map(F.lit, _LATE))
+    options = {"as_of": _dt.date(2001, 11, 5), "default_start": _dt.date(1990, 1, 1)}
+    run_layers(spark, raw.filter((F.col("time") <= F.lit(_CUT)) & ~late), base, "full", **options)
+    run_layers(spark, raw, base, "incremental", start=_LATE[0], end=_LATE[1], force=True, **options)
+    res = run_layers(spark, raw, base, "incremental", **options)
+    cols = [c for c in res["analytics"].columns if not c.endswith("_outlier_flag")]
+    return round_doubles(res["analytics"].select(*cols))
+
+
+@query("r06_lost_layer_run", o.with_panels(
+    o.rounded_select(RAW_D + o.FEATURE_DOUBLES, ["city", "time", "weather_code"] + o.FEATURE_OTHER, "f"),
+    p=o.nulls("region"), r=o.repaired_sql("p"), f=o.features_sql("r")))
+def q_lost_layer(spark, sf_dir):
+    """An incremental run over a store whose analytics layer is gone keeps the stored raw rows."""
+    base, raw = _scratch(spark, "layers"), fx.panel_with_nulls(spark, sf_dir, "region")
+    run_layers(spark, raw.filter(F.col("time") <= F.lit(_CUT)), base, "full", as_of=_dt.date(2001, 11, 5))
+    files.drop_version(spark, f"{base}/analytics_historical")
+    res = run_layers(spark, raw.filter(F.col("time") > F.lit(_CUT)), base, "incremental", as_of=_dt.date(2001, 11, 5),
+                     default_start=_dt.date(1990, 1, 1))
+    cols = [c for c in res["analytics"].columns if not c.endswith("_outlier_flag")]
+    return round_doubles(res["analytics"].select(*cols))
+
+
 @query("r03_full_layer_run_chunked", o.with_panels(
     o.rounded_select(RAW_D + o.FEATURE_DOUBLES, ["city", "time", "weather_code"] + o.FEATURE_OTHER, "f"),
     p=o.nulls("region"), r=o.repaired_sql("p"), f=o.features_sql("r")))

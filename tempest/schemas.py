@@ -114,9 +114,8 @@ OUTLIER_COLUMNS = [
     "pressure_msl_mean", "shortwave_radiation_sum", "apparent_temperature_max",
 ]
 
-# Repair of missing values by the beginning of a measure's name; other measures are interpolated.
-REPAIR_RULES = {
-    "temperature": "ffill", "apparent_temperature": "ffill",
-    "precipitation_sum": "zero", "rain_sum": "zero", "snowfall_sum": "zero",
-}
+# Fixed values of the missing-value repair: measures whose name holds one of these words take
+# the last value, the named sums become zero, other measures are interpolated.
+FILLED_FORWARD = ("temperature", "apparent")
+ZERO_FILLED = ("precipitation_sum", "rain_sum", "snowfall_sum")
 UNREPAIRED = ("city", "time", "weather_code")

@@ -3,6 +3,7 @@ A6, A7, A9, A14)."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,24 +135,81 @@ def _fs_path(spark: SparkSession, path: str):
 def write_version(df: DataFrame, path: str, schema: T.StructType | None = None) -> tuple[str, DataFrame]:
     """Write a full new version of the layer at ``path`` beside it. Returns its folder and
     the version read back (with the explicit schema, so an empty version reads as well)."""
-    folder = f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:12]}"
+    folder = version_folder(path)
     replace_all(df, folder)
     names = df.schema if schema is None else schema
     back = df.sparkSession.read.schema(T.StructType([f for f in names.fields if f.name != "year"])).parquet(folder)
     return folder, back.drop("year")
 
 
-def switch_version(spark: SparkSession, folder: str, path: str) -> None:
-    """Put a written version in the layer's place: the old one steps aside first and is
-    removed last, so a crash leaves either version whole under one of the two names."""
-    new, fs = _fs_path(spark, folder)
-    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
-    target, aside = _fs_path(spark, path)[0], _fs_path(spark, old)[0]
-    if fs.exists(target) and not fs.rename(target, aside):
-        raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(new, target):
-        raise OSError(f"{folder} could not be moved to {path}")
-    fs.delete(aside, True)
+def version_folder(path: str) -> str:
+    return f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:12]}"
+
+
+def year_moves(spark: SparkSession, folder: str, path: str, years) -> list:
+    """Moves that put the written years of a version in place of a layer's; a year of
+    ``years`` that the version does not hold any more leaves the layer."""
+    parent, fs = _fs_path(spark, folder)
+    written = {f.getPath().getName() for f in fs.listStatus(parent)} if fs.exists(parent) else set()
+    names = [f"year={y}" for y in years]
+    return [(f"{folder}/{n}" if n in written else None, f"{path.rstrip('/')}/{n}") for n in names]
+
+
+def switch_versions(spark: SparkSession, journal: str, moves: list) -> None:
+    """Put written versions in place, all or none: the list of moves (new folder or None,
+    place) is written to ``journal`` first, and a run that finds a journal carries it out to
+    its end (``recover``). Needs a file system whose rename of a folder is atomic."""
+    draft, fs = _fs_path(spark, f"{journal}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(moves).encode()))
+    out.close()
+    if not fs.rename(draft, _fs_path(spark, journal)[0]):
+        raise OSError(f"{journal} could not be written")
+    _carry_out(spark, journal, moves)
+
+
+def _carry_out(spark: SparkSession, journal: str, moves: list) -> None:
+    for folder, place in moves:
+        target, fs = _fs_path(spark, place)
+        new = _fs_path(spark, folder)[0] if folder else None
+        if new is not None and not fs.exists(new):
+            continue  # moved before
+        if fs.exists(target):
+            layer, _, name = place.rpartition("/") if "/year=" in place else (place, "", "")
+            aside = _fs_path(spark, "/".join(filter(None, [f"{layer}.old-{uuid.uuid4().hex[:12]}", name])))[0]
+            fs.mkdirs(aside.getParent())
+            if not fs.rename(target, aside):
+                raise OSError(f"{place} could not be moved aside")
+        fs.mkdirs(target.getParent())
+        if new is not None and not fs.rename(new, target):
+            raise OSError(f"{folder} could not be moved to {place}")
+    path, fs = _fs_path(spark, journal)
+    fs.delete(path, False)
+
+
+def recover(spark: SparkSession, journal: str, paths) -> bool:
+    """Bring the layers at ``paths`` into one consistent state after a run that broke off: a
+    journal is carried out to its end; without one, a layer that is missing while an older
+    version stands aside gets that back. Leftover versions are removed. True if a journal
+    was found."""
+    path, fs = _fs_path(spark, journal)
+    found = bool(fs.exists(path))
+    if found:
+        text = spark.read.text(journal, wholetext=True).first()[0]
+        _carry_out(spark, journal, [tuple(m) for m in json.loads(text)])
+    fs.delete(_fs_path(spark, f"{journal}.draft")[0], False)
+    for layer in paths:
+        target = _fs_path(spark, layer)[0]
+        if not fs.exists(target.getParent()):
+            continue
+        beside = [f for f in fs.listStatus(target.getParent()) if f.getPath().getName().startswith(target.getName() + ".")]
+        old = [f for f in beside if f.getPath().getName().startswith(target.getName() + ".old-")]
+        if old and not fs.exists(target):
+            fs.rename(max(old, key=lambda f: f.getModificationTime()).getPath(), target)
+        for f in beside:
+            if fs.exists(f.getPath()):
+                fs.delete(f.getPath(), True)
+    return found
 
 
 def drop_version(spark: SparkSession, folder: str) -> None:

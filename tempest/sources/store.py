@@ -98,16 +98,27 @@ def stored_layer_counts(spark: SparkSession, base: str, tables=LAYER_TABLES) ->
                          for t in tables})
 
 
+def claim_run_id(spark: SparkSession, path: str) -> int:
+    """The next run id, claimed by an empty file that only one run can create (beside the
+    audit rows, under a name that readers of the table skip)."""
+    from tempest.sources.files import _fs_path, path_exists
+
+    run_id = 1
+    if path_exists(spark, path) and not spark.read.schema(S.AUDIT_RUN).parquet(path).isEmpty():
+        run_id = spark.read.parquet(path).agg(F.max("run_id")).first()[0] + 1
+    while True:
+        claim, fs = _fs_path(spark, f"{path.rstrip('/')}/_claims/{run_id}")
+        if not fs.exists(claim) and fs.createNewFile(claim):
+            return run_id
+        run_id += 1
+
+
 def append_audit(spark: SparkSession, path: str, mode: str, cities_count: int, rows_raw: int,
                  rows_staging: int, rows_analytics: int, started: float, status: str,
                  notes: str = "") -> DataFrame:
-    """Append one run record; ``run_id`` = previous max + 1, duration rounded to 2 digits."""
-    from tempest.sources.files import path_exists
-
-    run_id = 1
-    if path_exists(spark, path):
-        prev = spark.read.parquet(path).agg(F.max("run_id")).first()[0]
-        run_id = (prev or 0) + 1
+    """Append one run record; ``run_id`` = the previous largest + 1 (claimed, so two runs at
+    once get different ones), duration rounded to 2 digits."""
+    run_id = claim_run_id(spark, path)
     row = (run_id, _dt.datetime.now(), mode, int(cities_count), int(rows_raw), int(rows_staging),
            int(rows_analytics), round(_time.time() - started, 2), status, notes)
     rec = spark.createDataFrame([row], S.AUDIT_RUN)

@@ -92,3 +92,10 @@ def test_approximate_quartiles_close_to_exact(spark):
     exact = cl.flag_outliers(df, ["x"]).select("x_outlier_flag").collect()
     approx = cl.flag_outliers(df, ["x"], approx=True).select("x_outlier_flag").collect()
     assert sum(r[0] != s[0] for r, s in zip(exact, approx)) <= 5
+
+
+def test_repair_rules_by_name():
+    from tempest.operators.cleaning import default_strategy
+
+    assert default_strategy(["soil_temperature", "apparent_max", "precipitation_sum_7d", "rain_sum", "weather_code", "humidity"]) == {
+        "soil_temperature": "ffill", "apparent_max": "ffill", "precipitation_sum_7d": "interpolate", "rain_sum": "zero", "humidity": "interpolate"}

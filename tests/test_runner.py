@@ -47,7 +47,7 @@ def test_crash_between_layers(spark, scratch, monkeypatch):
 
     def broken(*a, **k):
         raise RuntimeError("lost")
-    monkeypatch.setattr(runner, "refresh_features", broken)
+    monkeypatch.setattr(runner.mt, "delta", broken)
     with pytest.raises(RuntimeError):
         runner.run_layers(spark, panel(spark, 60), base, "incremental")
     monkeypatch.undo()
@@ -84,3 +84,118 @@ def test_kinds_and_order_of_landed_files(spark, scratch):
     store = ingest_available(spark, land, f"{scratch}/store", f"{scratch}/ck")
     got = {str(r["time"]): (r["temperature_2m_mean"], r["batch_id"]) for r in store.collect()}
     assert len(got) == 7 and got["2024-01-02"] == (11.0, 0) and got["2024-01-03"] == (20.0, 0)
+
+
+def without_gaps(df):
+    return {tuple(None if v is None else round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()}
+
+
+def same(a, b):
+    return without_gaps(a.select(*sorted(a.columns))) == without_gaps(b.select(*sorted(a.columns)))
+
+
+def year_files(base, name):
+    return {(d, f) for d in os.listdir(f"{base}/{name}") if d.startswith("year=") for f in os.listdir(f"{base}/{name}/{d}") if f.endswith(".parquet")}
+
+
+def test_stored_raw_rows_outlive_a_lost_layer(spark, scratch):
+    """Raw stored, analytics absent: an incremental run merges and derives anew."""
+    import shutil
+
+    base = f"{scratch}/layers"
+    runner.run_layers(spark, panel(spark, 40), base)
+    shutil.rmtree(f"{base}/analytics_historical")
+    res = runner.run_layers(spark, panel(spark, 60), base, "incremental")
+    assert res["status"] == "SUCCESS" and res["raw"].count() == res["analytics"].count() == 120
+    shutil.rmtree(f"{base}/history_doy_historical")
+    res = runner.run_layers(spark, panel(spark, 60), base, "incremental")  # nothing new, yet the table is missing
+    assert res["status"] == "SUCCESS" and same(res["analytics"], runner.run_layers(spark, panel(spark, 60), f"{scratch}/full")["analytics"])
+
+
+def test_touched_years_only(spark, scratch):
+    """Late rows, null runs at the end, a new city: equal to one full run; other years keep their files."""
+    start, base = dt.date(2022, 12, 1), f"{scratch}/layers"
+    whole = panel(spark, 500, start, cities=("baku", "ganja", "sheki"))
+    wet = (F.dayofyear("time") % 9 == 0) & (F.col("city") == "baku")
+    whole = whole.withColumn("temperature_2m_mean", F.when(~wet, F.col("temperature_2m_mean") % 13))
+    whole = whole.withColumn("pressure_msl_mean", F.when(~F.col("time").between("2024-01-20", "2024-02-20"), F.col("pressure_msl_mean")))
+    late = F.col("time").between("2024-02-03", "2024-02-05")
+    runner.run_layers(spark, whole.filter((F.col("city") != "sheki") & (F.col("time") <= "2024-02-10") & ~late), base)
+    before = {name: year_files(base, f"{name}_historical") for name in ("raw", "staging", "analytics")}
+    res = runner.run_layers(spark, whole.filter("city != 'sheki'"), base, "incremental", start=dt.date(2024, 2, 3), force=True, end=dt.date(2024, 2, 5))
+    assert res["status"] == "SUCCESS"
+    res = runner.run_layers(spark, whole.filter("city != 'sheki'"), base, "incremental")
+    for name, had in before.items():
+        now = year_files(base, f"{name}_historical")
+        assert {f for f in now if f[0] != "year=2024"} == {f for f in had if f[0] != "year=2024"} and now != had
+    full = runner.run_layers(spark, whole.filter("city != 'sheki'"), f"{scratch}/full")
+    assert same(res["analytics"], full["analytics"]) and same(res["staging"], full["staging"])
+    res = runner.run_layers(spark, whole, base, "incremental", default_start=start)
+    assert same(res["analytics"], runner.run_layers(spark, whole, f"{scratch}/full")["analytics"])
+
+
+def test_failing_plans_give_way_to_the_fallback(spark, scratch, monkeypatch):
+    def wrong(raw):
+        return raw.withColumn("city", F.raise_error(F.lit("no such repair")).cast("string"))
+    monkeypatch.setattr(runner, "derivations", lambda chunk_rows: (wrong, wrong))
+    res = runner.run_layers(spark, panel(spark, 40), f"{scratch}/layers")
+    notes = spark.read.parquet(f"{scratch}/layers/pipeline_runs").first()["notes"]
+    assert res["status"] == "SUCCESS" and "fallback cleaning" in notes and "fallback features" in notes
+    assert res["analytics"].count() == 80 and "anomaly_score" in res["analytics"].columns
+
+
+class Lost(RuntimeError):
+    pass
+
+
+def test_a_switch_interrupted_anywhere_is_finished(spark, scratch, monkeypatch):
+    real = files._fs_path
+    for stop in range(8):
+        base = f"{scratch}/{stop}"
+        layers = [f"{base}/a", f"{base}/b"]
+        for path in layers:
+            for year in (1, 2):
+                spark.range(1).selectExpr("'old' as v", f"{year} as year").write.mode("append").partitionBy("year").parquet(path)
+        new = [files.version_folder(p) for p in layers]
+        spark.range(1).selectExpr("'new' as v", "1 as year").write.partitionBy("year").parquet(new[0])
+        spark.range(1).selectExpr("'new' as v", "3 as year").write.partitionBy("year").parquet(new[1])
+        moves = [(new[0], layers[0]), *files.year_moves(spark, new[1], layers[1], [2, 3])]
+        left = [stop]
+
+        class Fs:
+            def __init__(self, fs):
+                self.fs = fs
+
+            def __getattr__(self, name):
+                return getattr(self.fs, name)
+
+            def rename(self, a, b):
+                if not left[0]:
+                    raise Lost
+                left[0] -= 1
+                return self.fs.rename(a, b)
+
+        monkeypatch.setattr(files, "_fs_path", lambda s, p: (lambda x: (x[0], Fs(x[1])))(real(s, p)))
+        try:
+            files.switch_versions(spark, f"{base}/switch", moves)
+        except Lost:
+            pass
+        monkeypatch.setattr(files, "_fs_path", real)
+        files.recover(spark, f"{base}/switch", layers)
+        got = [{(r["v"], r["year"]) for r in spark.read.parquet(p).collect()} for p in layers]
+        old, done = {("old", 1), ("old", 2)}, [{("new", 1)}, {("old", 1), ("new", 3)}]
+        assert got == ([old, old] if stop == 0 else done), stop
+        assert sorted(f for f in os.listdir(base) if not f.startswith(".")) == ["a", "b"]
+
+
+def test_an_aside_version_is_put_back(spark, scratch):
+    spark.range(3).write.parquet(f"{scratch}/a.old-1")
+    spark.range(1).write.parquet(f"{scratch}/a.next-1")
+    assert not files.recover(spark, f"{scratch}/switch", [f"{scratch}/a"])
+    assert spark.read.parquet(f"{scratch}/a").count() == 3 and os.listdir(scratch) == ["a"]
+
+
+def test_run_ids_are_claimed(spark, scratch):
+    from tempest.sources import store
+
+    assert [store.claim_run_id(spark, f"{scratch}/runs") for _ in range(3)] == [1, 2, 3]
