@@ -222,11 +222,19 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     return c.select("chi2", "n", F.sqrt(_div(phi2c, F.least(kc - 1, rc - 1))).alias("cramers_v"))
 
 
+def correlation(x, y) -> Column:
+    """Pearson's r over the rows that have both values; null where a side is constant (the
+    built-in ``corr`` divides by zero there and fails in ANSI mode)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    side = lambda a, b: F.stddev_pop(F.when(b.isNotNull(), a))
+    return _div(F.covar_pop(x, y), side(x, y) * side(y, x))
+
+
 def correlation_pairs(df: DataFrame, cols, key="city") -> DataFrame:
     """Pearson r for every column pair i < j, per key, in one aggregation (pairwise
-    complete: ``corr`` skips rows where either side is null)."""
+    complete; null where a side is constant)."""
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.groupBy(key).agg(*[F.corr(x, y).alias(f"{x}__{y}") for x, y in pairs])
+    wide = df.groupBy(key).agg(*[correlation(x, y).alias(f"{x}__{y}") for x, y in pairs])
     long = F.explode(F.array(*[F.struct(F.lit(x).alias("var_a"), F.lit(y).alias("var_b"),
                                         F.col(f"{x}__{y}").alias("r")) for x, y in pairs]))
     return wide.select(key, long.alias("_p")).select(key, "_p.*")
@@ -365,7 +373,7 @@ def vif(df: DataFrame, cols, key="city") -> DataFrame:
                 out.append([None] * k)
         return pd.Series(out)
 
-    wide = df.groupBy(key).agg(F.array(*[F.corr(cols[i], cols[j]) for i, j in pairs]).alias("_r"))
+    wide = df.groupBy(key).agg(F.array(*[correlation(cols[i], cols[j]) for i, j in pairs]).alias("_r"))
     named = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in cols]).alias("variable"), inverse_diagonal("_r").alias("vif")))
     return wide.select(key, named.alias("_v")).select(key, F.col("_v.variable").alias("variable"), F.col("_v.vif").alias("vif"))
 
@@ -433,5 +441,5 @@ def correlation_with_others(df: DataFrame, value: str, key="city", order="time",
     j = v.join(day, order).filter(F.col("_n") > 1).select(key, order, value, others.alias("others"))
     x = F.lag(value, lag).over(Window.partitionBy(key).orderBy(order)) if lag else F.col(value)
     return (j.select(key, x.alias("_x"), "others").groupBy(key)
-            .agg(F.corr("_x", "others").alias("r"), F.count("_x").alias("n"))
+            .agg(correlation("_x", "others").alias("r"), F.count("_x").alias("n"))
             .withColumn("lag", F.lit(lag)))

@@ -372,3 +372,49 @@ def q_centred_chunked(spark, sf_dir):
     p = _nation(spark, sf_dir).select("city", "time", "temperature_2m_max")
     c = ch.chunked_apply(p, ch.centred_mean("temperature_2m_max", 15, "tmax_c31"), 15, 15, CHUNK_ROWS)
     return c.select("city", "time", rnd("tmax_c31").alias("tmax_c31"))
+
+
+def _asof_sql(tolerance=None):
+    near = f"a.ts - b.ts <= INTERVAL {tolerance} SECOND" if tolerance else "TRUE"
+    return ("SELECT a.event_id, a.event_type, COALESCE(CASE WHEN " + near + " THEN b.event_id END, -1) AS event_id_asof, "
+            "CASE WHEN " + near + " THEN ROUND(b.value, 6) END AS value_asof FROM "
+            "(SELECT * FROM events WHERE event_id % 2 = 0) a ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) b "
+            "ON a.event_type = b.event_type AND a.ts >= b.ts")
+
+
+def _asof(spark, sf_dir, **options):
+    from tempest.operators.temporal import asof_join
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts", "value")
+    out = asof_join(events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1"), key="event_type", time="ts", **options)
+    return round_doubles(out.select("event_id", "event_type", F.coalesce("event_id_asof", F.lit(-1)).alias("event_id_asof"), "value_asof"))
+
+
+@query("t01_asof_join", _asof_sql())
+def q_asof(spark, sf_dir):
+    """Each even event with the last odd event of its type at or before it."""
+    return _asof(spark, sf_dir, period=2 * 86400)
+
+
+@query("t02_asof_join_tolerance", _asof_sql(1800))
+def q_asof_tolerance(spark, sf_dir):
+    return _asof(spark, sf_dir, tolerance=1800, period=6 * 3600)
+
+
+_RUNS = ("SELECT city, MIN(time) AS run_start, MAX(time) AS run_end, COUNT(*) AS run_length "
+         "FROM (SELECT city, time, rn - ROW_NUMBER() OVER (PARTITION BY city ORDER BY rn) AS grp FROM "
+         "(SELECT city, time, temperature_2m_max > 35 AS f, ROW_NUMBER() OVER (" + W + ") AS rn FROM p) a WHERE f) b "
+         "GROUP BY city, grp HAVING COUNT(*) >= 3")
+
+
+@query("t03_days_in_heat_waves", o.with_panels(
+    "SELECT p.city, p.time, ROUND(p.temperature_2m_max, 6) AS temperature_2m_max, run_length FROM p JOIN w "
+    "ON p.city = w.city AND p.time >= w.run_start AND p.time <= w.run_end", p=NAT, w=_RUNS))
+def q_heat_wave_days(spark, sf_dir):
+    """The days inside runs of three and more extreme days, with the run's length."""
+    from tempest.operators.temporal import interval_join
+
+    p = _nation(spark, sf_dir)
+    runs = fe.extreme_runs(p, F.col("temperature_2m_max") > 35).filter("run_length >= 3")
+    days = interval_join(p.select("city", "time", "temperature_2m_max"), runs, start="run_start", end="run_end")
+    return round_doubles(days.select("city", "time", "temperature_2m_max", "run_length"))

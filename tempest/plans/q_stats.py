@@ -370,3 +370,103 @@ def q_kruskal_p(spark, sf_dir):
 def q_mw_p(spark, sf_dir):
     s = st.median_split(risk_panel(spark, sf_dir), "heat_stress")
     return round_doubles(st.with_p_value(st.mann_whitney(s, "group", "impact_score", "high", "low"), "z"))
+
+
+# ---------------------------------------------------------------------------------
+# groups of any size: ranges instead of one window per group
+# ---------------------------------------------------------------------------------
+
+#: nine tenths of the rows under one city
+_ONE_CITY = "CASE WHEN city IN ('NATION_3', 'NATION_11') THEN city ELSE 'all others' END"
+
+
+def _one_city(spark, sf_dir):
+    return fx.panel(spark, sf_dir, "nation").withColumn("city", F.expr(_ONE_CITY))
+
+
+_HOT = f"SELECT * REPLACE ({_ONE_CITY} AS city) FROM p0"
+
+
+@query("j10_spearman_pairs_split", o.with_panels(
+    _corr_sql("rk"), p0=NAT, p=_HOT,
+    rk="SELECT city, " + ", ".join(
+        f"RANK() OVER (PARTITION BY city ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY city, {c}) - 1) / 2.0 AS {c}"
+        for c in _CORR_VARS) + " FROM p"))
+def q_spearman_split(spark, sf_dir):
+    from tempest.operators.segments import spearman_pairs_split
+
+    return round_doubles(spearman_pairs_split(_one_city(spark, sf_dir), _CORR_VARS))
+
+
+@query("j12_qq_fit_split", o.with_panels(
+    "SELECT city, ROUND(regr_slope(sample, th), 6) AS slope, ROUND(regr_intercept(sample, th), 6) AS intercept, "
+    "ROUND(regr_r2(sample, th), 6) AS r2, COUNT(*) AS n, regr_r2(sample, th) > 0.98 AS normal FROM "
+    "(SELECT city, sample, " + dist.probit_sql("pos") + " AS th FROM (SELECT city, temperature_2m_max AS sample, "
+    "(ROW_NUMBER() OVER (PARTITION BY city ORDER BY temperature_2m_max) - 0.5) / COUNT(*) OVER (PARTITION BY city) AS pos "
+    "FROM p WHERE temperature_2m_max IS NOT NULL) a) b GROUP BY city", p0=NAT, p=_HOT))
+def q_qq_split(spark, sf_dir):
+    from tempest.operators.segments import qq_points_split
+
+    return round_doubles(st.qq_fit(qq_points_split(_one_city(spark, sf_dir), "temperature_2m_max")))
+
+
+@query("j05_kruskal_per_city_split", o.with_panels(
+    "SELECT city, CAST(SUM(ng) AS BIGINT) AS N, COUNT(*) AS k, ROUND(12.0 / (SUM(ng) * (SUM(ng) + 1)) * SUM(R * R / ng) - 3 * (SUM(ng) + 1), 6) AS H, COUNT(*) - 1 AS dof "
+    "FROM (SELECT city, q, SUM(rk) AS R, COUNT(*) AS ng FROM (SELECT city, quarter(time) AS q, RANK() OVER (PARTITION BY city ORDER BY temperature_2m_mean) "
+    "+ (COUNT(*) OVER (PARTITION BY city, temperature_2m_mean) - 1) / 2.0 AS rk FROM p WHERE temperature_2m_mean IS NOT NULL) a GROUP BY 1, 2) b "
+    "GROUP BY city HAVING COUNT(*) >= 2", p0=NAT, p=_HOT))
+def q_kruskal_split(spark, sf_dir):
+    """Do the quarters of a city differ; one city holds most rows."""
+    from tempest.operators.segments import kruskal_per_group
+
+    rows = _one_city(spark, sf_dir).withColumn("q", F.quarter("time"))
+    return round_doubles(kruskal_per_group(rows, "city", "q", "temperature_2m_mean"))
+
+
+@query("j15_p_adjust_split", o.with_panels(
+    "SELECT family, id, ROUND(p, 6) AS p, ROUND(LEAST(1.0, p * m), 6) AS p_bonferroni, "
+    "ROUND(LEAST(1.0, MIN(p * m / rk) OVER (PARTITION BY family ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh FROM "
+    "(SELECT *, COUNT(*) OVER (PARTITION BY family) AS m, ROW_NUMBER() OVER (PARTITION BY family ORDER BY p, id) AS rk FROM t) x",
+    t="SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority ELSE 'main' END AS family, o_orderkey AS id, "
+      "pow((o_totalprice * 100 % 9973) / 9973.0, 3) AS p FROM (SELECT o_orderkey, o_orderpriority, CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) AS DOUBLE) / 100 AS o_totalprice FROM orders) o"))
+def q_padjust_split(spark, sf_dir):
+    """One test per order in families of very different size, most in one."""
+    from tempest.operators.segments import p_adjust_split
+
+    price = (F.round(F.col("o_totalprice") * 100).cast("long").cast("double") / 100)
+    tests = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderpriority")).otherwise("main").alias("family"), F.col("o_orderkey").alias("id"),
+        F.pow((price * 100 % 9973) / 9973.0, F.lit(3)).alias("p"))
+    return round_doubles(p_adjust_split(tests))
+
+
+def _partners_sql(lag, least, top):
+    led = f"LAG(v, {lag}) OVER (PARTITION BY city ORDER BY time)" if lag else "v"
+    return ("SELECT city, partner, ROUND(r, 6) AS r, n, CAST(rank AS INTEGER) AS rank FROM "
+            "(SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY ABS(round(r, 9)) DESC, partner) AS rank FROM "
+            "(SELECT a.city, b.city AS partner, CORR(a.v, b.v) AS r, COUNT(*) AS n FROM "
+            f"(SELECT city, time, v FROM (SELECT city, time, {led} AS v FROM s) l WHERE v IS NOT NULL) a JOIN s b ON a.time = b.time AND a.city <> b.city "
+            f"GROUP BY 1, 2 HAVING COUNT(*) >= 3) p WHERE ABS(r) >= {least}) k WHERE rank <= {top}")
+
+
+_SERIES = "SELECT city, time, temperature_2m_mean AS v FROM n UNION ALL SELECT city, time, temperature_2m_mean FROM r"
+
+
+def _all_series(spark, sf_dir):
+    pick = lambda level: fx.panel(spark, sf_dir, level).select("city", "time", "temperature_2m_mean")
+    return pick("nation").unionByName(pick("region"))
+
+
+@query("j14_city_partners", o.with_panels(_partners_sql(0, 0.25, 4), n=NAT, r=o.panel("region"), s=_SERIES))
+def q_partners(spark, sf_dir):
+    """Nations and regions as series: the most correlated partners of each, found by codes."""
+    from tempest.operators.partners import city_partners
+
+    return round_doubles(city_partners(_all_series(spark, sf_dir), "temperature_2m_mean", top=4, least=0.25, recall=0.9999))
+
+
+@query("j14_city_partners_lagged", o.with_panels(_partners_sql(1, 0.05, 2), n=NAT, r=o.panel("region"), s=_SERIES))
+def q_partners_lagged(spark, sf_dir):
+    from tempest.operators.partners import city_partners
+
+    return round_doubles(city_partners(_all_series(spark, sf_dir), "temperature_2m_mean", top=2, least=0.05, lag=1, recall=0.9999))
