@@ -34,6 +34,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(docs: DataFrame, *kept: str) -> DataFrame:
+    """The documents with every column but ``kept`` named by its place (``_0``, ``_1``, ...), so
+    no column an operator adds can clash; ``toDF(*docs.columns)`` turns the names back."""
+    return docs.toDF(*[c if c in kept else f"_{i}" for i, c in enumerate(docs.columns)])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempest.llm.common import all_salts, salt, text_or_empty, without_white, write_table
+from tempest.llm.common import all_salts, renamed, salt, text_or_empty, without_white, write_table
 
 
 def content_hash(text: Column) -> Column:
@@ -53,10 +53,19 @@ def exact_duplicates(docs: DataFrame, hashed: Callable[[Column], Column] = conte
                          F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all their columns unchanged."""
-    gone = (exact_duplicates(docs).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct())
-    sha = F.sha2(without_white(text_or_empty()), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")),
-                     "left_anti")
+def drop_exact_duplicates(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """Exactly one row of each class, columns unchanged: the representative, of several rows
+    with its id and length the first. Rows are known by their number in a written table, as
+    ids may be null or repeated."""
+    own = renamed(docs, "doc_id", "text")
+    norm = without_white(text_or_empty())
+    rows = write_table(own.withColumn("row", F.monotonically_increasing_id()), "exact-rows")
+    keyed = rows.select(norm.alias("norm"), F.struct((-F.char_length(text_or_empty())).alias("n"), F.col("doc_id").isNull().alias("last"),
+                                                     "doc_id", "row").alias("rank"))
+    classes = (keyed.groupBy(hashed(F.col("norm")).alias("hash"), "norm").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("best"))
+               .filter("n > 1").select("hash", F.sha2("norm", 256).alias("sha"), F.col("best.row").alias("stays")))
+    classes = write_table(classes, "exact-classes")
+    # a class may hold a third of all rows, so both sides carry a salt
+    gone = (rows.select("row", hashed(norm).alias("hash"), F.sha2(norm, 256).alias("sha")).withColumn("salt", salt(F.col("row")))
+            .join(all_salts(classes, "salt"), ["hash", "sha", "salt"]).filter("row != stays").select("row"))
+    return rows.join(gone, "row", "left_anti").select(*own.columns).toDF(*docs.columns)

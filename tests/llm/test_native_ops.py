@@ -43,8 +43,12 @@ def test_exact_dedup_awkward_rows(documents):
     assert rows_of(exact_duplicates(docs), *DEDUP) == sorted(expected(AWKWARD), key=repr)
     left = drop_exact_duplicates(docs)
     assert left.columns == docs.columns
-    kept = [(i, t) for (i, t), e in zip(AWKWARD, expected(AWKWARD)) if e[3]]
-    assert rows_of(left, "doc_id", "text") == sorted(kept, key=repr)
+    kept = {}  # one row of each class, the longest of those with the representative's id
+    for (i, t), e in zip(AWKWARD, expected(AWKWARD)):
+        if e[3] and len(t or "") > len(kept.get(e[4], (0, ""))[1] or "") or e[4] not in kept and e[3]:
+            kept[e[4]] = i, t
+    norm = lambda rows: sorted(((i, t or "") for i, t in rows), key=repr)
+    assert norm(rows_of(left, "doc_id", "text")) == norm(kept.values())
 
 
 def test_exact_dedup_separates_colliding_hashes(documents):
@@ -140,3 +144,38 @@ def test_empty_tables(documents):
     empty = documents([])
     for out in (exact_duplicates(empty), drop_exact_duplicates(empty), shard_documents(empty), mix(empty), repeat_documents(empty)):
         assert out.count() == 0
+
+
+#: names that operators give to columns of their own
+INSIDE = ["row", "norm", "rank", "hash", "sha", "salt", "stays", "n", "best", "bucket", "size", "repeats", "copy", "target", "source_size",
+          "whole", "cut", "fp", "root", "first", "stays", "_row", "_0", "_score", "_spans", "_mix_n", "_gone_id", "toxic", "held_out", "at"]
+
+
+def test_stages_keep_clashing_columns_and_odd_ids(spark, documents):
+    """Every filtering stage over columns named as its own, null and repeated ids."""
+    from tempest.llm.simhash import drop_near_duplicates
+    from tempest.llm.toxicity import drop_toxic
+
+    texts = ["alpha beta gamma delta epsilon", "alpha beta  gamma delta epsilon", "something else entirely different here now", "", None]
+    rows = [(i, t) for t in texts for i in (None, None, 1, 1, 2)]
+    plain = documents(rows).drop("n_chars")
+    docs = plain
+    for name in dict.fromkeys(INSIDE):
+        docs = docs.withColumn(name, F.lit(name))
+    labels = spark.createDataFrame([(9, 1, 1)], "doc_id long, quality int, toxic int").filter("false")
+    for stage, left in ((drop_exact_duplicates, 3), (drop_near_duplicates, 3), (lambda d: drop_toxic(d, labels), 25), (repeat_documents, None)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert left is None or len(got) == left
+        assert all(r[name] == name for r in got for name in docs.columns[4:])
+    kept = drop_exact_duplicates(docs).collect()
+    assert sorted((r["text"] or "") for r in kept) == ["", texts[1], texts[2]]
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_mix_meets_targets_without_ids(documents, ids):
+    rows = [(None if ids == "null" else 7, f"w{i} " * 10, f"s{i % 3}") for i in range(600)]
+    got = mix(documents(rows)).toPandas()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 20).all()
