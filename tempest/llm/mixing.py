@@ -4,12 +4,12 @@ Targets come from capped water-filling: every source gets its weight's share of
 sources above ``max_epochs`` times their size are clamped there, and the excess is shared
 anew by weight until none is above. A source's target is then met by whole repetitions of
 all its documents and a seeded fraction of one more: documents are ordered by a hash of
-their id, and those up to the cut where the words taken come nearest to the target are
+their id and text, and those up to the cut where the words taken come nearest to the target are
 taken once more. The cut is found on words per (source, hash bucket), so no source is ever
 sorted or counted in one task.
 
 Defined results: null text has size 0; null is a source of its own, after all others; a
-null id hashes as the empty text; rows that share an id share their repetitions; sources
+null id hashes as the empty text; rows that share id and text share their repetitions; sources
 without words get target 0; an empty table gives an empty result. Columns other than id,
 text and source are not read.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempest.llm.common import SALTS, all_salts, text_or_empty, write_table
+from tempest.llm.common import SALTS, all_salts, renamed, text_or_empty, write_table
 from tempest.operators.stats import ordered_offsets
 
 #: hash buckets per source in which the cut is looked for (hex digits of the hash)
@@ -30,8 +30,8 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def bucket(doc_id: Column, seed: str) -> Column:
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def bucket(doc_id: Column, text: Column, seed: str) -> Column:
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, CUT_DIGITS), 16, 10).cast("int")
 
 
@@ -49,12 +49,11 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
         clamped, level = n, (budget - (held or 0.0)) / weight
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0,
-        seed: str = "mix-1") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, repeats, taken."""
-    rows = write_table(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"),
-                                   bucket(F.col("doc_id"), seed).alias("bucket")), "mix-rows")
-    masses = write_table(rows.groupBy("source", "bucket").agg(F.sum("size").alias("mass")), "mix-masses")
+def plan_mix(docs: DataFrame, weights: tuple, share: float, max_epochs: float, seed: str) -> DataFrame:
+    """One row per source: source_size, target, whole (repetitions of all its documents) and
+    cut (the last bucket taken once more, -1 for none)."""
+    masses = write_table(docs.select("source", word_count(text_or_empty()).alias("size"), bucket(F.col("doc_id"), text_or_empty(), seed).alias("bucket"))
+                         .groupBy("source", "bucket").agg(F.sum("size").alias("mass")), "mix-masses")
     sizes = masses.groupBy("source").agg(F.sum("mass").alias("source_size"))
     # weights repeat over the sources in code point order, null last
     named = ordered_offsets(sizes.filter("source is not null").withColumn("one", F.lit(1)), "source", "one")
@@ -76,21 +75,35 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epo
     cut = (sums.groupBy("t.source", "t.source_size", "t.target", "t.whole", "t.rest").agg(F.min(gap).alias("best"))
            .select("source", "source_size", "target", "whole",
                    F.when(F.col("best.gap") < F.col("rest"), F.col("best.bucket")).otherwise(-1).alias("cut")))
-    plan = all_salts(write_table(cut, "mix-plan"), "salt").alias("p")
-    # a source may hold a third of all rows: the plan meets every salt
-    r = rows.withColumn("salt", F.pmod(F.col("bucket"), F.lit(SALTS)).cast("int")).alias("r")
+    return write_table(cut, "mix-plan")
+
+
+def with_plan(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """Rows (doc_id, text, source and others) with ``source_size``, ``target`` and ``repeats``
+    of the plan; a source may hold a third of all rows, so its plan meets every salt."""
+    at = rows.withColumn("bucket", bucket(F.col("doc_id"), text_or_empty(), seed))
+    at = at.withColumn("salt", F.pmod(F.col("bucket"), F.lit(SALTS)).cast("int")).alias("r")
+    p = all_salts(plan, "salt").alias("p")
     repeats = (F.col("p.whole") + F.when(F.col("r.bucket") <= F.col("p.cut"), 1).otherwise(0)).cast("long")
-    return (r.join(plan, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.salt") == F.col("p.salt")))
-            .select("r.doc_id", "r.source", "r.size", "p.source_size", "p.target", repeats.alias("repeats"),
-                    (repeats * F.col("r.size")).alias("taken")))
-
-
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, columns unchanged."""
-    plan = (mix(docs, **options).filter("repeats > 0")
-            .groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"))
-            .agg(F.max("repeats").alias("_mix_n")))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))
-    return (docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_mix_id"))
-                      & docs["source"].eqNullSafe(F.col("_mix_source")))
-            .withColumn("_mix_i", copies).select(*[docs[c] for c in docs.columns]))
+    return (at.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.salt") == F.col("p.salt")))
+            .select(*[F.col(f"r.{c}") for c in rows.columns], "p.source_size", "p.target", repeats.alias("repeats")))
+
+
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0,
+        seed: str = "mix-1") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, repeats, taken."""
+    rows = docs.select("doc_id", "text", "source")
+    planned = with_plan(rows, plan_mix(rows, weights, share, max_epochs, seed), seed)
+    return planned.select("doc_id", "source", word_count(text_or_empty()).alias("size"), "source_size", "target", "repeats").withColumn(
+        "taken", F.col("repeats") * F.col("size"))
+
+
+def repeat_documents(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0,
+                     seed: str = "mix-1") -> DataFrame:
+    """The mix itself: each document as many times as it is taken, columns unchanged. A row's
+    repetitions follow from the plan of its source, so texts stay where they were read
+    wherever the plan is small enough for the planner to broadcast it."""
+    own = renamed(docs, "doc_id", "text", "source")
+    planned = with_plan(own, plan_mix(own, weights, share, max_epochs, seed), seed).filter("repeats > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))
+    return planned.withColumn("copy", copies).select(*own.columns).toDF(*docs.columns)

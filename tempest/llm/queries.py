@@ -46,7 +46,7 @@ def op8(spark, sf_dir):
 @query("op9_mixing", r"""
 WITH d AS (SELECT doc_id, source,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT AS bucket
+                  ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 4))::INT AS bucket
            FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
