@@ -6,7 +6,7 @@ the weights are fitted to document labels by the gradient of that likelihood. Sc
 pass over the texts without a shuffle, and names the sentences that carry the score.
 
 The fit uses a bounded sample: at most ``SAMPLE`` labelled documents outside the held-out
-fold, those with the smallest hash of their id, and at most ``FEATURES`` features, the most
+fold, those with the smallest hash of their id (one row each), and at most ``FEATURES`` features, the most
 telling by lift. Both are parameters. Labels, language, source and id are no inputs.
 
 Defined results: a null or empty text is one empty sentence; null labels and labels other
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempest.llm.common import fold, write_table
+from tempest.llm.common import fold, renamed, write_table
 
 #: bounds of the fit: labelled documents, features
 SAMPLE, FEATURES = 12_000, 50_000
@@ -56,7 +56,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: in
     known = (labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(fold(F.col("doc_id"), folds) != held_out)
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    return write_table(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxic-sample")
+    # one row per labelled id, that whose text has the smallest hash: ids may be repeated
+    rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic")
+            .agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("row")))
+    return write_table(rows.select("row.text", "toxic"), "toxic-sample")
 
 
 def telling_features(sample: DataFrame, n_pos: int, n_neg: int, limit: int) -> list[str]:
@@ -190,4 +193,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents whose score is below one half, columns unchanged."""
-    return score_toxicity(docs, labels, keep=True, **options).filter("_score < 0.5").select(*docs.columns)
+    own = renamed(docs, "doc_id", "text")
+    return score_toxicity(own, labels, keep=True, **options).filter("_score < 0.5").select(*own.columns).toDF(*docs.columns)
