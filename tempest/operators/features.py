@@ -72,6 +72,7 @@ def city_anomaly(col: str = "temperature_2m_mean", key="city") -> Column:
 # Feature layer
 # ---------------------------------------------------------------------------------
 
+# Rolled and lagged measures, with their windows and lags in rows.
 ROLL_TARGETS = {"temperature_2m_mean": (7, 30), "precipitation_sum": (7, 30)}
 LAG_TARGETS = {"temperature_2m_mean": (1, 2), "precipitation_sum": (1, 2)}
 
