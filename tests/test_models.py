@@ -96,3 +96,28 @@ def test_residual_trend_bins_are_filled(spark):
     df = spark.createDataFrame(rows, "city string, time date, prediction double, temperature_2m_max double")
     got = md.residual_trend(df, bins=10).collect()
     assert sorted(r["bin"] for r in got) == list(range(10)) and {r["n"] for r in got} == {6, 7}
+
+
+def test_logistic_is_stationary_and_matches_plain_newton(spark, tables):
+    _, train, test = tables
+    fit, scored = md.fit_logistic(train, test, features=md.TREE_FEATURES)
+    rows = train.na.drop(subset=[md.CLF_TARGET, *md.TREE_FEATURES]).select(md.CLF_TARGET, *md.TREE_FEATURES).toPandas()
+    assert fit["gradient"] < 1e-6 * len(rows)
+    y, x = rows[md.CLF_TARGET].to_numpy(float), rows[list(md.TREE_FEATURES)].to_numpy(float)
+    sd = x.std(axis=0)
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / np.where(sd == 0, 1.0, sd)])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    b = np.r_[fit["intercept"], fit["coefficients"]]
+    ridge = np.r_[0.0, np.ones(z.shape[1] - 1)]
+    p = 1 / (1 + np.exp(-z @ b))
+    assert np.abs(z.T @ (w * (p - y)) + ridge * b).max() < 1e-6 * len(y)
+    assert scored.filter("prediction <> CAST(probability_1 > 0.5 AS INT)").count() == 0
+
+
+def test_logistic_constant_feature_and_one_class(spark):
+    rows = [(float(i), 3.0, int(i % 7 > 2 and i > 5)) for i in range(60)]
+    df = spark.createDataFrame(rows + [(None, 3.0, 1)], "a double, b double, will_rain int")
+    fit, scored = md.fit_logistic(df, df, features=["a", "b"])
+    assert fit["coefficients"][1] == 0.0 and scored.count() == 60
+    with pytest.raises(ValueError):
+        md.fit_logistic(df.filter("will_rain = 1"), df, features=["a", "b"])
