@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tempest.functions import calendar as cal
 from tempest.functions import weather as wx
 from tempest.operators import aggregates as ag
+from tempest.operators import sketches as sk
 from tempest.operators import cleaning as cl
 from tempest.plans import oracle as o
 from tempest.plans.catalog import query, rnd, round_doubles
@@ -383,3 +384,22 @@ def q_d07_top(spark, sf_dir):
     long = overall.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("null_pct"))
                                               for c in _NULL_COLS])).alias("_r")).select("_r.*")
     return round_doubles(ag.top_k(long, [F.col("null_pct").desc(), "column"], 5))
+
+
+_SKETCH_VARS = ["temperature_2m_max", "precipitation_sum", "wind_speed_10m_max"]
+
+
+@query("d18_sketched_quartiles", o.with_panels(
+    " UNION ALL ".join(
+        f"SELECT city, '{c}' AS variable, COUNT({c}) AS n, ROUND(MIN({c}), 6) AS low, ROUND(quantile_disc({c}, 0.25), 6) AS q1, "
+        f"ROUND(quantile_disc({c}, 0.5), 6) AS median, ROUND(quantile_disc({c}, 0.75), 6) AS q3, ROUND(quantile_disc({c}, 0.9), 6) AS p90, "
+        f"ROUND(MAX({c}), 6) AS high FROM p GROUP BY city" for c in _SKETCH_VARS), p=NAT))
+def q_sketched(spark, sf_dir):
+    """Quartiles of all years from summaries per city and year, written once and merged; kept
+    exact up to 8,192 values a city (``quantile_disc``)."""
+    from tempest.session import materialize
+
+    panel = _nation(spark, sf_dir).withColumn("year", F.year("time"))
+    stored = materialize(sk.value_sketches(panel, _SKETCH_VARS, accuracy=8192))
+    q = sk.quantiles(stored, (0.25, 0.5, 0.75, 0.9))
+    return round_doubles(q.select("city", "variable", "n", "low", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("q1", "median", "q3", "p90"))], "high"))

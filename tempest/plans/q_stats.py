@@ -177,9 +177,38 @@ def q_against(spark, sf_dir):
     return round_doubles(st.against_mean(fx.panel(spark, sf_dir, "nation"), "city", "temperature_2m_max"))
 
 
-@query("j06_tukey_hsd_p_value")
+def _tukey_p_sql(src, group, value, outer=240, inner=320):
+    """Tail of the studentized range by nested trapezoids over range(): the deviation's density
+    over ten of its deviations about 1, inside it the normal range's cdf over [-8, 8]; the
+    normal cdf is its power series. Degrees of freedom here are in the thousands."""
+    phi = lambda x: f"exp(-0.5 * ({x}) * ({x})) / sqrt(2 * pi())"
+    # the series about 0 of the upper half: x, x^3/3, x^5/15, ... (at 9 and more the cdf is 1)
+    upper = (f"CASE WHEN abs(v) >= 9 THEN 1.0 WHEN v = 0 THEN 0.5 ELSE 0.5 + {phi('v')} * (SELECT SUM(exp((2 * i + 1) * ln(abs(v)) "
+             "- (lgamma(2 * i + 2) - i * ln(2.0) - lgamma(i + 1)))) FROM range(0, 160) r(i)) END")
+    cdf = f"CASE WHEN v < 0 THEN 1 - ({upper}) ELSE ({upper}) END"
+    return o.with_panels(
+        "SELECT t.group1, t.group2, ROUND(t.meandiff, 6) AS meandiff, ROUND(t.q, 6) AS q, t.k, t.df, "
+        "ROUND(GREATEST(0.0, LEAST(1.0, 1 - c.inside)), 6) AS p_adj, 1 - c.inside < 0.05 AS reject FROM t JOIN c ON t.q = c.q",
+        p=NAT, d=D_SQL,
+        g=f"SELECT {group} AS g, COUNT({value}) AS n, AVG({value}) AS mean, COALESCE(VAR_SAMP({value}), 0) * (COUNT({value}) - 1) AS m2 "
+          f"FROM {src} WHERE {group} IS NOT NULL AND {value} IS NOT NULL GROUP BY {group}",
+        t="SELECT a.g AS group1, b.g AS group2, b.mean - a.mean AS meandiff, "
+          "ABS(b.mean - a.mean) / sqrt((SELECT SUM(m2) / (SUM(n) - COUNT(*)) FROM g) / 2 * (1.0 / a.n + 1.0 / b.n)) AS q, "
+          "(SELECT COUNT(*) FROM g) AS k, (SELECT CAST(SUM(n) - COUNT(*) AS BIGINT) FROM g) AS df FROM g a JOIN g b ON a.g < b.g",
+        s=f"SELECT DISTINCT q, k, df, 1 + (i * 20.0 / {outer} - 10) / sqrt(2.0 * df) AS s, 20.0 / {outer} / sqrt(2.0 * df) AS ds "
+          f"FROM t, range(0, {outer + 1}) r(i)",
+        w="SELECT q, k, s, ds * exp((df / 2.0) * ln(df / 2.0) - lgamma(df / 2.0) + ln(2.0) + (df - 1) * ln(s) - df * s * s / 2) AS w FROM s",
+        zs=f"SELECT -8 + i * 16.0 / {inner} AS z FROM range(0, {inner + 1}) r(i)",
+        low=f"SELECT z, {cdf} AS below FROM (SELECT z, z AS v FROM zs) x",
+        far=f"SELECT q, s, z, {cdf} AS below FROM (SELECT q, s, z, z - q * s AS v FROM s, zs) x",
+        c=f"SELECT w.q, SUM(w.w * f.inside) AS inside FROM w JOIN (SELECT far.q, far.s, SUM(16.0 / {inner} * k * {phi('far.z')} * "
+          "pow(GREATEST(0.0, low.below - far.below), k - 1)) AS inside FROM far JOIN low ON far.z = low.z JOIN (SELECT DISTINCT q, k FROM t) kk ON kk.q = far.q "
+          "GROUP BY far.q, far.s) f ON f.q = w.q AND f.s = w.s GROUP BY w.q")
+
+
+@query("j06_tukey_hsd_p_value", _tukey_p_sql("d", "persistence_alert_level", "impact_score"))
 def q_tukey_p(spark, sf_dir):
-    return st.with_p_value(st.tukey_hsd(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "tukey")
+    return round_doubles(st.with_p_value(st.tukey_hsd(risk_panel(spark, sf_dir), "persistence_alert_level", "impact_score"), "tukey"))
 
 
 @query("j07_cohen_d", o.with_panels(

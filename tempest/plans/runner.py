@@ -5,7 +5,8 @@ last date (unseen cities start at ``default_start``) and re-derives rows from th
 affected one (``streaming.maintained``), writing only the years they lie in; ``forecast``
 replaces the forecast layers. Layers are Parquet datasets under ``base`` partitioned by
 year, with the maintained tables ``history_doy`` and ``history_values`` beside them
-(``read_layer`` joins what a row takes from its city's history); nothing is collected except
+(``read_layer`` joins what a row takes from its city's history) and quantile summaries per
+city and year (``read_quantiles``); nothing is collected except
 counts, touched years and the handful of quality rows.
 """
 
@@ -18,7 +19,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempest.operators.cleaning import date_gaps, fallback_clean
+from tempest.operators import sketches as sk
+from tempest.operators.cleaning import date_gaps, fallback_clean, numeric_columns
 from tempest.operators.features import fallback_features
 from tempest.operators.loading import DEFAULT_START, filter_cities, force_start, select_increment
 from tempest.operators.quality import overall_status, run_all_checks
@@ -28,10 +30,12 @@ from tempest.sources import files, store
 from tempest.streaming import maintained as mt
 
 LAYERS, TABLES = ("raw", "staging", "analytics"), ("history_doy", "history_values")
+#: quantile summaries per city and year of the staged rows
+SKETCHES = "value_sketches"
 
 
 def layer_paths(base: str, kind: str = "historical") -> dict:
-    return {name: f"{base.rstrip('/')}/{name}_{kind}" for name in (*LAYERS, *TABLES)}
+    return {name: f"{base.rstrip('/')}/{name}_{kind}" for name in (*LAYERS, *TABLES, SKETCHES)}
 
 
 def derivations(chunk_rows: int | None = None):
@@ -88,6 +92,20 @@ def read_layer(spark: SparkSession, base: str, name: str, kind: str = "historica
     return mt.with_history(rows, values, doy)
 
 
+def read_quantiles(spark: SparkSession, base: str, qs=(0.25, 0.5, 0.75), first_year: int | None = None,
+                   last_year: int | None = None, kind: str = "historical") -> DataFrame:
+    """Quantiles per city and measure over a range of years, from the stored summaries alone."""
+    return sk.quantiles(sk.read_sketches(spark, layer_paths(base, kind)[SKETCHES], first_year, last_year), qs)
+
+
+def _sketch_version(staging: DataFrame, paths, versions) -> None:
+    """Summaries of the years that ``staging`` holds."""
+    years = staging if "year" in staging.columns else staging.withColumn("year", F.year("time"))
+    versions[SKETCHES] = files.version_folder(paths[SKETCHES])
+    (sk.value_sketches(years, numeric_columns(years.drop("year"))).write.mode("overwrite")
+     .partitionBy("year").parquet(versions[SKETCHES]))
+
+
 def _full_versions(spark, raw, paths, repair, features, notes, versions) -> None:
     """Versions of everything derived from ``raw``. A derivation that fails as a plan gives
     way to its fallback: fill only, and features that need nothing but neighbouring rows."""
@@ -106,6 +124,7 @@ def _full_versions(spark, raw, paths, repair, features, notes, versions) -> None
     for name, df in (("history_doy", mt.doy_sums(staging)), ("history_values", mt.value_counts(staging))):
         versions[name] = files.version_folder(paths[name])
         df.write.parquet(versions[name])
+    _sketch_version(staging, paths, versions)
 
 
 def _delta_versions(spark, paths, batch, repair, features, versions) -> dict:
@@ -118,7 +137,9 @@ def _delta_versions(spark, paths, batch, repair, features, versions) -> dict:
     for name in LAYERS:
         versions[name] = files.version_folder(paths[name])
         files.replace_all(getattr(d, name), versions[name])
-    return {"raw": d.raw_years, "staging": d.years, "analytics": d.years}
+    if d.years:
+        _sketch_version(spark.read.parquet(versions["staging"]), paths, versions)
+    return {"raw": d.raw_years, "staging": d.years, "analytics": d.years, SKETCHES: d.years}
 
 
 def run_layers(spark: SparkSession, source: DataFrame, base: str, mode: str = "full",
