@@ -19,6 +19,7 @@ from tempest.sources import fixtures as fx
 from tempest.streaming.ingest import ingest_available
 from tempest.streaming.refresh import refresh_features
 from tempest.streaming.rollup import rollup_available
+from tempest.streaming.sessions import event_sessions, hot_runs, sessions_available
 
 RAW_D = o.DOUBLE_RAW
 
@@ -92,6 +93,43 @@ def q_rollup(spark, sf_dir):
     return round_doubles(out)
 
 
+def _closed_sql(events, gap, limit, delay, measures=""):
+    """Sessions of (city, ts, ...) in ``events`` by gaps and islands; those the watermark reached."""
+    return (f"SELECT city, MIN(ts) AS first, MAX(ts) AS last, COUNT(*) AS events{measures} FROM "
+            f"(SELECT *, SUM(fresh) OVER (PARTITION BY city ORDER BY ts) AS session FROM "
+            f"(SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY city ORDER BY ts) < INTERVAL '{gap}' THEN 0 ELSE 1 END AS fresh FROM {events}) a) b "
+            f"GROUP BY city, session HAVING MAX(ts) + INTERVAL '{gap}' <= (SELECT MAX(ts) FROM {limit}) - INTERVAL '{delay}'")
+
+
+@query("m04_stream_hot_runs", o.with_panels(
+    "SELECT city, CAST(first AS DATE) AS run_start, CAST(last AS DATE) AS run_end, events AS run_length, ROUND(peak, 6) AS peak FROM s",
+    p=o.panel("nation"), e="SELECT city, CAST(time AS TIMESTAMP) AS ts, temperature_2m_max FROM p",
+    h="SELECT * FROM e WHERE temperature_2m_max > 35", s=_closed_sql("h", "36 hours", "e", "60 days", ", MAX(temperature_2m_max) AS peak")))
+def q_stream_runs(spark, sf_dir):
+    """Hot runs from a stream that is taken up twice: the second time six late weeks arrive
+    together with the years after them, and extend or join the runs that are still open."""
+    base, p = _scratch(spark, "runs"), fx.panel(spark, sf_dir, "nation")
+    late = F.col("time").between(F.lit(_dt.date(1996, 11, 10)), F.lit(_dt.date(1996, 12, 20)))
+    first = (F.col("time") < F.lit(_dt.date(1997, 1, 1))) & ~late
+    for part in (first, ~first):
+        p.filter(part).select("city", "time", "temperature_2m_max").write.mode("append").parquet(f"{base}/landing")
+        out = sessions_available(spark, f"{base}/landing", "city string, time date, temperature_2m_max double",
+                                 lambda days: hot_runs(days, "60 days"), f"{base}/runs", f"{base}/ck")
+    return round_doubles(out)
+
+
+@query("m05_stream_report_sessions", o.with_panels(
+    "SELECT city, first, last, events, ROUND(strongest, 6) AS strongest FROM s", h=fx.hourly_sql(),
+    s=_closed_sql("h", "90 minutes", "h", "2 days", ", MAX(wind_speed_10m) AS strongest")))
+def q_stream_sessions(spark, sf_dir):
+    """Spells of reporting of each series: an hour without a report ends one."""
+    base = _scratch(spark, "sessions")
+    fx.hourly_panel(spark, sf_dir).write.parquet(f"{base}/hourly")
+    return round_doubles(sessions_available(
+        spark, f"{base}/hourly", S.HOURLY,
+        lambda h: event_sessions(h, "ts", "90 minutes", "2 days", strongest=F.max("wind_speed_10m")), f"{base}/spells", f"{base}/ck"))
+
+
 _CUT = _dt.date(2001, 6, 30)
 
 

@@ -121,7 +121,7 @@ def test_touched_years_only(spark, scratch):
     whole = whole.withColumn("pressure_msl_mean", F.when(~F.col("time").between("2024-01-20", "2024-02-20"), F.col("pressure_msl_mean")))
     late = F.col("time").between("2024-02-03", "2024-02-05")
     runner.run_layers(spark, whole.filter((F.col("city") != "sheki") & (F.col("time") <= "2024-02-10") & ~late), base)
-    before = {name: year_files(base, f"{name}_historical") for name in ("raw", "staging", "analytics")}
+    before = {name: year_files(base, f"{name}_historical") for name in ("raw", "staging", "analytics", "value_sketches")}
     res = runner.run_layers(spark, whole.filter("city != 'sheki'"), base, "incremental", start=dt.date(2024, 2, 3), force=True, end=dt.date(2024, 2, 5))
     assert res["status"] == "SUCCESS"
     res = runner.run_layers(spark, whole.filter("city != 'sheki'"), base, "incremental")
@@ -130,6 +130,12 @@ def test_touched_years_only(spark, scratch):
         assert {f for f in now if f[0] != "year=2024"} == {f for f in had if f[0] != "year=2024"} and now != had
     full = runner.run_layers(spark, whole.filter("city != 'sheki'"), f"{scratch}/full")
     assert same(res["analytics"], full["analytics"]) and same(res["staging"], full["staging"])
+    for years in ((None, None), (2023, 2023), (2024, None)):
+        a, b = (runner.read_quantiles(spark, x, (0.1, 0.5), *years) for x in (base, f"{scratch}/full"))
+        assert sorted(a.drop("quantiles").collect()) == sorted(b.drop("quantiles").collect())
+    got = runner.read_quantiles(spark, base, (0.5,), 2023, 2023).filter("city = 'baku' and variable = 'temperature_2m_mean'").first()
+    days = sorted(r[0] for r in res["staging"].filter("city = 'baku' and year(time) = 2023").select("temperature_2m_mean").collect())
+    assert got["n"] == 365 and abs(days.index(got["quantiles"][0]) / 365 - 0.5) < 0.1
     res = runner.run_layers(spark, whole, base, "incremental", default_start=start)
     assert same(res["analytics"], runner.run_layers(spark, whole, f"{scratch}/full")["analytics"])
 
