@@ -15,16 +15,22 @@ unit returns per class its links and the smallest class it is joined to.
 Only pairs of cosine >= the threshold are ever linked. Pairs missed are those that differ in
 every table. Signs are of centred vectors, so the share of bits in which a pair at the
 threshold differs is derived from the distances of the sample to its mean: at cosine 0.93
-12 % about a mean of zero, so (1 - 0.88 ** 11) ** 25 = 0.1 % are missed (0.01 % at 0.95), and
-the more the larger the common component. Substrings are shortened and tables added until at
-most ``MISSED`` are; when that would cost more than all pairs, all pairs of the length are
-judged, in blocks. So are those of lengths without rotations: lengths of at most a block of
-classes and all but the ``FITTED`` commonest. tests/llm measures the recall against brute force.
+12 % about a mean of zero, the more the larger the common component. Every length of substrings
+has a number of tables that misses at most ``MISSED`` (at 12 %, (1 - 0.88 ** 8) ** 16 = 0.1 %);
+of these the cheapest for the number of vectors a vector may meet is taken. So substrings grow
+by about a bit and tables by a seventh when that number doubles (at 12 %), and the pairs judged
+grow a little faster than the vectors instead of with their square; at 22 % (a mean of squared
+norm 0.7) with a power of 1.4 to 1.65. Where a strong common component
+asks for over ``MOST`` tables and these would cost more than all pairs (``layout``), all pairs
+of the length are judged, in blocks; with more vectors the tables win again. All pairs are also
+judged in lengths too short for a table and all but the ``FITTED`` commonest. tests/llm
+measures the recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and those of null label, link with nothing; vectors of different length do not link; null
 ids are ordinary rows that count as links but are nobody's component unless alone; repeated
-rows are equal vectors; an empty table gives an empty result. Columns other than vec_id,
+rows are equal vectors; an empty table gives an empty result; labels may have any type that
+can be grouped and are equal as such. Columns other than vec_id,
 embedding and label are not read.
 """
 
@@ -34,14 +40,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempest.llm.common import all_salts, salt, whole_units, write_table
 from tempest.llm.components import connected_components, spanning
 
 #: vectors a rotation is fitted on, rounds of the fit
 SAMPLE, ROUNDS = 8192, 25
-#: bits of a substring at most, number of tables at least and at most
-WIDTH, TABLES, MOST = 11, 25, 50
+#: bits of a substring: at least where the vectors allow it, and at most
+SHORT, LONG = 8, 24
+#: tables that are taken whatever they cost
+MOST = 100
+#: judged pairs that cost as much as one row of a table, and as one more key in it
+ROW, KEY = 32, 0.125
 #: share of pairs at the threshold that differ in every table, at most
 MISSED = 0.001
 #: vector lengths with rotations of their own; all pairs of any other length are judged
@@ -69,23 +80,42 @@ def differing(sample: np.ndarray, threshold: float) -> np.ndarray:
     return np.arccos(np.clip(1 - (1 - threshold) / apart, -1, 1)) / np.pi
 
 
-def layout(differ: np.ndarray, width: int, tables: int) -> tuple[int, int]:
-    """(width, tables) of the longest substrings that miss at most ``MISSED``; (0, 1), one key
-    for all, if no tables do so at less than the cost of all pairs."""
-    for w in range(width, 0, -1):
-        alone = 1 - (1 - differ) ** w
-        for t in range(tables, max(MOST, tables) + 1):
-            if t < 2 ** w and (alone ** t).mean() <= MISSED:
-                return w, t
-    return 0, 1
+def tables_needed(differ: np.ndarray, width: int) -> int:
+    """Least number of tables of ``width`` bits that miss at most ``MISSED``; 0 if more than
+    half as many as there are keys are needed."""
+    alone, most = 1 - (1 - differ) ** width, 2 ** width // 2
+    if not most or (alone ** most).mean() > MISSED:
+        return 0
+    low = 0  # too few
+    while most - low > 1:
+        mid = (low + most) // 2
+        low, most = (low, mid) if (alone ** mid).mean() <= MISSED else (mid, most)
+    return most
+
+
+def layout(differ: np.ndarray, partners: float, longest: int) -> tuple[int, int]:
+    """(width, tables) for vectors that each may meet ``partners`` others: the cheapest of at
+    least ``SHORT`` bits, else the longest there is; (0, 1), one key for all, if there is none
+    or it has over ``MOST`` tables and costs more than all pairs."""
+    cost, short = {}, (0, 1)
+    for w in range(1, min(longest, LONG) + 1):
+        t = tables_needed(differ, w)
+        if t and w < SHORT:
+            short = w, t
+        elif t:
+            cost[w, t] = t * (ROW + KEY * t + partners / 2 ** (w + 1))
+    if not cost:
+        return short
+    w, t = min(cost, key=cost.get)
+    return (0, 1) if t > MOST and cost[w, t] >= ROW + partners / 2 else (w, t)
 
 
 class Quantiser:
     """Mean and rotations of one vector length; codes and table keys."""
 
-    def __init__(self, sample: np.ndarray, width: int, tables: int, threshold: float):
+    def __init__(self, sample: np.ndarray, partners: float, threshold: float):
         d = sample.shape[1]
-        self.width, tables = layout(differing(sample, threshold), min(width, d), tables)
+        self.width, tables = layout(differing(sample, threshold), partners, d // 2)  # bits of half the axes hardly depend on one another
         self.mean, self.starts = sample.mean(0), []
         if not self.width:
             return
@@ -123,14 +153,15 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def fit(classes: DataFrame, threshold: float, sample: int, width: int, tables: int, block: int) -> dict[int, Quantiser]:
-    """A quantiser of each of the ``FITTED`` commonest vector lengths of more classes than a
-    block, on the ``sample`` vectors with the smallest hash."""
-    out = {}
-    sizes = classes.groupBy("dim").count().filter(F.col("count") > block)
+def fit(classes: DataFrame, threshold: float, sample: int) -> dict[int, Quantiser]:
+    """A quantiser of each of the ``FITTED`` commonest vector lengths, on the ``sample``
+    vectors with the smallest hash, for the number of classes that share a vector's label."""
+    out, n = {}, F.col("n").cast("double")
+    sizes = (classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim")
+             .agg(F.sum("n").alias("count"), (F.sum(n * n) / F.sum(n)).alias("partners")).filter("count > 1"))
     for r in sizes.orderBy(F.desc("count"), "dim").limit(FITTED).collect():
         got = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("embedding")).limit(sample).select("embedding").toArrow()
-        out[r["dim"]] = Quantiser(unit_vectors(_matrix(got.column(0), r["dim"])), width, tables, threshold)
+        out[r["dim"]] = Quantiser(unit_vectors(_matrix(got.column(0), r["dim"])), r["partners"], threshold)
     return out
 
 
@@ -160,13 +191,20 @@ def judge(unit, role, x, keys, table, copies, threshold: float):
     return found, links[found], label[found]
 
 
-def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, width: int = WIDTH,
-                tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def numbered_labels(classes: DataFrame) -> DataFrame:
+    """The classes with a whole number for each label: its own if it is one."""
+    if isinstance(classes.schema["label"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return classes.withColumn("label", F.col("label").cast("long"))
+    names = write_table(classes.select("label").distinct().withColumn("_number", F.monotonically_increasing_id()), "itq-labels")
+    return classes.join(names, "label").drop("label").withColumnRenamed("_number", "label")
+
+
+def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(id, links, low) per class and unit with a link: links to other classes' vectors, and
     a class of the same component."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(fit(classes, threshold, sample, width, tables, block))  # d x d matrices
-    schema = "id long, label int, dim int, x array<double>, copies long, keys array<int>"
+    shared = spark.sparkContext.broadcast(fit(classes, threshold, sample))  # d x d matrices
+    schema = "id long, label long, dim int, x array<double>, copies long, keys array<int>"
 
     def code(batches):
         for batch in batches:
@@ -216,13 +254,11 @@ def class_links(classes: DataFrame, threshold: float, sample: int = SAMPLE, widt
     return units.mapInArrow(links, "id long, links long, low long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE, width: int = WIDTH,
-                 tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     # classes are numbered, as several may have no id
     classes = write_table(classes_of(vectors).withColumn("id", F.monotonically_increasing_id()), "itq-classes")
-    found = write_table(class_links(classes.withColumn("label", F.col("label").cast("int")), threshold, sample, width,
-                                    tables, block), "itq-links")
+    found = write_table(class_links(numbered_labels(classes), threshold, sample, block), "itq-links")
     n = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("u"), F.col("low").alias("v")))
     owned = (classes.join(n, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")

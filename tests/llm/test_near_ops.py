@@ -1,5 +1,6 @@
 """SimHash, embedding and passage dedup against brute force."""
 import hashlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from tempest.llm import bcr
 from tempest.llm.components import connected_components, spanning
+from tempest.llm import itq_dedup
 from tempest.llm.itq_dedup import near_vectors
 from tempest.llm.passages import earlier_windows, remove_passages, segments
 from tempest.llm.simhash import Forest, drop_near_duplicates, fingerprint, near_groups, simhash_groups
@@ -163,6 +165,43 @@ def test_embedding_dedup_of_many_lengths(spark):
     assert {i for i, n in got.items() if n} == {3, 66, 103, 166, *range(200, 240)} and set(got.values()) == {0, 1}
 
 
+@pytest.mark.parametrize("n, common", [(500, 0.0), (5000, 0.0), (500, 0.7), (5000, 0.7)])
+def test_embedding_dedup_recall_through_tables(spark, n, common):
+    """Pairs about the threshold among many vectors alone, at sizes where tables are used."""
+    rng = np.random.default_rng(n)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    own = rng.normal(size=(n // 5, 1, 64)) + rng.normal(size=(n // 5, 5, 64)) * (0.3 if common else 0.18)
+    x = (np.sqrt(common) * unit(rng.normal(size=64)) + np.sqrt(1 - common) * unit(own.reshape(n, 64))).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist(), i // 2500) for i, v in enumerate(x)])
+    quantiser = itq_dedup.fit(itq_dedup.numbered_labels(itq_dedup.classes_of(df)), 0.93, 8192)[64]
+    assert quantiser.width >= 8 and len(quantiser.starts) <= itq_dedup.MOST
+    y, lab = unit(x.astype(float)), np.arange(n) // 2500
+    link = (y @ y.T >= 0.93) & (lab[:, None] == lab)
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, 0.93).collect()}
+    want = link.sum(1)
+    assert all(got[i] <= k for i, k in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 0
+
+
+def test_embedding_tables_grow_with_the_data():
+    """Pairs judged at ten times the vectors: far below the hundredfold of all pairs."""
+    for differ, power in ((0.12, 1.5), (0.22, 1.75)):
+        pairs = []
+        for n in (5e4, 5e5, 5e6, 5e7):
+            w, t = itq_dedup.layout(np.array([differ]), n, 64)
+            assert (1 - (1 - differ) ** w) ** t <= itq_dedup.MISSED
+            pairs.append(n * n * t / 2 ** w)
+        assert all(b < a * 10 ** power for a, b in zip(pairs, pairs[1:]))
+
+
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.7, 1.2]), ("string", ["a", "b", "a"]), ("long", [1, 1 + (1 << 32), 1]),
+                                          ("decimal(4,2)", [Decimal("1.20"), Decimal("1.70"), Decimal("1.20")])])
+def test_embedding_labels_of_any_type(spark, kind, labels):
+    rows = [(i, [1.0, 2.0 + i / 1000, 0.5], label) for i, label in enumerate(labels)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0)}
+
+
 def test_transform_in_small_chunks():
     rng = np.random.default_rng(5)
     for _ in range(60):
