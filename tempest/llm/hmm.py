@@ -73,16 +73,19 @@ class Vocabulary:
         self.total, self.distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
         self.total, self.rare = int(self.total or 0), rare
         # the commonest words: all of a least count, which is the lowest bound of a fine scale
-        # of counts that at most ``near`` words reach
+        # of counts that at most ``near`` words reach, and of the next step a part by hash
         step = F.floor(F.log2("n") * 64).cast("int")
         scale = counts.filter("word != ''").groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("n")).collect()
-        least, reach = 1 << 62, 0
+        if own + rare >= 1 << 16:
+            raise ValueError("classes are stored in two bytes: own + rare must stay below 65,536")
+        least, reach, some = 1 << 62, 0, F.lit(False)
         for r in sorted(scale, key=lambda r: -r["s"]):
-            reach += r["v"]
-            if reach > near:
+            if reach + r["v"] > near:
+                if r["s"] and reach < near:  # words met once are left to the join
+                    some = self.part_of_step(counts, step == r["s"], r["v"], near - reach)
                 break
-            least = r["n"]
-        top = counts.filter((F.col("word") != "") & (F.col("n") >= least)).toArrow()
+            reach, least = reach + r["v"], r["n"]
+        top = counts.filter((F.col("word") != "") & ((F.col("n") >= least) | some)).toArrow()
         words, n = top.column("word").combine_chunks(), top.column("n").to_numpy().astype(np.int64)
         order = pc.sort_indices(pa.table({"w": words, "n": n}), sort_keys=[("n", "descending"), ("w", "ascending")])
         self.words, self.counts = words.take(order), n[order.to_numpy()]
@@ -102,6 +105,20 @@ class Vocabulary:
         self.prior = np.r_[self.counts[:self.own], sums[:, 0], self.ends] + 1.0
         self.prior /= self.prior.sum()
 
+    @staticmethod
+    def part_of_step(counts: DataFrame, of_step, size: int, room: int):
+        """Condition on the words of the step that crosses the bound: those of the first hash
+        bins that together hold at most ``room`` of its ``size`` words."""
+        bins = -(-64 * size // room)
+        bin_ = F.pmod(F.xxhash64("word"), F.lit(bins))
+        first = {r["b"]: r["v"] for r in counts.filter((F.col("word") != "") & of_step & (bin_ <= 64))
+                 .groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("v")).collect()}  # at most 65 rows
+        cut, taken = 0, first.get(0, 0)
+        while taken <= room and cut <= 64:
+            cut += 1
+            taken += first.get(cut, 0)
+        return of_step & (bin_ < cut)
+
     def rare_class(self, words: pa.Array) -> np.ndarray:
         ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
         cls = np.array([zlib.crc32(w.encode()) % self.rare for w in ends.dictionary.to_pylist()], np.int64)
