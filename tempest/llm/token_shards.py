@@ -58,22 +58,19 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = FEISTEL_ROUNDS) -
     return out.astype(np.int64)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, index), the number of rows and of UTF-8 bytes."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
+    """(doc_id, text, at), the number of rows before each input partition, of all rows and of
+    UTF-8 bytes. ``at`` holds the partition above its lower 33 bits, the row in them."""
     text = text_or_empty().cast("binary")
-    rows = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("at"))
-    part = F.shiftright("at", 33)  # the number's upper bits are the partition
+    at = F.monotonically_increasing_id()
+    rows = docs.select("doc_id", text_or_empty().alias("text"), at.alias("at"))
     # one row per input partition
-    counts = (docs.select(F.octet_length(text).alias("b"), F.monotonically_increasing_id().alias("at"))
-              .groupBy(part.cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect())
-    offsets, run = {}, 0
-    for r in sorted(counts, key=lambda r: r["p"]):
-        offsets[r["p"]] = run
-        run += r["n"]
-    listed = [offsets.get(p, 0) for p in range(max(offsets) + 1)] if offsets else [0]
-    shift = F.element_at(F.array(*[F.lit(x).cast("long") for x in listed]), part.cast("int") + 1)
-    index = shift + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select("doc_id", "text", index.alias("index")), run, sum(r["b"] for r in counts)
+    counts = (docs.select(F.octet_length(text).alias("b"), at.alias("at"))
+              .groupBy(F.shiftright("at", 33).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect())
+    n = np.zeros(max((r["p"] for r in counts), default=0) + 1, np.int64)
+    for r in counts:
+        n[r["p"]] = r["n"]
+    return rows, np.cumsum(n) - n, int(n.sum()), sum(r["b"] for r in counts)
 
 
 class ShardWriter:
@@ -107,18 +104,20 @@ def write_shards(docs: DataFrame, target: str, ranks_path: str, pattern: str, ke
                  shard_bytes: int = SHARD_BYTES, end: int | None = None) -> DataFrame:
     """Write the shards under ``target`` when evaluated; one row per document: doc_id, slot,
     shard, first_token (in its shard), n_tokens (with the end id), tokens_crc32."""
-    rows, n, size = numbered(docs)
+    rows, before, n, size = numbered(docs)
     shards = max(1, -(-size // shard_bytes))
     spec = _shared(docs, ranks_path)
+    offsets = docs.sparkSession.sparkContext.broadcast(before)  # eight bytes an input partition
 
     @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), n, key))
+    def slot(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series(permute(offsets.value[at >> 33] + (at & (1 << 33) - 1), n, key))
 
-    placed = rows.withColumn("slot", slot("index")) if n else rows.withColumn("slot", F.col("index"))
+    placed = rows.withColumn("slot", slot("at")) if n else rows.withColumn("slot", F.col("at"))
     shard = F.floor(F.col("slot") * F.lit(shards) / F.lit(max(1, n))).cast("int")
     dealt = (placed.select("doc_id", "text", "slot", shard.alias("shard"))
-             .repartition(shards, "shard").sortWithinPartitions("slot"))
+             .repartitionById(shards, "shard").sortWithinPartitions("slot"))  # one shard a task
 
     def run(batches):
         codec, writer, now = _codec(spec.value, pattern), None, None

@@ -197,6 +197,24 @@ def test_lm_class_shares_sum_to_one(documents, spark):
         assert v.rare_total[k] == sum(c[w] + 1 for w in inside) + 1
 
 
+def test_lm_words_of_one_count_fill_up_to_the_bound(documents, spark):
+    """A step of counts that crosses the bound is taken in part, by hash, not left out whole."""
+    counts = hmm.count_words(documents([(i, f"w{i % 400} w{i % 400}") for i in range(400)] + [(900, "top top top")]), 7, 99)
+    for near, least in ((401, 401), (400, 340), (200, 150), (40, 10)):
+        v = hmm.Vocabulary(counts, own=1000, rare=4, near=near)
+        assert least <= len(v.words) <= near and v.own == len(v.words) and v.words[0].as_py() == "top"
+        assert v.total == 803 + 401 and abs(v.prior.sum() - 1) < 1e-12
+    with pytest.raises(ValueError):
+        hmm.Vocabulary(counts, own=65_000, rare=600, near=10)
+
+
+def test_shards_are_dealt_one_a_task(spark, documents, scratch):
+    documents([(i, "a b c " * 40) for i in range(300)]).write.parquet(f"{scratch}/many")
+    out = write_shards(spark.read.parquet(f"{scratch}/many"), f"file://{scratch}/dealt", RANKS, PATTERN, stride=64, shard_bytes=5_000)
+    tasks = out.select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == len({r["task"] for r in tasks}) == len({r["shard"] for r in tasks}) > 8
+
+
 def test_lm_empty(documents):
     assert hmm.score_documents(documents([]), rounds=1).count() == 0
     got = hmm.score_documents(documents([(10, "only held out words")]), held_out=zlib.crc32(b"10") % 7, rounds=1).collect()
