@@ -20,11 +20,13 @@ listed twice and must agree). Columns other than id and text are not read.
 
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from tempest.llm.common import text_or_empty
 
 #: token ids of a record, UTF-8 bytes of text meant for a shard, rounds of the permutation
 STRIDE, SHARD_BYTES, FEISTEL_ROUNDS = 2048, 32 << 20, 6
+#: characters of a text that is encoded at once
+WHOLE = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,6 +104,21 @@ class ShardWriter:
         self.fs.delete_file(self.draft)
 
 
+@lru_cache(maxsize=2)
+def _encoder(spec: str, pattern: str) -> tiktoken.Encoding:
+    ranks = {token: i for i, token in enumerate(_codec(spec, pattern).token_bytes) if token}
+    return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def packed_ids(text: str, codec, encoder: tiktoken.Encoding):
+    """The ids of a text as little-endian bytes; long texts in slices of pieces."""
+    if len(text) <= WHOLE:
+        yield np.array(encoder.encode_ordinary(text), "<u2").tobytes()
+        return
+    for some in codec.entries(text):
+        yield b"".join([e[2] for e in some])
+
+
 def write_shards(docs: DataFrame, target: str, ranks_path: str, pattern: str, key: int = 1, stride: int = STRIDE,
                  shard_bytes: int = SHARD_BYTES, end: int | None = None) -> DataFrame:
     """Write the shards under ``target`` when evaluated; one row per document: doc_id, slot,
@@ -124,7 +143,7 @@ def write_shards(docs: DataFrame, target: str, ranks_path: str, pattern: str, ke
         stop = len(codec.token_bytes) if end is None else end
         if stop > 0xFFFF:
             raise ValueError("ids of a record have two bytes; the end id is larger")
-        last = stop.to_bytes(2, "little")
+        last, encoder = stop.to_bytes(2, "little"), _encoder(spec.value, pattern)
         fs, folder = pyarrow.fs.FileSystem.from_uri(target)
         fs.create_dir(folder, recursive=True)
         try:
@@ -137,8 +156,7 @@ def write_shards(docs: DataFrame, target: str, ranks_path: str, pattern: str, ke
                         writer, now = ShardWriter(fs, folder, s, stride, stop), s
                     first.append(writer.tokens)
                     check = 0
-                    for some in codec.entries(text.as_py()):
-                        ids = b"".join([e[2] for e in some])
+                    for ids in packed_ids(text.as_py(), codec, encoder):
                         check = zlib.crc32(ids, check)
                         writer.append(ids)
                     writer.append(last)

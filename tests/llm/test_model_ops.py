@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tempest.llm import hmm, toxicity
+from tempest.llm import hmm, token_shards, toxicity
 from tempest.llm.bpe import Codec, StreamDecoder, decode_documents, encode_documents, read_ranks, tokenizer_json
 from tempest.llm.exact_dedup import drop_exact_duplicates
 from tempest.llm.mixing import mix
@@ -208,6 +208,16 @@ def test_lm_words_of_one_count_fill_up_to_the_bound(documents, spark):
         hmm.Vocabulary(counts, own=65_000, rare=600, near=10)
 
 
+def test_packed_ids_of_whole_and_sliced_texts(codec, oracle, small, monkeypatch):
+    spec = tokenizer_json(read_ranks(RANKS))
+    encoder = token_shards._encoder(spec, PATTERN)
+    texts = small.text.fillna("").tolist() + ["", " ", "a" * 3000 + "\n \n" * 50, "żółć 🙂<|endoftext|>\x00"]
+    want = [np.array(oracle.encode_ordinary(t), "<u2").tobytes() for t in texts]
+    assert [b"".join(token_shards.packed_ids(t, codec, encoder)) for t in texts] == want
+    monkeypatch.setattr(token_shards, "WHOLE", 5)
+    assert [b"".join(token_shards.packed_ids(t, codec, encoder)) for t in texts] == want
+
+
 def test_shards_are_dealt_one_a_task(spark, documents, scratch):
     documents([(i, "a b c " * 40) for i in range(300)]).write.parquet(f"{scratch}/many")
     out = write_shards(spark.read.parquet(f"{scratch}/many"), f"file://{scratch}/dealt", RANKS, PATTERN, stride=64, shard_bytes=5_000)
