@@ -37,6 +37,21 @@ STATES, ROUNDS, BLOCK = 6, 5, 128
 PULL = 500.0
 #: sequences and tokens worked on together
 SEQUENCES = 4096
+#: bytes of text whose words are worked on together
+TEXT_BYTES = 4 << 20
+
+
+def text_slices(batches, column: int):
+    """The batches in slices of about ``TEXT_BYTES`` of text, one row at least: the words of a
+    slice take many times the memory of its text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -56,7 +71,7 @@ def count_words(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     rows = docs.select((fold(F.col("doc_id"), folds) != held_out).alias("train"), "text").filter("train").select("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             _, words = words_of(batch.column(0))
             n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +161,7 @@ def encode(docs: DataFrame, vocab, folds: int, held_out: int) -> DataFrame:
     def run(batches):
         v = vocab.value
         unit = np.log10(v.total + (v.distinct + 1.0))
-        for batch in batches:
+        for batch in text_slices(batches, 3):
             n = len(batch)
             row, words = words_of(batch.column(3))
             idx = words.indices.to_numpy()

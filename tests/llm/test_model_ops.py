@@ -225,6 +225,15 @@ def test_shards_are_dealt_one_a_task(spark, documents, scratch):
     assert len(tasks) == len({r["task"] for r in tasks}) == len({r["shard"] for r in tasks}) > 8
 
 
+def test_lm_slices_of_texts_hold_every_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(hmm, "TEXT_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 30, "", "c" * 6, "d" * 4, "e"]
+    parts = list(hmm.text_slices([pa.record_batch([pa.array(texts)], ["text"]), pa.record_batch([pa.array([], pa.string())], ["text"])], 0))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts and [len(p) for p in parts] == [2, 1, 3, 1]
+
+
 def test_lm_empty(documents):
     assert hmm.score_documents(documents([]), rounds=1).count() == 0
     got = hmm.score_documents(documents([(10, "only held out words")]), held_out=zlib.crc32(b"10") % 7, rounds=1).collect()
