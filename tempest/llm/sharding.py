@@ -8,7 +8,8 @@ item. Shards then differ by about one bundle, a ten-thousandth of the bytes. A g
 than a fair share keeps its shard to itself.
 
 Defined results: a null text counts as empty and has size 1; a null id is an ordinary row
-(slots count it); repeated rows each get a slot of the same shard; an empty table gives an
+(slots count it); repeated rows each get a slot of the same shard, and however many rows
+share an id or are equal, no task holds them all; an empty table gives an
 empty result. Columns other than the id and the text are not read.
 """
 
@@ -25,6 +26,8 @@ from tempest.llm.common import text_or_empty, write_table
 RESOLUTION = 1024
 #: ordered pieces per shard in which slots are counted
 SLOT_BUCKETS = 4096
+#: slots of equal rows that one task numbers at once
+RUN = 65_536
 
 
 def least_loaded(items: list[tuple[str, int]], shards: int) -> dict[str, int]:
@@ -59,13 +62,27 @@ def shard_documents(docs: DataFrame, shards: int = 8, resolution: int = RESOLUTI
              .withColumn("item", F.when(F.col("own"), F.col("g")).otherwise(bundle))
              .join(F.broadcast(plan), "item")
              .select("doc_id", "size", "text_crc32", "shard",
-                     F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)).alias("piece")))
-    # slots: rows counted within (shard, piece), pieces shifted by those before them; the
-    # table of shifts has at most shards * SLOT_BUCKETS rows
-    counts = named.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
+                     F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(SLOT_BUCKETS)).alias("piece")))
+    # slots: equal rows are counted first, counts are summed within (shard, piece) and pieces
+    # shifted by those before them; the table of shifts has at most shards * SLOT_BUCKETS rows
+    alike = write_table(named.groupBy("doc_id", "size", "text_crc32", "shard", "piece").agg(F.count(F.lit(1)).alias("n")), "shard-alike")
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size")
-    return (named.withColumn("i", F.row_number().over(inside) - 1)
-            .join(F.broadcast(shift), ["shard", "piece"])
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("i") + F.col("shift")).cast("long").alias("slot")))
+    shift = alike.groupBy("shard", "piece").agg(F.sum("n").alias("n")).select(
+        "shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed_rows = (alike.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+                   .join(F.broadcast(shift), ["shard", "piece"])
+                   .withColumn("first", F.col("first") + F.col("shift")))
+    return numbered(placed_rows)
+
+
+def numbered(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """A row for each of the ``n`` slots from ``first`` on; long runs of equal rows are cut into
+    pieces of ``run`` slots that other tasks number."""
+    keys = ["doc_id", "size", "text_crc32", "shard"]
+    short = rows.filter(F.col("n") <= run).select(*keys, "first", "n")
+    long_ = rows.filter(F.col("n") > run).select(*keys, F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(run).cast("long"))).alias("first"),
+                                                 (F.col("first") + F.col("n")).alias("end"))
+    long_ = long_.select(*keys, "first", F.least(F.lit(run).cast("long"), F.col("end") - F.col("first")).alias("n")).repartition("first")
+    slot = F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
+    return short.unionByName(long_).select(*keys, slot)

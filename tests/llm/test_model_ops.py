@@ -291,6 +291,28 @@ def test_toxicity_gradient():
     assert abs(toxicity.noisy_or(np.array([0.0, 0.0])) - 0.75) < 1e-12
 
 
+def test_toxicity_scores_recomputed(spark, small):
+    """The query's scores from the fitted weights, character by character and as a product."""
+    import __spark_entry__ as entry
+
+    docs, labels = (spark.read.parquet(f"{SMOKE}/{t}.parquet") for t in ("documents", "labels"))
+    weights, prior = toxicity.train(docs, labels)
+    assert weights
+    got = {r["doc_id"]: r for r in entry.queries()["op6_toxicity"](spark, SMOKE).collect()}
+    assert len(got) == len(small)
+    for i, text in zip(small.doc_id, small.text):
+        parts = [p for p in "".join("." if c in "!?\n" else c for c in text or "").split(".") if p]
+        clean = 1.0
+        for part in parts or [""]:
+            held = set()
+            for w in "".join(c if c.isalnum() and not c.isdecimal() else " " for c in part.lower()).split(" "):
+                held |= {w} | ({w[:4] + "*", w[:5] + "*", w[:6] + "*"} if len(w) > 4 else set())
+            clean *= 1 - 1 / (1 + math.exp(-prior - sum(weights.get(f, 0.0) for f in held)))
+        r = got[i]
+        assert abs(r["score"] - (1 - clean)) < 1e-4 and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_toxicity_without_labels(spark, documents):
     docs = documents([(1, "a b"), (2, None)])
     assert [r["predicted"] for r in toxicity.score_toxicity(docs, labelled(spark, [])).collect()] == [0, 0]

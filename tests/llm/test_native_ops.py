@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tempest.llm import sharding
 from tempest.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from tempest.llm.mixing import mix, repeat_documents
 from tempest.llm.sharding import least_loaded, shard_documents
@@ -99,6 +100,38 @@ def test_sharding(documents):
     assert max(load.values()) - min(load.values()) <= 0.05 * sum(load.values())
 
 
+@pytest.mark.parametrize("shards", [3, 8])
+def test_sharding_against_a_plain_schedule(documents, small, shards):
+    """Where every group is an item of its own, shards hold what a list scheduler gives them."""
+    rows = [(int(i), t) for i, t in zip(small.doc_id, small.text)] + [(900 + i, "copy of a text " * (i % 3)) for i in range(90)] + [(None, None)]
+    got = shard_documents(documents(rows), shards=shards, resolution=1 << 20).collect()
+    groups, load, home = Counter(), [0] * shards, {}
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 1
+    for text, size in sorted(groups.items(), key=lambda g: (-g[1], hashlib.md5(g[0].encode()).hexdigest())):
+        k = load.index(min(load))
+        home[text] = k
+        load[k] += size
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), home[t or ""]) for i, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+    for k in range(shards):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(n for key, n in want.items() if key[3] == k)))
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_sharding_of_rows_that_share_an_id(documents, ids, monkeypatch):
+    monkeypatch.setattr(sharding.numbered, "__defaults__", (7,))
+    same = None if ids == "null" else 4
+    rows = [(same, f"text {i}") for i in range(150)] + [(same, "one text")] * 100 + [(i, f"other {i}") for i in range(100, 160)]
+    got = shard_documents(documents(rows), shards=4).collect()
+    size = Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == size
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def water(sizes, weights, budget):
     caps, level = {s: 2.0 * n for s, n in sizes.items()}, {}
     open_ = set(sizes)
