@@ -73,6 +73,18 @@ def ingest_summary(all_cities: DataFrame, batch: DataFrame, key="city") -> DataF
             .select(key, F.when(F.col("_u"), "updated").otherwise("skipped").alias("status")))
 
 
+def ingest_status(source: DataFrame, latest: DataFrame, end=None, default_start: _dt.date = DEFAULT_START,
+                  key="city", order="time") -> DataFrame:
+    """The status ``ingest_summary`` gives to every city of ``source`` or ``latest`` for the rows
+    ``select_increment`` would take, from one row per city: its newest date up to ``end`` is
+    after the last one loaded, or not."""
+    taken = F.col(order) if end is None else F.when(F.col(order) <= F.lit(end), F.col(order))
+    newest = source.groupBy(key).agg(F.max(taken).alias("_newest"))
+    start = F.coalesce(F.col("last_date"), F.date_sub(F.lit(default_start), 1))
+    return (newest.join(latest.select(key, "last_date"), key, "full")
+            .select(key, F.when(F.col("_newest") > start, "updated").otherwise("skipped").alias("status")))
+
+
 def validate_range(start, end, as_of):
     """Argument check of a requested history range."""
     if start >= end:

@@ -179,9 +179,22 @@ def q_update_report(spark, sf_dir):
     "FROM (SELECT DISTINCT city FROM r UNION SELECT DISTINCT city FROM n) c",
     r=REG, n=NAT, h=fx.hist_sql("region"), inc=_INC_SQL))
 def q_ingest_summary(spark, sf_dir):
-    everyone = fx.panel(spark, sf_dir, "region").select("city").unionByName(
-        _nation(spark, sf_dir).select("city"))
-    return ld.ingest_summary(everyone, _increment(spark, sf_dir))
+    from tempest.session import materialize
+
+    offered = materialize(fx.panel(spark, sf_dir, "region").select("city", "time"))
+    h, _ = fx.hist_and_forecast(spark, sf_dir, "region", offered)
+    batch = offered.unionByName(_nation(spark, sf_dir).select("city", "time"))
+    return ld.ingest_status(batch, store.latest_dates(h), INC_END, INC_DEFAULT_START)
+
+
+@query("a18_ingest_summary_of_batch", o.with_panels(
+    "SELECT c.city, CASE WHEN c.city IN (SELECT city FROM r WHERE time >= DATE '2001-06-01') THEN 'updated' ELSE 'skipped' END AS status "
+    "FROM (SELECT DISTINCT city FROM r UNION SELECT DISTINCT city FROM n) c", r=REG, n=NAT))
+def q_ingest_summary_of_batch(spark, sf_dir):
+    """The same summary from the rows of a batch: here the region series of some months."""
+    r = fx.panel(spark, sf_dir, "region").select("city", "time")
+    everyone = r.select("city").unionByName(_nation(spark, sf_dir).select("city"))
+    return ld.ingest_summary(everyone, ld.force_start(r, _dt.date(2001, 6, 1)))
 
 
 @query("a19_future_rows", o.with_panels(

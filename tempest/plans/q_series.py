@@ -322,7 +322,11 @@ CHUNK_ROWS = 500
 def q_feature_layer_chunked(spark, sf_dir):
     from tempest.operators import chunked as ch
 
-    staged = ch.handle_missing_chunked(fx.panel_with_nulls(spark, sf_dir, "region"), chunk_rows=CHUNK_ROWS)
+    from tempest.session import materialize
+
+    # as in a layer run, each layer is written before the next one reads it more than once
+    raw = materialize(fx.panel_with_nulls(spark, sf_dir, "region"))
+    staged = materialize(ch.handle_missing_chunked(raw, chunk_rows=CHUNK_ROWS))
     return round_doubles(ch.compute_all_features_chunked(staged, chunk_rows=CHUNK_ROWS))
 
 

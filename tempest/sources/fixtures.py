@@ -132,8 +132,8 @@ def panel_with_nulls(spark: SparkSession, sf_dir: str, grain: str = "region") ->
 FORECAST_DAYS, HIST_CUT_DAYS = 14, 7
 
 
-def hist_and_forecast(spark: SparkSession, sf_dir: str, grain: str = "region"):
-    p = panel(spark, sf_dir, grain)
+def hist_and_forecast(spark: SparkSession, sf_dir: str, grain: str = "region", p: DataFrame | None = None):
+    p = panel(spark, sf_dir, grain) if p is None else p
     end = p.select(F.max("time")).scalar()  # scalar subquery, evaluated once
     hist = p.filter(F.col("time") <= F.date_sub(end, HIST_CUT_DAYS))
     shift = (F.dayofmonth("time") % 3 + 1).cast("double")
