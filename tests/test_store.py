@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tempest.operators.loading import select_increment
+from tempest.operators.loading import ingest_status, ingest_summary, select_increment
 from tempest.sources import store
 
 D0 = dt.date(2021, 5, 1)
@@ -39,3 +39,17 @@ def test_audit_run_ids_increment(spark, scratch):
     b = store.append_audit(spark, path, "incremental", 1, 2, 2, 2, time.time(), "SUCCESS").first()
     assert (a["run_id"], b["run_id"]) == (1, 2)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_ingest_status_equals_the_summary_of_the_increment(spark):
+    d = dt.date
+    source = spark.createDataFrame([("a", d(2020, 1, 5)), ("a", d(2020, 1, 9)), ("b", d(2020, 1, 3)), ("c", d(2020, 1, 20)),
+                                    ("d", d(2020, 1, 2)), ("e", None)], "city string, time date")
+    latest = spark.createDataFrame([("a", d(2020, 1, 4)), ("b", d(2020, 1, 3)), ("f", d(2020, 1, 1))], "city string, last_date date")
+    for end in (d(2020, 1, 10), None):
+        got = {r["city"]: r["status"] for r in ingest_status(source, latest, end, d(2020, 1, 1)).collect()}
+        everyone = source.select("city").unionByName(latest.select("city"))
+        want = ingest_summary(everyone, select_increment(source, latest, end, d(2020, 1, 1)))
+        assert got == {r["city"]: r["status"] for r in want.collect()}
+        assert (got["a"], got["b"], got["c"], got["f"]) == ("updated", "skipped", "skipped" if end else "updated", "skipped")
+    assert ingest_status(source.limit(0), latest.limit(0)).count() == 0
