@@ -520,15 +520,29 @@ def newton_sums(rows: DataFrame, beta, penalty: float):
             sums[k + 1:].reshape(k, k) + np.diag(ridge))
 
 
+def one_class_intercept(label: int, steps: int) -> float:
+    """Intercept after ``steps`` Newton steps from zero with the curvature held at its bound (a
+    quarter of the weights) on rows that all have ``label``. The features are centred, so the
+    coefficients stay zero and the rows' number and weight cancel out of every step."""
+    b = 0.0
+    for _ in range(steps):
+        b += 4.0 * (label - 1.0 / (1.0 + math.exp(-b)))
+    return b
+
+
 def fit_logistic(train: DataFrame, test: DataFrame, features=LINEAR_FEATURES, label: str = CLF_TARGET,
-                 penalty: float = 1.0, tolerance: float = 1e-9, rounds: int = 100):
+                 penalty: float = 1.0, tolerance: float = 1e-9, rounds: int = 100, one_class_steps: int | None = None):
     """Balanced logistic regression by iteratively reweighted least squares: minimises
     penalty / 2 * |coefficients|^2 + the sum of class-weighted losses on standardised features
     (training mean, population deviation, 1 for a constant feature; free intercept). Each
     Newton step is one pass over the written training rows; a step that doesn't lower the
     loss is halved. Ends when no entry of the gradient exceeds ``tolerance`` times the rows.
     Rows with nulls are left out of both sides. Returns ({"intercept", "coefficients",
-    "gradient", "rounds"}, scored test rows with probability_1 and prediction)."""
+    "gradient", "rounds"}, scored test rows with probability_1 and prediction).
+
+    Training rows of one class have no finite fit: the loss falls without end as the intercept
+    grows. They are an error, unless ``one_class_steps`` says after how many steps of
+    ``one_class_intercept`` to stop; "gradient" is then that of the coefficients alone."""
     import numpy as np
 
     from tempest.session import materialize
@@ -539,15 +553,20 @@ def fit_logistic(train: DataFrame, test: DataFrame, features=LINEAR_FEATURES, la
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(one), F.lit(0.0)).alias("ones"),
                       *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
     n, ones = stats["n"], stats["ones"]
-    if not 0 < ones < n:
+    one_class = not 0 < ones < n
+    if one_class and (one_class_steps is None or not n):
         raise ValueError(f"{label} needs rows of both classes, has {ones:.0f} of {n}")
     scaled = [(F.col(c) - (stats[f"m_{c}"] or 0.0)) / (stats[f"s_{c}"] or 1.0) for c in features]
     rows = materialize(known.select(
         F.array(F.lit(1.0), *scaled).alias("x"), one.alias("y"),
-        F.when(one > 0, F.lit(n / (2.0 * ones))).otherwise(F.lit(n / (2.0 * (n - ones)))).alias("w")))
+        F.when(one > 0, F.lit(n / (2.0 * (ones or n)))).otherwise(F.lit(n / (2.0 * ((n - ones) or n)))).alias("w")))
     beta, done = np.zeros(len(features) + 1), 0
+    if one_class:
+        beta[0], done = one_class_intercept(int(ones > 0), one_class_steps), one_class_steps
     loss, gradient, curvature = newton_sums(rows, beta, penalty)
-    while np.abs(gradient).max() > tolerance * n:
+    if one_class:
+        gradient[0] = 0.0
+    while not one_class and np.abs(gradient).max() > tolerance * n:
         if done == rounds:
             raise ArithmeticError(f"logistic regression did not converge in {rounds} rounds")
         step, done = np.linalg.solve(curvature, gradient), done + 1

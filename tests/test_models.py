@@ -121,3 +121,61 @@ def test_logistic_constant_feature_and_one_class(spark):
     assert fit["coefficients"][1] == 0.0 and scored.count() == 60
     with pytest.raises(ValueError):
         md.fit_logistic(df.filter("will_rain = 1"), df, features=["a", "b"])
+
+
+@pytest.fixture(scope="module")
+def dull(spark, tmp_path_factory):
+    """Tables of which every (region, day) has rain, the same highest and the same lowest
+    temperature, so the regression's label, the rain flag and half the features are constant."""
+    import datetime as dt
+
+    at = str(tmp_path_factory.mktemp("dull"))
+    lines, key = [], 0
+    for year in range(1995, 2001):
+        for i in range(14):
+            day = dt.datetime(year, 1, 2) + dt.timedelta(days=26 * i + year % 3)
+            for s in range(5):
+                for q in (1.0, 10.0 + (key * 7) % 13, 50.0):
+                    key += 1
+                    lines.append((key, key, s, 1 + key % 7, q, 900.0 + key % 31, (key % 11) / 100, (1 + key * 5 % 8) / 100, "R", "OF"[key % 2], day))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(s, s) for s in range(5)], "s_suppkey long, s_nationkey int").write.parquet(f"{at}/supplier.parquet")
+    spark.createDataFrame([(s, f"nation {s}", s) for s in range(5)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{at}/nation.parquet")
+    spark.createDataFrame([(s, f"region {s}") for s in range(5)], "r_regionkey int, r_name string").write.parquet(f"{at}/region.parquet")
+    return at
+
+
+def oracle(at, name):
+    import duckdb
+
+    import __spark_entry__
+
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet/*.parquet')")
+    return con.sql(__spark_entry__.oracle_sql()[name]).df().to_dict("records")
+
+
+def test_rain_logistic_of_one_class_is_its_sql(spark, dull):
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["k10_rain_logistic"](spark, dull).toPandas().to_dict("records")
+    assert len(got) == 1 and got[0]["tp"] == 70 and got == oracle(dull, "k10_rain_logistic")
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_logistic_of_one_class_against_plain_steps(spark, label):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2))
+    df = spark.createDataFrame([(*map(float, r), 3.0, label) for r in x], "a double, b double, c double, will_rain int")
+    fit, scored = md.fit_logistic(df, df, features=["a", "b", "c"], one_class_steps=50)
+    z = np.column_stack([np.ones(40), (x - x.mean(axis=0)) / x.std(axis=0), np.zeros(40)])
+    bound, beta, ridge = np.linalg.inv(z.T @ z / 8 + np.diag([0.0, 1, 1, 1])), np.zeros(4), np.r_[0.0, 1, 1, 1]
+    for _ in range(50):
+        beta = beta + bound @ (0.5 * z.T @ (label - 1 / (1 + np.exp(-z @ beta))) - ridge * beta)
+    assert np.allclose([fit["intercept"], *fit["coefficients"]], beta) and fit["gradient"] < 1e-9
+    assert {r["prediction"] for r in scored.collect()} == {label}
+    assert scored.first()["probability_1"] == pytest.approx(1 / (1 + np.exp(-beta[0])))
+    with pytest.raises(ValueError):
+        md.fit_logistic(df.limit(0), df, features=["a", "b", "c"], one_class_steps=50)
