@@ -597,7 +597,9 @@ def fit_gbt_classifier(train: DataFrame, test: DataFrame, features=TREE_FEATURES
     return model.transform(te).withColumn("probability_1", vector_to_array("probability")[1])
 
 
-def fit_classifiers(train: DataFrame, test: DataFrame, label: str = CLF_TARGET, seed: int = 42):
-    """Balanced logistic regression and balanced boosted trees for the rain flag."""
-    return {"logistic_balanced": fit_logistic(train, test, label=label)[1],
+def fit_classifiers(train: DataFrame, test: DataFrame, label: str = CLF_TARGET, seed: int = 42,
+                    one_class_steps: int | None = None):
+    """Balanced logistic regression and balanced boosted trees for the rain flag;
+    ``one_class_steps``: see ``fit_logistic``."""
+    return {"logistic_balanced": fit_logistic(train, test, label=label, one_class_steps=one_class_steps)[1],
             "gbt_balanced": fit_gbt_classifier(train, test, label=label, seed=seed)}

@@ -179,3 +179,12 @@ def test_logistic_of_one_class_against_plain_steps(spark, label):
     assert scored.first()["probability_1"] == pytest.approx(1 / (1 + np.exp(-beta[0])))
     with pytest.raises(ValueError):
         md.fit_logistic(df.limit(0), df, features=["a", "b", "c"], one_class_steps=50)
+
+
+def test_rain_classifiers_of_one_class(spark, dull):
+    import __spark_entry__
+
+    got = {r["model"]: r for r in __spark_entry__.queries()["k10_rain_classifiers"](spark, dull).collect()}
+    assert set(got) == {"logistic_balanced", "gbt_balanced"}
+    assert {(r["accuracy"], r["f1"], r["tp"], r["fp"], r["fn"], r["tn"]) for r in got.values()} == {(1.0, 1.0, 70, 0, 0, 0)}
+    assert [m for m, r in got.items() if r["is_best"]] == ["logistic_balanced"]
