@@ -354,13 +354,71 @@ def lasso_path(train: DataFrame, test: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0,
 
 
 def ols_summary(model, features) -> list[dict]:
-    """Coefficients with standard errors, t and p values (normal-equation solver)."""
+    """Coefficients with standard errors, t and p values (normal-equation solver). Spark has
+    errors of full-rank fits with residual degrees of freedom only; others (constant label,
+    features that are constant or depend on each other) come from ``ols_of_least_norm``."""
+    from pyspark.errors import UnsupportedOperationException
+
     s = model.summary
     names = list(features) + ["intercept"]
     coefs = list(model.coefficients) + [model.intercept]
+    try:
+        errors = s.coefficientStandardErrors if s.degreesOfFreedom > 0 else None
+    except UnsupportedOperationException:
+        errors = None
+    if errors is None:
+        return ols_of_least_norm(s.predictions, names, s.featuresCol, s.labelCol)
     return [{"term": n, "coef": float(c), "std_err": float(se), "t": float(t), "p": float(p),
              "r2": float(s.r2), "r2_adj": float(s.r2adj), "n": int(s.numInstances)}
-            for n, c, se, t, p in zip(names, coefs, s.coefficientStandardErrors, s.tValues, s.pValues)]
+            for n, c, se, t, p in zip(names, coefs, errors, s.tValues, s.pValues)]
+
+
+def products(df: DataFrame, cols: list[Column]):
+    """The matrix of the sums of all products of two of ``cols``, in one aggregate."""
+    import numpy as np
+
+    k = len(cols)
+    sums = df.select(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    g = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            g[i, j] = g[j, i] = sums[f"g{i}_{j}"]
+    return g
+
+
+def ols_of_least_norm(scaled: DataFrame, names, features_col: str, label: str, rank_tolerance: float = 1e-10) -> list[dict]:
+    """The least-squares fit of least norm and its errors by the pseudo-inverse of the products
+    of the standardised features: a constant feature gets 0, features that say the same share
+    what they explain. Degrees of freedom are rows less rank (eigenvalues above
+    ``rank_tolerance`` of the largest). What has no value is null: t and p where the error is
+    0, errors without degrees of freedom, R^2 of a constant label."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from tempest.functions.distributions import t_two_sided_p
+
+    y = F.col(label).cast("double")
+    of = scaled.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.min(y).alias("low"), F.max(y).alias("high")).first()
+    centre = of["low"] if of["low"] == of["high"] else of["mean"]
+    k = len(names) - 1
+    x = vector_to_array(F.col(features_col))
+    g = products(scaled, [F.lit(1.0), *[x[i] for i in range(k)], y - F.lit(centre)])
+    values, vectors = np.linalg.eigh(g[:-1, :-1])
+    kept = values > rank_tolerance * values.max()
+    inverse = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
+    beta = inverse @ g[:-1, -1]
+    w = np.r_[beta, -1.0]
+    sse, sst, n, df = max(0.0, float(w @ g @ w)), float(g[-1, -1]), of["n"], of["n"] - int(kept.sum())
+    r2 = 1 - sse / sst if sst > 0 else None
+    r2_adj = 1 - sse / sst * (n - 1) / df if sst > 0 and df > 0 else None
+    out = []
+    for i in [*range(1, k + 1), 0]:
+        coef = float(beta[i]) + (centre if i == 0 else 0.0)
+        error = math.sqrt(max(0.0, sse / df * float(inverse[i, i]))) if df > 0 else None
+        t = coef / error if error else None
+        out.append({"term": names[i - 1], "coef": coef, "std_err": error, "t": t,
+                    "p": None if t is None else t_two_sided_p(t, df), "r2": r2, "r2_adj": r2_adj, "n": n})
+    return out
 
 
 def ols_mean_interval(train_scaled: DataFrame, pred: DataFrame, model, z_or_t: float = 1.96) -> DataFrame:
@@ -371,14 +429,7 @@ def ols_mean_interval(train_scaled: DataFrame, pred: DataFrame, model, z_or_t: f
 
     k = len(model.coefficients)
     arr = vector_to_array(F.col("features"))
-    xs = [F.lit(1.0)] + [arr[i] for i in range(k)]
-    gram = train_scaled.select(*[F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(k + 1)
-                                 for j in range(i, k + 1)]).first()
-    g = np.zeros((k + 1, k + 1))
-    for i in range(k + 1):
-        for j in range(i, k + 1):
-            g[i, j] = g[j, i] = gram[f"g{i}_{j}"]
-    inv = np.linalg.pinv(g)
+    inv = np.linalg.pinv(products(train_scaled, [F.lit(1.0)] + [arr[i] for i in range(k)]))
     sigma2 = model.summary.meanSquaredError * model.summary.numInstances / max(
         1, model.summary.numInstances - k - 1)
     px = pred.withColumn("_x", vector_to_array(F.col("features")))

@@ -188,3 +188,36 @@ def test_rain_classifiers_of_one_class(spark, dull):
     assert set(got) == {"logistic_balanced", "gbt_balanced"}
     assert {(r["accuracy"], r["f1"], r["tp"], r["fp"], r["fn"], r["tn"]) for r in got.values()} == {(1.0, 1.0, 70, 0, 0, 0)}
     assert [m for m, r in got.items() if r["is_best"]] == ["logistic_balanced"]
+
+
+def test_ols_coefficients_of_constant_label(spark, dull):
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["k06_ols_coefficients"](spark, dull).collect()
+    n = oracle(dull, "k06_ols_coefficients")[0]["n"]
+    assert sorted(r["term"] for r in got) == sorted([*md.LINEAR_FEATURES, "intercept"])
+    assert {r["term"]: r["coef"] for r in got} == {**{c: 0.0 for c in md.LINEAR_FEATURES}, "intercept": 50.0}
+    assert {(r["std_err"], r["t"], r["p"], r["r2"], r["r2_adj"], r["n"]) for r in got} == {(0.0, None, None, None, None, n)}
+
+
+def test_ols_of_dependent_features_matches_pinv(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(80, 2))
+    x = np.column_stack([x, np.full(80, 7.0), x[:, 0]])  # one constant, one repeated
+    y = 3 + x[:, 0] - 2 * x[:, 1] + rng.normal(size=80)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, d double, y double")
+    model, _, _ = md.fit_linear(df, df, features=list("abcd"), label="y")
+    got = {r["term"]: r for r in md.ols_summary(model, list("abcd"))}
+    z = (x - x.mean(0)) / np.where(x.std(0) == 0, 1.0, x.std(0))
+    a = np.column_stack([z, np.ones(80)])
+    inv = np.linalg.pinv(a.T @ a, rcond=1e-10)
+    beta, rest = inv @ a.T @ y, y - a @ inv @ a.T @ y
+    se = np.sqrt(np.diag(inv) * (rest @ rest) / (80 - 3))
+    for i, c in enumerate([*"abcd", "intercept"]):
+        assert abs(got[c]["coef"] - beta[i]) < 1e-9 and abs(got[c]["std_err"] - se[i]) < 1e-9
+    assert got["c"]["t"] is None and got["a"]["t"] == pytest.approx(beta[0] / se[0])
+    assert got["a"]["r2"] == pytest.approx(1 - rest @ rest / ((y - y.mean()) ** 2).sum())
+    two, _, _ = md.fit_linear(df, df, features=list("ab"), label="y")  # the same fit of full rank, by Spark
+    full = {r["term"]: r for r in md.ols_summary(two, list("ab"))}
+    assert got["b"]["t"] == pytest.approx(full["b"]["t"]) and got["b"]["p"] == pytest.approx(full["b"]["p"], abs=1e-12)
+    assert got["b"]["r2_adj"] == pytest.approx(full["b"]["r2_adj"])
