@@ -336,7 +336,7 @@ def lasso_path(train: DataFrame, test: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0,
     """Lasso fits over alpha on standardised features: test RMSE and R^2 and the number of
     coefficients with |coef| < 1e-6. The training rows are read once for the whole path (sums
     of products, largest alpha first, each fit starting from the one before), the test rows
-    once for its errors."""
+    once for its errors. R^2 is null where the test label is constant, both without test rows."""
     features, beta, fits = list(features), None, {}
     known = train.na.drop(subset=[label, *features]).withColumn("fold", F.lit(0))
     s = fold_sums(known, features, label, 1)
@@ -346,10 +346,10 @@ def lasso_path(train: DataFrame, test: DataFrame, alphas=(0.001, 0.01, 0.1, 1.0,
     z = [(F.col(c) - s["mean"][c]) / s["sd"][c] for c in features]
     held = test.na.drop(subset=[label, *features])
     error = lambda a: F.col(label) - sum((F.lit(float(b)) * x for b, x in zip(fits[a][1], z)), F.lit(float(fits[a][0])))
-    sums = held.agg(F.count(F.lit(1)).alias("n"), F.var_pop(label).alias("var"),
+    sums = held.agg(F.count(F.lit(1)).alias("n"), F.var_pop(label).alias("var"), (F.min(label) < F.max(label)).alias("varies"),
                     *[F.sum(error(a) ** 2).alias(f"e{i}") for i, a in enumerate(alphas)]).first()
-    mse = [sums[f"e{i}"] / sums["n"] for i in range(len(alphas))]
-    return [{"alpha": float(a), "rmse": math.sqrt(m), "r2": 1 - m / sums["var"], "zeroed": int((abs(fits[a][1]) < zero).sum()),
+    mse = [sums[f"e{i}"] / sums["n"] if sums["n"] else None for i in range(len(alphas))]
+    return [{"alpha": float(a), "rmse": None if m is None else math.sqrt(m), "r2": 1 - m / sums["var"] if sums["varies"] else None, "zeroed": int((abs(fits[a][1]) < zero).sum()),
              "features": len(features)} for a, m in zip(alphas, mse)]
 
 

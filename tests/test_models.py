@@ -221,3 +221,20 @@ def test_ols_of_dependent_features_matches_pinv(spark):
     full = {r["term"]: r for r in md.ols_summary(two, list("ab"))}
     assert got["b"]["t"] == pytest.approx(full["b"]["t"]) and got["b"]["p"] == pytest.approx(full["b"]["p"], abs=1e-12)
     assert got["b"]["r2_adj"] == pytest.approx(full["b"]["r2_adj"])
+
+
+def test_lasso_path_of_constant_label(spark, dull):
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["k08_lasso_path"](spark, dull).collect()
+    assert sorted((r["alpha"], r["rmse"], r["r2"], r["zeroed"], r["features"]) for r in got) == [
+        (a, 0.0, None, 15, 15) for a in (0.001, 0.01, 0.1, 1.0, 10.0)]
+
+
+def test_lasso_path_of_constant_test_label_and_no_test_rows(spark):
+    df = spark.createDataFrame([(float(i % 5), float(i % 5) + i % 2) for i in range(40)], "a double, y double")
+    flat = df.withColumn("y", F.lit(2.0))
+    (one,) = md.lasso_path(df, flat, alphas=(0.1,), features=["a"], label="y")
+    (none,) = md.lasso_path(df, df.limit(0), alphas=(0.1,), features=["a"], label="y")
+    assert one["r2"] is None and one["rmse"] > 0.5
+    assert none["r2"] is None and none["rmse"] is None and none["zeroed"] == one["zeroed"] == 0
